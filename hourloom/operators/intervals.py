@@ -168,43 +168,59 @@ def sweep_line_sum(
     return running.running_sums(line, by, ts, {"__x": out}).where("__k = 1").select(*by, ts, out)
 
 
-def _blocks(first: Column, last: Column, levels: int) -> Column:
-    """Power-of-two blocks that tile [first, last): at most two per level."""
-
-    def at_level(lvl: Column) -> Column:
-        size = F.expr("1L")
-        lo = F.call_function("shiftright", first + F.call_function("shiftleft", size, lvl) - 1, lvl)
-        hi = F.call_function("shiftright", last, lvl)
-        up_lo, up_hi = F.call_function("shiftright", lo + 1, F.lit(1)), F.call_function("shiftright", hi, F.lit(1))
-        top = up_lo >= up_hi
-        head = F.when((lo < hi) & ((lo % 2 == 1) | top), lo)
-        tail = F.when((lo < hi - 1) & ((hi % 2 == 1) | top), hi - 1)
-        return F.array(
-            F.struct(lvl.alias("level"), head.alias("block")), F.struct(lvl.alias("level"), tail.alias("block"))
-        )
+FAN = 16  # a block of one level holds this many of the level below
+
+
+def _run(first: Column, last: Column) -> Column:
+    """first, first + 1, ..., last - 1 (empty when there is nothing between)."""
+    return F.when(first < last, F.sequence(first, last - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
 
-    all_levels = F.transform(F.sequence(F.lit(0), F.lit(levels)), at_level)
-    return F.filter(F.flatten(all_levels), lambda b: b["block"].isNotNull())
+def _tagged(blocks: Column, level: int) -> Column:
+    return F.transform(blocks, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
+
+
+def _blocks(first: Column, last: Column, levels: int) -> Column:
+    """Blocks of FAN**level hours that tile [first, last) exactly: coarse in the middle, finer at both ends."""
+    parts = []
+    lo, hi = first, last
+    for level in range(levels):
+        up_lo, up_hi = F.ceil(lo / F.lit(FAN)).cast("bigint"), F.floor(hi / F.lit(FAN)).cast("bigint")
+        if level == levels - 1:
+            own = _run(lo, hi)
+        else:
+            ends = F.concat(_run(lo, up_lo * FAN), _run(up_hi * FAN, hi))
+            own = F.when(up_lo < up_hi, ends).otherwise(_run(lo, hi))
+        parts.append(_tagged(own, level))
+        lo, hi = up_lo, up_hi
+    return F.concat(*parts)
 
 
 def min_active_value(
     intervals: DataFrame, by: list[str], start: str, end: str, value: str, spine: DataFrame, ts: str = "ts",
-    out: str = "min_active", levels: int = 21,
+    out: str = "min_active", levels: int = 4,
 ) -> DataFrame:
     """Smallest `value` among the intervals active at each hour of the spine; NULL when none is.
 
-    An interval of n hours becomes at most 2*log2(n) blocks, whose minima are partial aggregates; an
-    hour looks up the one block per level that holds it. Neither side grows with the other.
+    An interval becomes a few aligned blocks, whose minima are partial aggregates; an hour looks up
+    the one block per level that holds it. Neither side is multiplied by the number of the other.
     """
     first, last = cal.hour_index_up(F.col(start)), cal.hour_index_up(F.col(end))
+    spans = intervals.where((F.col(start) < F.col(end)) & F.col(value).isNotNull()).select(
+        *by, F.col(value).alias("__v"), first.alias("__a"), last.alias("__z")
+    )
     tiles = (
-        intervals.where((F.col(start) < F.col(end)) & F.col(value).isNotNull())
-        .select(*by, F.col(value).alias("__v"), F.explode(_blocks(first, last, levels)).alias("__b"))
+        spans.select(*by, "__v", F.explode(_blocks(F.col("__a"), F.col("__z"), levels)).alias("__b"))
         .groupBy(*by, F.col("__b.level").alias("__l"), F.col("__b.block").alias("__k"))
         .agg(F.min("__v").alias("__v"))
     )
-    hours = spine.select(*by, F.col(ts), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__l")).withColumn(
-        "__k", F.call_function("shiftright", cal.hour_index(F.col(ts)), F.col("__l"))
+    h = cal.hour_index(F.col(ts))
+    cells = F.array(*[
+        F.struct(F.lit(lvl).alias("level"), F.floor(h / F.lit(FAN**lvl)).cast("bigint").alias("block"))
+        for lvl in range(levels)
+    ])
+    hours = spine.select(*by, F.col(ts), F.explode(cells).alias("__c")).select(
+        *by, ts, F.col("__c.level").alias("__l"), F.col("__c.block").alias("__k")
     )
     return hours.join(tiles, [*by, "__l", "__k"], "left").groupBy(*by, ts).agg(F.min("__v").alias(out))
 

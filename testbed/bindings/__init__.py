@@ -1 +1,2 @@
 from testbed.bindings import timeline  # noqa: F401
+from testbed.bindings import intervals  # noqa: F401
