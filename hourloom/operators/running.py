@@ -97,74 +97,65 @@ def previous_value(
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: list[float], bins: int = 512, rounds: int = 2
+    df: DataFrame, by: list[str], value: str, probs: list[float], bins: int = 1024, max_bin: int = 1_000_000
 ) -> DataFrame:
     """Linear-interpolation quantiles `(by..., p, q)` of groups of any size.
 
-    The built-in `percentile` holds all distinct values of a group in one task.
-    Here equal values are counted first; the value range is then cut into bins,
-    and only the bins that hold a wanted rank are looked at again, finer each
-    round. The last step sorts only what is left in those bins.
+    The built-in `percentile` holds all distinct values of a group in one task. Here equal values are
+    counted first. The value range is then cut into bins and only the bins that hold a wanted rank are looked
+    at again, as often as needed until none of them has more than `max_bin` distinct values; those few are
+    sorted. The table of wanted ranks has a handful of rows per group, so it is the small side of every join.
     """
-    counts = (
+    from hourloom.session import cut_lineage
+
+    counts = cut_lineage(
         df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     )
     span = counts.groupBy(*by).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n")
+        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"),
+        F.count(F.lit(1)).alias("__m"),
     )
     wanted = span.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    wanted = wanted.withColumn("__pos", F.col("p") * (F.col("__n") - 1))
-    wanted = wanted.withColumn(
+    wanted = wanted.withColumn("__pos", F.col("p") * (F.col("__n") - 1)).withColumn(
         "__rank", F.explode(F.array_distinct(F.array(F.floor("__pos"), F.ceil("__pos"))))
-    ).select(*by, "p", "__pos", "__rank", "__n", "__lo", "__hi", F.lit(0).cast("bigint").alias("__below"))
+    )
+    wanted = wanted.select(*by, "p", "__pos", "__rank", "__lo", "__hi", "__m", F.lit(0).cast("bigint").alias("__below"))
+    wanted = cut_lineage(wanted)
 
-    def same(left, right, names):
+    def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
         cond = F.lit(True)
         for n in names:
             cond = cond & left[n].eqNullSafe(right[n])
         return cond
 
-    ranges = wanted.select(*by, "__lo", "__hi", "__below").distinct()
-    for _ in range(rounds):
-        c, r = counts.alias("c"), ranges.alias("r")
-        hit = c.join(
-            r,
-            same(counts, ranges, by) & (F.col("c.__v") >= F.col("r.__lo")) & (F.col("c.__v") <= F.col("r.__hi")),
-        ).select(*[F.col(f"c.{k}") for k in by], "c.__v", "c.__c", "r.__lo", "r.__hi", "r.__below")
-        width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-        slot = F.least(
-            F.coalesce(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(0)), F.lit(bins - 1)
+    def candidates() -> DataFrame:
+        ranges = wanted.select(*by, "__lo", "__hi", "__below").distinct()
+        inside = (counts["__v"] >= ranges["__lo"]) & (counts["__v"] <= ranges["__hi"])
+        return counts.join(ranges, same(counts, ranges, by) & inside).select(
+            *[counts[k] for k in by], "__v", "__c", "__lo", "__hi", "__below"
         )
-        grid = (
-            hit.groupBy(*by, "__lo", "__hi", "__below", slot.alias("__slot"))
-            .agg(F.sum("__c").alias("__k"), F.min("__v").alias("__blo"), F.max("__v").alias("__bhi"))
+
+    while not wanted.where((F.col("__m") > max_bin) & (F.col("__lo") < F.col("__hi"))).isEmpty():
+        width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
+        slot = F.least(F.coalesce(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(0)), F.lit(bins - 1))
+        grid = candidates().groupBy(*by, "__lo", "__hi", "__below", slot.alias("__slot")).agg(
+            F.sum("__c").alias("__k"), F.count(F.lit(1)).alias("__m2"), F.min("__v").alias("__lo2"), F.max("__v").alias("__hi2")
         )
         before = Window.partitionBy(*by, "__lo", "__hi").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-        grid = grid.withColumn("__start", F.col("__below") + F.coalesce(F.sum("__k").over(before), F.lit(0)))
-        w, g = wanted.alias("w"), grid.alias("g")
-        wanted = w.join(
-            g,
-            same(wanted, grid, [*by, "__lo", "__hi"])
-            & (F.col("w.__rank") >= F.col("g.__start"))
-            & (F.col("w.__rank") < F.col("g.__start") + F.col("g.__k")),
-        ).select(
-            *[F.col(f"w.{k}") for k in by], "w.p", "w.__pos", "w.__rank", "w.__n",
-            F.col("g.__blo").alias("__lo"), F.col("g.__bhi").alias("__hi"), F.col("g.__start").alias("__below"),
+        grid = grid.withColumn("__start", F.col("__below") + F.coalesce(F.sum("__k").over(before), F.lit(0))).drop("__below")
+        hit = (wanted["__rank"] >= grid["__start"]) & (wanted["__rank"] < grid["__start"] + grid["__k"])
+        wanted = cut_lineage(
+            wanted.join(grid, same(wanted, grid, [*by, "__lo", "__hi"]) & hit).select(
+                *[wanted[k] for k in by], "p", "__pos", "__rank", F.col("__lo2").alias("__lo"),
+                F.col("__hi2").alias("__hi"), F.col("__m2").alias("__m"), F.col("__start").alias("__below"),
+            )
         )
-        ranges = wanted.select(*by, "__lo", "__hi", "__below").distinct()
-    c, r = counts.alias("c"), ranges.alias("r")
-    left = c.join(
-        r, same(counts, ranges, by) & (F.col("c.__v") >= F.col("r.__lo")) & (F.col("c.__v") <= F.col("r.__hi"))
-    ).select(*[F.col(f"c.{k}") for k in by], "c.__v", "c.__c", "r.__lo", "r.__hi", "r.__below")
     upto = Window.partitionBy(*by, "__lo", "__hi").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    left = left.withColumn("__end", F.col("__below") + F.sum("__c").over(upto))
-    w, g = wanted.alias("w"), left.alias("g")
-    found = w.join(
-        g,
-        same(wanted, left, [*by, "__lo", "__hi"])
-        & (F.col("w.__rank") < F.col("g.__end"))
-        & (F.col("w.__rank") >= F.col("g.__end") - F.col("g.__c")),
-    ).select(*[F.col(f"w.{k}") for k in by], "w.p", "w.__pos", "w.__rank", "g.__v")
+    line = candidates().withColumn("__end", F.col("__below") + F.sum("__c").over(upto)).drop("__below")
+    hit = (wanted["__rank"] < line["__end"]) & (wanted["__rank"] >= line["__end"] - line["__c"])
+    found = wanted.join(line, same(wanted, line, [*by, "__lo", "__hi"]) & hit).select(
+        *[wanted[k] for k in by], "p", "__pos", "__rank", "__v"
+    )
     low, high = F.min_by("__v", "__rank"), F.max_by("__v", "__rank")
     frac = F.max("__pos") - F.floor(F.max("__pos"))
     return found.groupBy(*by, "p").agg((low + (high - low) * frac).alias("q"))

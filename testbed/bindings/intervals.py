@@ -128,21 +128,23 @@ def sweep_line_sum(spark, folder):
 _MINACT = f"""SELECT p.unit, p.ts, min(a.avail) AS min_active FROM sp p LEFT JOIN sh a ON a.unit = p.unit AND a.start <= p.ts AND p.ts < a."end" GROUP BY 1, 2"""
 
 
-@query("min_active_value", sql(f"SELECT unit, {t('ts')} AS ts, coalesce(min_active, 99.0) AS min_active FROM ma", "i", sh=SHIFTED, sp=DAYS("unit"), ma=_MINACT))
+@query("min_active_value", sql(f"SELECT unit, {d('ts')} AS day, sum(coalesce(min_active, 99.0)) AS total, min(min_active) AS lowest, count(min_active) AS n_active FROM ma GROUP BY 1, 2", "i", sh=SHIFTED, sp=DAYS("unit"), ma=_MINACT))
 def min_active_value(spark, folder):
     i = V.intervals(spark, folder)
     low = iv.min_active_value(shift_feed(i), ["unit"], "start", "end", "avail", interval_spine(i, "unit", "6 hours"))
-    return low.select("unit", "ts", F.coalesce("min_active", F.lit(99.0)).alias("min_active"))
+    return low.groupBy("unit", F.to_date("ts").alias("day")).agg(
+        F.sum(F.coalesce("min_active", F.lit(99.0))).alias("total"), F.min("min_active").alias("lowest"), F.count("min_active").alias("n_active"))
 
 
 _NOM = "SELECT unit, max(avail) AS nominal FROM i GROUP BY 1"
 _DRV = "SELECT ma.unit, ts, nominal, greatest(nominal - coalesce(min_active, nominal), 0) AS unavailable FROM ma JOIN nom ON nom.unit = ma.unit"
 
 
-@query("capacity_driver", sql(f"SELECT unit, {t('ts')} AS ts, nominal, unavailable FROM drv", "i", sh=SHIFTED, sp=DAYS("unit"), ma=_MINACT, nom=_NOM, drv=_DRV))
+@query("capacity_driver", sql(f"SELECT unit, {d('ts')} AS day, nominal, sum(unavailable) AS total, max(unavailable) AS peak FROM drv GROUP BY 1, 2, 3", "i", sh=SHIFTED, sp=DAYS("unit"), ma=_MINACT, nom=_NOM, drv=_DRV))
 def capacity_driver(spark, folder):
     i = V.intervals(spark, folder)
-    return iv.capacity_driver(shift_feed(i), ["unit"], "start", "end", "avail", interval_spine(i, "unit", "6 hours"))
+    drv = iv.capacity_driver(shift_feed(i), ["unit"], "start", "end", "avail", interval_spine(i, "unit", "6 hours"))
+    return drv.groupBy("unit", F.to_date("ts").alias("day"), "nominal").agg(F.sum("unavailable").alias("total"), F.max("unavailable").alias("peak"))
 
 
 @query("argmax_duration_check", sql(f"""SELECT l.unit, {t('l.start')} AS start, {t('l."end"')} AS "end", l.avail, count(*) AS n_hours,
