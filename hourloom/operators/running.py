@@ -122,19 +122,21 @@ def exact_quantiles(
     wanted = wanted.select(*by, "p", "__pos", "__rank", "__lo", "__hi", "__m", F.lit(0).cast("bigint").alias("__below"))
     wanted = cut_lineage(wanted)
 
-    def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    def renamed(t: DataFrame, names: list[str]) -> DataFrame:
+        return t.select(*[F.col(c).alias(f"__r_{c}") if c in names else F.col(c) for c in t.columns])
+
+    def same(names: list[str]) -> Column:
         cond = F.lit(True)
         for n in names:
-            cond = cond & left[n].eqNullSafe(right[n])
+            cond = cond & F.col(n).eqNullSafe(F.col(f"__r_{n}"))
         return cond
 
     def candidates() -> DataFrame:
-        ranges = wanted.select(*by, "__lo", "__hi", "__below").distinct()
-        inside = (counts["__v"] >= ranges["__lo"]) & (counts["__v"] <= ranges["__hi"])
-        return counts.join(ranges, same(counts, ranges, by) & inside).select(
-            *[counts[k] for k in by], "__v", "__c", "__lo", "__hi", "__below"
-        )
+        ranges = renamed(wanted.select(*by, "__lo", "__hi", "__below").distinct(), by)
+        inside = F.col("__v").between(F.col("__lo"), F.col("__hi"))
+        return counts.join(ranges, same(by) & inside).select(*by, "__v", "__c", "__lo", "__hi", "__below")
 
+    cell = [*by, "__lo", "__hi"]
     while not wanted.where((F.col("__m") > max_bin) & (F.col("__lo") < F.col("__hi"))).isEmpty():
         width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
         slot = F.least(F.coalesce(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(0)), F.lit(bins - 1))
@@ -143,19 +145,18 @@ def exact_quantiles(
         )
         before = Window.partitionBy(*by, "__lo", "__hi").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
         grid = grid.withColumn("__start", F.col("__below") + F.coalesce(F.sum("__k").over(before), F.lit(0))).drop("__below")
-        hit = (wanted["__rank"] >= grid["__start"]) & (wanted["__rank"] < grid["__start"] + grid["__k"])
+        hit = (F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__start") + F.col("__k"))
+        found = wanted.drop("__m", "__below").join(renamed(grid, cell), same(cell) & hit)
         wanted = cut_lineage(
-            wanted.join(grid, same(wanted, grid, [*by, "__lo", "__hi"]) & hit).select(
-                *[wanted[k] for k in by], "p", "__pos", "__rank", F.col("__lo2").alias("__lo"),
+            found.select(
+                *by, "p", "__pos", "__rank", F.col("__lo2").alias("__lo"),
                 F.col("__hi2").alias("__hi"), F.col("__m2").alias("__m"), F.col("__start").alias("__below"),
             )
         )
     upto = Window.partitionBy(*by, "__lo", "__hi").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     line = candidates().withColumn("__end", F.col("__below") + F.sum("__c").over(upto)).drop("__below")
-    hit = (wanted["__rank"] < line["__end"]) & (wanted["__rank"] >= line["__end"] - line["__c"])
-    found = wanted.join(line, same(wanted, line, [*by, "__lo", "__hi"]) & hit).select(
-        *[wanted[k] for k in by], "p", "__pos", "__rank", "__v"
-    )
+    hit = (F.col("__rank") < F.col("__end")) & (F.col("__rank") >= F.col("__end") - F.col("__c"))
+    found = wanted.join(renamed(line, cell), same(cell) & hit).select(*by, "p", "__pos", "__rank", "__v")
     low, high = F.min_by("__v", "__rank"), F.max_by("__v", "__rank")
     frac = F.max("__pos") - F.floor(F.max("__pos"))
     return found.groupBy(*by, "p").agg((low + (high - low) * frac).alias("q"))
