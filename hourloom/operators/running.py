@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 BUCKET = "__bucket"
 
 
-def _cut(df: DataFrame, order: str, bucket: str) -> DataFrame:
+def _cut(df: DataFrame, order: str, bucket: str | int) -> DataFrame:
+    """Bucket by calendar unit (text) or by a numeric width (whole number)."""
+    if isinstance(bucket, int):
+        return df.withColumn(BUCKET, F.floor(F.col(order) / F.lit(bucket)))
     return df.withColumn(BUCKET, F.date_trunc(bucket, F.col(order)))
 
 
@@ -80,7 +83,7 @@ def carry_forward(
 
 
 def previous_value(
-    df: DataFrame, by: list[str], order: str, value: str, out: str, bucket: str = "day"
+    df: DataFrame, by: list[str], order: str, value: str, out: str, bucket: str | int = "day"
 ) -> DataFrame:
     """Add the `value` of the row just before (by `order`); the first row of a key gets NULL."""
     rows = _cut(df, order, bucket)
