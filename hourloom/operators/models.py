@@ -24,9 +24,11 @@ def _fit_block(keys: list[str], window: int):
         from hourloom.functions import lasso
 
         pdf = pdf.sort_values("day")
-        names = pdf["names"].iloc[0]
+        # a day may lack features whose source day is missing: align on all names of the block
+        table = pd.DataFrame([dict(zip(n, v)) for n, v in zip(pdf["names"], pdf["x"])], dtype=float).sort_index(axis=1)
+        names = list(table.columns)
         day = pd.to_datetime(pdf["day"]).to_numpy()
-        x_all = np.array([[np.nan if v is None else v for v in row] for row in pdf["x"]], dtype=float)
+        x_all = table.to_numpy()
         y_all = np.array([[np.nan if v is None else v for v in row] for row in pdf["y"]], dtype=float)
         out = []
         for refit in pdf["refits"].iloc[0]:

@@ -29,23 +29,24 @@ def parse_iso_utc(text: Column) -> Column:
 
 
 def scan_chunked_series(
-    spark: SparkSession, folder: str, schema: T.StructType | str, index: str = "ts", full_row: bool = False
+    spark: SparkSession, folder: str, schema: T.StructType | str, index: str = "ts", keys: list[str] | None = None,
+    full_row: bool = False,
 ) -> DataFrame:
-    """All CSV chunks of one series. The file name breaks ties, so the first chunk wins.
+    """All CSV chunks below a folder. The file path breaks ties, so the first chunk wins.
 
     `full_row` drops only rows equal in every column but the index, for feeds whose index repeats.
     """
     from hourloom.operators import timeline
 
-    raw = spark.read.schema(schema).option("header", True).csv(f"{folder}/*.csv").select(
-        "*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+    files = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
+    raw = files.option("pathGlobFilter", "*.csv").csv(folder).select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__row"),
     )
     raw = raw.withColumn(index, F.coalesce(parse_offset_timestamp(F.col(index)), F.try_to_timestamp(index)))
     order = ["__file", "__block", "__row"]
     dedup = timeline.dedup_full_row if full_row else timeline.dedup_index_first
-    kept = dedup(raw, [index], order)
-    return kept.drop(*order)
+    return dedup(raw, [*(keys or []), index], order).drop(*order)
 
 
 def union_drifting_schema(frames: list[DataFrame]) -> DataFrame:
@@ -56,11 +57,13 @@ def union_drifting_schema(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def scan_snapshot_by_year(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
-    """Yearly snapshot files; the file's stem becomes `query_year`."""
-    rows = spark.read.schema(schema).option("header", True).csv(f"{folder}/*.csv")
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    return rows.select("*", stem.try_cast("int").alias("query_year"))
+def scan_snapshot_by_year(
+    spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = r"(\d{4})\.csv$"
+) -> DataFrame:
+    """Yearly snapshot files; the part of the path that `pattern` captures becomes `query_year`."""
+    files = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
+    rows = files.option("pathGlobFilter", "*.csv").csv(folder)
+    return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("int").alias("query_year"))
 
 
 def scan_messages(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -68,39 +71,40 @@ def scan_messages(spark: SparkSession, path: str, multiline: bool = True) -> Dat
 
 
 def scan_event_file(spark: SparkSession, path: str, item_schema: str) -> DataFrame:
-    """A JSON payload that is either a list of events or an object holding one under `events`."""
-    text = spark.read.text(path, wholetext=True)
+    """JSON payloads that are either a list of events or an object holding one under `events`."""
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     as_list = F.from_json("value", f"array<{item_schema}>")
     as_object = F.from_json("value", f"struct<events:array<{item_schema}>>").getField("events")
-    starts = F.ltrim(F.col("value"))
-    items = F.when(F.substring(starts, 1, 1) == "[", as_list).otherwise(as_object)
+    items = F.when(F.ltrim(F.col("value")).startswith("["), as_list).otherwise(as_object)
     return text.select(F.inline(items))
 
 
-def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """`<folder>/<event>/<message>_v<version>.txt` -> (event_id, message, version, body)."""
+def scan_documents(
+    spark: SparkSession, folder: str, pattern: str = r"([^/]+)/([^/]+)_v(\d+)\.txt$"
+) -> DataFrame:
+    """One text file per (event, message, version), told from the path by the pattern's three groups."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    path = F.col("_metadata.file_path")
+    part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), pattern, i)
     return rows.select(
-        F.regexp_extract(path, r"([^/]+)/[^/]+_v\d+\.txt$", 1).alias("event_id"),
-        F.regexp_extract(path, r"([^/]+)_v\d+\.txt$", 1).alias("message"),
-        F.regexp_extract(path, r"_v(\d+)\.txt$", 1).cast("int").alias("version"),
-        F.trim(F.col("value")).alias("body"),
+        part(1).alias("event_id"), part(2).alias("message"), part(3).cast("int").alias("version"),
+        F.regexp_replace("value", r"^\s+|\s+$", "").alias("body"),
     )
 
 
-def chunk_outcomes(spark: SparkSession, root: str) -> DataFrame:
-    """Per series folder, how many chunks succeeded, were empty, or failed, told by the file suffix."""
+# How a chunk's file suffix tells its outcome.
+OUTCOME_SUFFIXES = {"ok": ".csv", "empty": ".empty", "error": ".error.json"}
+
+
+def chunk_outcomes(
+    spark: SparkSession, root: str, suffixes: dict[str, str] = OUTCOME_SUFFIXES, series: str = r"([^/]+)/[^/]+$"
+) -> DataFrame:
+    """Per series folder, how many chunks succeeded, were empty, or failed. Only the listing is read, no content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    name = F.element_at(F.split("path", "/"), -1)
-    kind = F.when(name.endswith(".error.json"), "error").when(name.endswith(".empty"), "empty").when(
-        name.endswith(".csv"), "ok"
-    )
-    return (
-        files.select(F.element_at(F.split("path", "/"), -2).alias("series"), kind.alias("kind"))
-        .where("kind is not null").groupBy("series").pivot("kind", ["ok", "empty", "error"])
-        .agg(F.count(F.lit(1))).na.fill(0)
-    )
+    kind = F.lit(None).cast("string")
+    for name, suffix in suffixes.items():
+        kind = F.when(F.col("path").endswith(suffix), name).otherwise(kind)
+    named = files.select(F.regexp_extract("path", series, 1).alias("series"), kind.alias("kind")).where("kind is not null")
+    return named.groupBy("series").pivot("kind", list(suffixes)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def explode_messages(messages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from hourloom.operators import features as ft
 from hourloom.operators import models as mo
 from hourloom.operators import relations as rel
 from hourloom.operators import timeline as tl
+from hourloom.session import cut_lineage
 from testbed import views as V
 from testbed.registry import d, query, r
 from testbed.views import TARGET, TZ, sql
@@ -209,11 +210,13 @@ K = ["event_id", "day"]
 
 
 def scenario_setup(spark, folder):
-    f = features(spark, folder)
+    # read many times below, so written once
+    f = cut_lineage(features(spark, folder))
     terms, heads = hashed_models(f)
-    base, eff = event_day_inputs(spark, folder)
+    terms = cut_lineage(terms)
+    base, eff = (cut_lineage(x) for x in event_day_inputs(spark, folder))
     drv = eff.select("event_id", "day", "driver")
-    return f, terms, mo.linear_scores(f, terms, heads, []), base, eff, drv
+    return f, terms, cut_lineage(mo.linear_scores(f, terms, heads, [])), base, eff, drv
 
 
 def with_conditions(f, terms, scores, base, eff, drv):
