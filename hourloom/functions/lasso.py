@@ -1,4 +1,8 @@
-"""A small coordinate-descent lasso for many targets that share their inputs (runs inside a grouped map)."""
+"""A small exact lasso path with AIC choice for one target (runs inside a grouped map).
+
+Homotopy of the published least-angle method (Efron, Hastie, Johnstone and Tibshirani, 2004): between two
+breakpoints the solution moves on a straight line, so each breakpoint costs one solve over the columns in use.
+"""
 
 from __future__ import annotations
 
@@ -9,56 +13,93 @@ MAX_COEF = 1e3
 
 
 def noise_variance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Residual variance per target: least squares when rows outnumber columns, else a ridge stand-in whose
+    """Residual variance per target of centred data: least squares when rows outnumber columns, else a ridge stand-in whose
     penalty is the mean squared singular value and whose degrees of freedom are those of its hat matrix."""
     n, p = x.shape
     u, s, _ = np.linalg.svd(x, full_matrices=False)
     if n > p + 1:
-        fitted, dof = u @ (u.T @ y), p + 1.0
+        shrink, dof = np.ones_like(s), p + 1.0
     else:
         shrink = s**2 / (s**2 + np.mean(s**2))
-        fitted, dof = u @ (shrink[:, None] * (u.T @ y)), shrink.sum()
-    return np.maximum(((y - fitted) ** 2).sum(axis=0) / max(n - dof, 1.0), 1e-8)
+        dof = shrink.sum()
+    rest = y - u @ (shrink[:, None] * (u.T @ y))
+    return np.maximum((rest**2).sum(axis=0) / max(n - dof, 1.0), 1e-8)
+
 
+def aic_path(gram: np.ndarray, cov: np.ndarray, yy: float, n: int, variance: float) -> tuple[np.ndarray, float]:
+    """Coefficients and penalty of the breakpoint with the lowest AIC; gram and cov are per observation."""
+    p = len(cov)
+    w, c = np.zeros(p), cov.copy()
+    alpha = float(np.abs(c).max())
+    best, best_w, best_alpha = yy / variance, w.copy(), alpha
+    if alpha <= 0:
+        return best_w, best_alpha
+    least = max(n - p - 1.0, 0.0)  # residual term of the full fit, below which no model gets
+    floor, used, blocked = alpha * 1e-8, [int(np.abs(c).argmax())], -1
+    for _ in range(8 * min(n, p)):
+        sign = np.sign(c[used])
+        inner = gram[np.ix_(used, used)]
+        d = np.linalg.solve(inner + 1e-10 * np.trace(inner) / len(used) * np.eye(len(used)), sign)
+        a = gram[:, used] @ d
+        with np.errstate(divide="ignore", invalid="ignore"):
+            join = np.fmin(_positive((alpha - c) / (1 - a)), _positive((alpha + c) / (1 + a)))
+            leave = _positive(-w[used] / d)
+        join[used] = np.inf
+        if blocked >= 0:
+            join[blocked] = np.inf
+        step = min(float(join.min()), float(leave.min()), alpha - floor)
+        w[used] += step * d
+        c -= step * a
+        alpha -= step
+        rss = max(yy - n * float(w @ (cov + c)), 0.0)
+        aic = rss / variance + 2 * len(used)
+        if aic < best:
+            best, best_w, best_alpha = aic, w.copy(), alpha
+        # a larger model cannot win once its penalty and the smallest residual exceed the best value
+        if alpha <= floor or least + 2 * len(used) > best or len(used) >= min(n - 1, p):
+            break
+        if step == float(leave.min()):
+            blocked = used.pop(int(leave.argmin()))
+            w[blocked] = 0.0
+            if not used:
+                break
+        else:
+            blocked = -1
+            used.append(int(join.argmin()))
+    return best_w, best_alpha
 
-def _sweep(gram, cov, w, alpha, columns) -> float:
-    """One pass of coordinate descent over `columns`, all targets at once; returns the largest step."""
-    step = 0.0
-    for j in columns:
-        g = gram[j, j]
-        if g <= 0:
-            continue
-        rho = cov[j] - gram[j] @ w + g * w[j]
-        new = np.sign(rho) * np.maximum(np.abs(rho) - alpha, 0.0) / g
-        step = max(step, float(np.abs(new - w[j]).max()))
-        w[j] = new
-    return step
 
+def _positive(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 1e-12, x, np.inf)
 
-def fit(x: np.ndarray, y: np.ndarray, n_alphas: int = 30, ratio: float = 1e-3, tol: float = 1e-4, sweeps: int = 60):
-    """Lasso per column of y along a falling penalty grid with warm starts; the fit with the lowest AIC is kept.
 
-    Returns (coefficients p x m, intercepts m).
-    """
-    n, p = x.shape
+def descend(gram: np.ndarray, cov: np.ndarray, alpha: float, sweeps: int = 1000, tol: float = 1e-6) -> np.ndarray:
+    """Coordinate descent at one penalty: the refit for a path that ran away on nearly equal columns."""
+    w = np.zeros(len(cov))
+    for _ in range(sweeps):
+        largest = 0.0
+        for j in np.flatnonzero(np.diag(gram) > 0):
+            rho = cov[j] - gram[j] @ w + gram[j, j] * w[j]
+            new = np.sign(rho) * max(abs(rho) - alpha, 0.0) / gram[j, j]
+            largest, w[j] = max(largest, abs(new - w[j])), new
+        if largest < tol:
+            break
+    return w
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per column of y: coefficients (p x m), intercepts (m) and whether the model had to be given up (m)."""
+    n = len(x)
     xm, ym = x.mean(axis=0), y.mean(axis=0)
     xc, yc = x - xm, y - ym
-    var = noise_variance(xc, yc)
-    gram, cov = xc.T @ xc / n, xc.T @ yc / n
-    top = np.maximum(np.abs(cov).max(axis=0), 1e-12)
-    w = np.zeros((p, y.shape[1]))
-    best, best_w = np.full(y.shape[1], np.inf), w.copy()
-    for scale in np.geomspace(1.0, ratio, n_alphas):
-        alpha = top * scale
-        for _ in range(sweeps):
-            if _sweep(gram, cov, w, alpha, range(p)) < tol:
-                break
-            active = np.flatnonzero(np.abs(w).sum(axis=1))
-            for _ in range(sweeps):
-                if _sweep(gram, cov, w, alpha, active) < tol:
-                    break
-        rss = ((yc - xc @ w) ** 2).sum(axis=0)
-        aic = n * np.log(2 * np.pi * var) + rss / var + 2 * (w != 0).sum(axis=0)
-        better = aic < best
-        best, best_w[:, better] = np.where(better, aic, best), w[:, better]
-    return best_w, ym - xm @ best_w
+    gram, variance = xc.T @ xc / n, noise_variance(xc, yc)
+    coef, failed = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1], dtype=bool)
+    for k in range(y.shape[1]):
+        t = yc[:, k]
+        cov = xc.T @ t / n
+        w, alpha = aic_path(gram, cov, float(t @ t), n, float(variance[k]))
+        if np.abs(w).max() > MAX_COEF:
+            w = descend(gram, cov, alpha)
+        failed[k] = np.abs(w).max() > MAX_COEF
+        coef[:, k] = 0.0 if failed[k] else w
+    return coef, np.where(failed, 0.0, ym - xm @ coef), failed

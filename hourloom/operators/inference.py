@@ -9,6 +9,9 @@ from hourloom.functions import numeric as num
 from hourloom.operators import running
 
 
+BROADCAST_ROWS = 1_000_000  # event differences are three short columns, so this is some tens of megabytes
+
+
 def group_positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos") -> DataFrame:
     """Positions 0, 1, ... within each group, by range partitions of the whole: no group is sorted in one task."""
     placed = running.global_positions(df, [*by, *order], "__g")
@@ -74,12 +77,20 @@ def block_bootstrap(
     size = placed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_events"), F.avg(value).alias("estimate")
     )
-    slots = placed.select(*by, F.col("__i").alias("__slot")).join(size.select(*by, "n_events"), by).withColumn(
-        "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
+    slots = placed.select(*by, F.col("__i").alias("__slot")).join(size.select(*by, "n_events"), by)
+    # the slots are few bytes but many draws: spread (slot, block of draws) over all tasks before expanding
+    per_block = 50
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = slots.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // per_block))))
+    slots = slots.repartition(tasks, *by, "__slot", "__b").withColumn(
+        "draw", F.explode(F.sequence(F.col("__b") * per_block, F.least((F.col("__b") + 1) * per_block, F.lit(draws)) - 1))
     )
     u = num.uniform(F.lit(seed), F.col("draw"), F.col("__slot"))
     picks = slots.select(*by, "draw", F.floor(u * F.col("n_events")).alias("__i"))
-    means = picks.join(placed.select(*by, "__i", value), [*by, "__i"]).groupBy(*by, "draw").agg(F.avg(value).alias("m"))
+    pool = placed.select(*by, "__i", value)
+    if pool.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        pool = F.broadcast(pool)  # few events: the picks need not be shuffled; else an ordinary join
+    means = picks.join(pool, [*by, "__i"]).groupBy(*by, "draw").agg(F.avg(value).alias("m"))
     # one row per draw: a fixed number, so the built-in exact percentile is bounded
     spread = means.groupBy(*by).agg(
         F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"),

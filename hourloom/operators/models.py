@@ -55,10 +55,9 @@ def _fit_block(keys: list[str], window: int):
                     t = y[np.ix_(ok, hours)]
                     tm = np.median(t, axis=0)
                     tmad = np.median(np.abs(t - tm), axis=0)
-                    w, b = lasso.fit(z[ok], np.arcsinh((t - tm) / np.where(tmad < 1e-8, 1.0, tmad)))
+                    w, b, failed = lasso.fit(z[ok], np.arcsinh((t - tm) / np.where(tmad < 1e-8, 1.0, tmad)))
                     for k, h in enumerate(hours):
-                        wild = np.abs(w[:, k]).max() > lasso.MAX_COEF
-                        base[h] = (w[:, k] * (not wild), 0.0 if wild else float(b[k]), 0, int(wild))
+                        base[h] = (w[:, k], float(b[k]), 0, int(failed[k]))
                 for h in hours:
                     w, b, degenerate, failed = base[h]
                     good = y[ok, h]

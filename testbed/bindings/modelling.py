@@ -128,7 +128,7 @@ def fitted(spark, folder):
     every_third = p.select("day").distinct().where(F.datediff("day", F.lit("2024-01-01").cast("date")) % 3 == 0)
     first = p.agg(F.min("day").alias("d")).select("d").scalar()
     refits = every_third.where(F.datediff("day", first) >= WINDOW)
-    return mo.fit_many_lasso(ft.feature_vectors(f, []), y, refits, [], WINDOW)
+    return mo.fit_many_lasso(ft.feature_vectors(f, []), y, refits, [], WINDOW, block_days=3)
 
 
 @query("fit_and_predict")
