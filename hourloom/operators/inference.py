@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hourloom.functions import numeric as num
 from hourloom.operators import running
+from hourloom.session import cut_lineage
 
 
 BROADCAST_ROWS = 1_000_000  # event differences are three short columns, so this is some tens of megabytes
@@ -30,7 +31,7 @@ def dm_test(
     is formed inside one block and only sums leave it.
     """
     rows = df.where(num.is_finite(F.col(diff))).select(*by, *order, F.col(diff).alias("__x"))
-    rows = group_positions(rows, by, order, "__i").select(*by, "__i", "__x")
+    rows = group_positions(cut_lineage(rows), by, order, "__i").select(*by, "__i", "__x")
     keys = by or ["__all"]
     if not by:
         rows = rows.withColumn("__all", F.lit(0))
@@ -73,7 +74,8 @@ def block_bootstrap(
 
     Each slot of each draw picks an event by a reproducible hash; the draws' means are partial aggregates.
     """
-    placed = group_positions(values.select(*by, event, value), by, [event], "__i")
+    # one row per event, but costly to derive: written once, as numbering reads its input twice
+    placed = group_positions(cut_lineage(values.select(*by, event, value)), by, [event], "__i")
     size = placed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_events"), F.avg(value).alias("estimate")
     )
