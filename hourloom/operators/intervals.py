@@ -202,8 +202,9 @@ def min_active_value(
 ) -> DataFrame:
     """Smallest `value` among the intervals active at each hour of the spine; NULL when none is.
 
-    An interval becomes a few aligned blocks, whose minima are partial aggregates; an hour looks up
-    the one block per level that holds it. Neither side is multiplied by the number of the other.
+    An interval becomes a few aligned blocks, whose minima are partial aggregates. Minima are then handed down
+    from coarse blocks to the finer ones inside them, and at last to the hours: each step joins one row per
+    block or hour with its own tile and its parent. Neither side is multiplied by the number of the other.
     """
     first, last = cal.hour_index_up(F.col(start)), cal.hour_index_up(F.col(end))
     spans = intervals.where((F.col(start) < F.col(end)) & F.col(value).isNotNull()).select(
@@ -214,15 +215,20 @@ def min_active_value(
         .groupBy(*by, F.col("__b.level").alias("__l"), F.col("__b.block").alias("__k"))
         .agg(F.min("__v").alias("__v"))
     )
-    h = cal.hour_index(F.col(ts))
-    cells = F.array(*[
-        F.struct(F.lit(lvl).alias("level"), F.floor(h / F.lit(FAN**lvl)).cast("bigint").alias("block"))
-        for lvl in range(levels)
-    ])
-    hours = spine.select(*by, F.col(ts), F.explode(cells).alias("__c")).select(
-        *by, ts, F.col("__c.level").alias("__l"), F.col("__c.block").alias("__k")
-    )
-    return hours.join(tiles, [*by, "__l", "__k"], "left").groupBy(*by, ts).agg(F.min("__v").alias(out))
+    hour = cal.hour_index(F.col(ts))
+    above = None
+    for lvl in range(levels - 1, -1, -1):
+        block = F.floor(hour / F.lit(FAN**lvl)).cast("bigint").alias("__k")
+        rows = spine.select(*by, ts, block) if lvl == 0 else spine.select(*by, block).distinct()
+        own = tiles.where(F.col("__l") == lvl).select(*by, "__k", F.col("__v").alias("__own"))
+        rows = rows.join(own, [*by, "__k"], "left")
+        low = F.col("__own")
+        if above is not None:
+            parent = above.select(*by, F.col("__k").alias("__up"), F.col("__m").alias("__from"))
+            rows = rows.withColumn("__up", F.floor(F.col("__k") / F.lit(FAN)).cast("bigint")).join(parent, [*by, "__up"], "left")
+            low = F.least("__own", "__from")  # `least` skips NULL
+        above = rows.withColumn("__m", low)
+    return above.select(*by, ts, F.col("__m").alias(out))
 
 
 def capacity_driver(
