@@ -215,6 +215,7 @@ def min_active_value(
         .groupBy(*by, F.col("__b.level").alias("__l"), F.col("__b.block").alias("__k"))
         .agg(F.min("__v").alias("__v"))
     )
+    tiles = cut_lineage(tiles)  # each level reads its own part
     hour = cal.hour_index(F.col(ts))
     above = None
     for lvl in range(levels - 1, -1, -1):
