@@ -75,10 +75,10 @@ def first_nonnull_version(spark, folder):
 
 
 @query("interval_overlap_match", sql("""SELECT cd.row_id, cd.unit, count(pr.message) AS n_matched, min(pr.message) AS first_match, CASE WHEN cd.unit IN (0, 3) THEN 'excluded_unit' WHEN count(pr.message) > 0 THEN NULL
-    WHEN NOT EXISTS (SELECT 1 FROM lv WHERE lv.unit = cd.unit AND lv.message % 5 <> 0) THEN 'unit_not_pulled' ELSE 'overlap_below_50pct' END AS reason
-    FROM cd LEFT JOIN pr ON pr.row_id = cd.row_id AND cd.unit NOT IN (0, 3) AND pr.message % 5 <> 0 GROUP BY 1, 2""", "i", "m", **CH))
+    WHEN NOT EXISTS (SELECT 1 FROM lv WHERE lv.unit = cd.unit) THEN 'unit_not_pulled' ELSE 'overlap_below_50pct' END AS reason
+    FROM cd LEFT JOIN pr ON pr.row_id = cd.row_id AND cd.unit NOT IN (0, 3) GROUP BY 1, 2""", "i", "m", **CH))
 def interval_overlap_match(spark, folder):
-    threads = ma.latest_version(versions(spark, folder), ["message"], "version").where("message % 5 <> 0")
+    threads = ma.latest_version(versions(spark, folder), ["message"], "version")
     _, report = ma.interval_overlap_match(candidates(spark, folder), threads, "unit", "row_id", "message", [0, 3])
     return report.select("row_id", "unit", "n_matched", "first_match", "reason")
 

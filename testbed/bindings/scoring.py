@@ -231,16 +231,16 @@ def driver_validation(spark, folder):
     return mt.driver_validation(p, drv, S, "slot", "value", "avail", "lost")
 
 
-@query("json_array_column", sql(f"""SELECT event_id, {d('day')} AS day, hour, len(pts) AS n, {r('list_avg(pts)')} AS mean FROM (SELECT event_id, day, hour,
-    CASE WHEN condition = 'context' AND point IS NOT NULL THEN [point, point + 1, point * 2] ELSE [] END AS pts FROM c WHERE condition <> 'oracle' AND hour < 12) WHERE TRUE""", "c"))
+@query("json_array_column", sql(f"""SELECT event_id, {d('day')} AS day, hour, condition, len(pts) AS n, {r('list_avg(pts)')} AS mean FROM (SELECT event_id, day, hour, condition,
+    CASE WHEN condition = 'context' AND point IS NOT NULL THEN [point, point + 1, point * 2] ELSE [] END AS pts FROM c)""", "c"))
 def json_array_column(spark, folder):
     from hourloom.operators import documents as dc
 
-    c = V.conditions(spark, folder).where("condition <> 'oracle' and hour < 12")
+    c = V.conditions(spark, folder)
     p = F.col("point")
     text = F.when((F.col("condition") == "context") & p.isNotNull(), dc.to_json_array(F.array(p, p + 1, p * 2)))
     pts = dc.from_json_array(text)
-    return c.withColumn("pts", pts).select("event_id", "day", "hour", F.size("pts").alias("n"),
+    return c.withColumn("pts", pts).select("event_id", "day", "hour", "condition", F.size("pts").alias("n"),
                                            (F.aggregate("pts", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("pts"), F.lit(0))).alias("mean"))
 
 
