@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import bpe, language, packed
+from hourloom.llm import bpe, jaccard, language, packed
 from hourloom.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op10_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     files = scratch(spark, "packed")
     packed.write(table(spark, folder, "documents"), vocabulary(), files)
     return packed.summaries(packed.read(spark, files))
+
+
+@query
+def op9_order_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_components(table(spark, folder, "documents"), n=3, percent=90).drop("text_hash")
