@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import bpe, jaccard, language, packed
+from hourloom.llm import bpe, jaccard, language, packed, suffix
 from hourloom.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op10_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_order_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_components(table(spark, folder, "documents"), n=3, percent=90).drop("text_hash")
+
+
+@query
+def op4_lpf_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.summaries(table(spark, folder, "documents"), length=400, keep="none")
