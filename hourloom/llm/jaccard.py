@@ -239,7 +239,8 @@ def linked_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 
 def link_components(docs: DataFrame, n: int = 3, percent: int = 90, sketch_bits: int = 20) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least `percent` similarity), text_hash."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least `percent` similarity), text_hash,
+    root (one value for each component, null for an empty set)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     scanned = stored(
         keyed.mapInArrow(_scan(n, sketch_bits), "doc_id long, text_hash long, n_shingles long, class long, block int, counts binary, kind int"), "scan", "kind"
@@ -257,7 +258,18 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90, sketch_bits:
     forget(sets)
     named = classes.select("class", "doc_id").join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "doc_id")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = named.select("class", "root").join(least, "root").select("class", "component_id")
+    found = named.select("class", "root").join(least, "root")
     return rows.join(found, "class", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash"
+        "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash", "root"
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` without all but one document of each component: the smallest doc_id stays, then the smallest text hash. Rows that
+    repeat a doc_id and its text are one document."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text"))
+    found = link_components(docs, n, percent)
+    linked = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    stay = linked.unionByName(found.where("root is null").select("doc_id", "text_hash"))
+    stay = stay.select(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "text_hash").alias("_key"))
+    return docs.withColumn("_key", key).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import bpe, jaccard, language, packed, suffix
+from hourloom.llm import bpe, contamination, jaccard, language, packed, suffix
 from hourloom.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,9 +55,28 @@ def op10_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_order_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.link_components(table(spark, folder, "documents"), n=3, percent=90).drop("text_hash")
+    return jaccard.link_components(table(spark, folder, "documents"), n=3, percent=90).drop("text_hash", "root")
 
 
 @query
 def op4_lpf_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.summaries(table(spark, folder, "documents"), length=400, keep="none")
+
+
+def shingles_sql(source: str, key: str) -> str:
+    return rf"""SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS g
+        FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {source}) WHERE len(w) >= 5"""
+
+
+@query
+def op2_containment_search(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=80)
+
+
+SQL["op2_containment_search"] = f"""
+    WITH i AS ({shingles_sql("benchmark", "item_id")}), d AS ({shingles_sql("documents", "doc_id")}),
+    sizes AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)
+    SELECT doc_id, item_id, n_shingles, count(*) AS n_shared
+    FROM d JOIN i USING (g) JOIN sizes USING (item_id)
+    GROUP BY doc_id, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles
+"""

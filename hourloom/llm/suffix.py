@@ -64,10 +64,10 @@ def segments(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]
         sizes = np.array([len(x) for _, _, x in group])
         ends = np.cumsum(sizes)
         h = mix(data.astype(np.uint64) + np.uint64(1))
-        size, base = 1, np.uint64(0x9E3779B97F4A7C15)
+        size, base = 1, 0x9E3779B97F4A7C15
         while size < K:
-            h = h[:-size] * base + h[size:]
-            size, base = 2 * size, base * base
+            h = h[:-size] * np.uint64(base) + h[size:]
+            size, base = 2 * size, base * base % (1 << 64)
         h = mix(h)
         least = (h & ~POSITION) | np.arange(len(h), dtype=np.uint64)
         wide, size = length - K + 1, 1
@@ -328,7 +328,8 @@ def remove(docs: DataFrame, length: int = 400, keep: str = "first") -> DataFrame
             for text, n, later, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "_rows", "_later", "_spans")), strict=True):
                 gone = _removed(len(text.encode()), length, keep, n, later, spans) if text else []
                 texts.append(_cut(text.encode(), gone).decode("utf-8", "ignore") if gone else text)
-            out = {c: batch.column(c) for c in docs.columns} | {"text": pa.array(texts, pa.string())}
+            out = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
+    names = docs.columns
     return _with_spans(docs, length, keep).mapInArrow(run, docs.schema)
