@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import bpe, contamination, jaccard, language, packed, suffix
+from hourloom.llm import bpe, contamination, jaccard, language, packed, rules, suffix, warc
 from hourloom.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,25 @@ SQL["op2_containment_search"] = f"""
     FROM d JOIN i USING (g) JOIN sizes USING (item_id)
     GROUP BY doc_id, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles
 """
+
+@query
+def op5_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    files = scratch(spark, "warc")
+    warc.write(table(spark, folder, "pages"), files, date="2024-01-01T00:00:00Z")
+    return warc.summaries(warc.records(spark, files))
+
+
+SQL["op5_warc_archive"] = """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h, min(page_id) OVER (PARTITION BY sha256(b)) AS owner FROM p)
+    SELECT page_id, n AS payload_bytes, h AS payload_digest,
+        CASE WHEN n >= 100 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 100 AND page_id <> owner THEN owner END AS refers_to
+    FROM d
+"""
+
+
+@query
+def op1_isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return rules.judge(docs, rules.fit(docs, table(spark, folder, "labels")))
