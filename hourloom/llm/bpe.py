@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from hourloom.llm.common import CACHED_WORDS, texts_of
+from hourloom.llm.common import CACHED_WORDS, Remembered, texts_of
 
 # The word pattern of the byte-level vocabulary, in terms of letters, numbers and white space.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
@@ -84,11 +84,9 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Encoder(dict):
-    """Word to tuple of ids, computed when first asked for."""
-
+class Encoder:
     def __init__(self, path: str):
-        super().__init__()
+        self.ids_of = Remembered(self.encode_word)
         self.split = Splitter(path)
         letters, model = byte_letters(), self.split.spec["model"]
         vocab = model["vocab"]
@@ -135,12 +133,12 @@ class Encoder(dict):
                 b_ends, b = born[b], halves[b][0]
             else:
                 break
-        if len(self.tested) > 4 * CACHED_WORDS:
+        if len(self.tested) > CACHED_WORDS:
             self.tested.clear()
         self.tested[pair] = good
         return good
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: str) -> tuple[int, ...]:
         if word in self.split.special:
             return (self.split.special[word],)
         data = word.encode()
@@ -153,15 +151,10 @@ class Encoder(dict):
         while end:
             ids.append(last[end])
             end -= len(self.bytes_of[last[end]])
-        found = tuple(reversed(ids))
-        if len(word) <= 64:
-            if len(self) > CACHED_WORDS:
-                self.clear()
-            self[word] = found
-        return found
+        return tuple(reversed(ids))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.split.words(text))))
+        return list(chain.from_iterable(map(self.ids_of.__getitem__, self.split.words(text))))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

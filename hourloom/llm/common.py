@@ -12,10 +12,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A worker forgets its cache of words beyond this many entries. It bounds memory and changes no result.
+# Words a Python worker remembers, twice at most. It bounds memory and changes no result.
 CACHED_WORDS = 300_000
 
 
+class Remembered(dict):
+    """A function of words with a bounded memory: when it is full it becomes the older half, from which words in use come back."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, word):
+        value = self.older.get(word)
+        if value is None:
+            value = self.compute(word)
+        if len(self) >= CACHED_WORDS:
+            self.older = self.copy()
+            self.clear()
+        self[word] = value
+        return value
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session without that
     setting (tests) gets a folder of its own; a cluster without it is an error."""
@@ -77,16 +95,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
+class WordHashes(Remembered):
     """Word bytes to a 64-bit hash."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    def __init__(self, compute=xxhash.xxh3_64_intdigest):
+        super().__init__(compute)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHED_WORDS:
-            self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

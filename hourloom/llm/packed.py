@@ -19,8 +19,8 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourloom.llm.bpe import Splitter
-from hourloom.llm.common import CACHED_WORDS, texts_of
+from hourloom.llm.bpe import Splitter, byte_letters
+from hourloom.llm.common import Remembered, texts_of
 
 BLOCKS = (
     "shard int, block int, first long, n_ids long, width int, lo long, hi long, doc_ids array<long>, ends array<long>, payload binary"
@@ -57,22 +57,24 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     return (bits.reshape(count, width).astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-class LibraryIds(dict):
-    """Word to ids by the tokenizers library, which encodes each word on its own."""
+class LibraryIds:
+    """The ids of a text by the tokenizers library, which encodes each word on its own; words in use are remembered."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.split = Splitter(path)
         self.vocabulary = self.split.library.get_vocab_size(with_added_tokens=True)
+        self.tokenize = self.split.library.model.tokenize
+        names = {b: letter for letter, b in byte_letters().items()}
+        self.letters = [names[b] for b in range(256)]
+        self.ids_of = Remembered(self.encode_word)
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self.split.words(x) for x in texts]
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        new = list({w for w in chain.from_iterable(words) if w not in self})
-        found = self.split.library.encode_batch_fast(new, add_special_tokens=False)
-        self.update(zip(new, (x.ids for x in found), strict=True))
-        return [np.array(list(chain.from_iterable(map(self.__getitem__, w))), np.uint32) for w in words]
+    def encode_word(self, word: str) -> bytes:
+        if word in self.split.special:
+            return np.array([self.split.special[word]], "<u4").tobytes()
+        return array("I", [t.id for t in self.tokenize("".join(map(self.letters.__getitem__, word.encode())))]).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.ids_of.__getitem__, self.split.words(text))), "<u4")
 
 
 @functools.cache
@@ -97,16 +99,14 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, block_ids: i
 
         names: list = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, got in zip(part.column("doc_id").to_pylist(), lib.encode_all(texts_of(part)), strict=True):
-                    ids.append(np.append(got, np.uint32(end_id)))
-                    sizes.append(len(ids[-1]))
-                    names.append(doc_id)
-                    held += sizes[-1]
-                    if held >= block_ids:
-                        yield flush(names)
-                        block, first, ids, sizes, names, held = block + 1, first + held, [], [], [], 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+                ids.append(np.append(lib.encode(text), np.uint32(end_id)))
+                sizes.append(len(ids[-1]))
+                names.append(doc_id)
+                held += sizes[-1]
+                if held >= block_ids:
+                    yield flush(names)
+                    block, first, ids, sizes, names, held = block + 1, first + held, [], [], [], 0
         if names:
             yield flush(names)
 
