@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import bpe, contamination, cotrain, jaccard, language, packed, rules, suffix, warc
+from hourloom.llm import bpe, contamination, cotrain, jaccard, language, lm, packed, rules, suffix, warc
 from hourloom.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op1_isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
 def op3_cotraining(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return cotrain.score(docs, cotrain.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op8_attention_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"), vocabulary(), fold("doc_id", 7) == 2)
