@@ -28,8 +28,8 @@ from hourloom.llm.common import Remembered, WordHashes, stored, texts_of
 from hourloom.llm.packed import library_ids
 
 CHUNK_BYTES = 8_000_000
-WINDOW, STRIDE, WIDTH = 32, 16, 16
-SINGLE, SHARED = 48, 16  # classes of one id, classes of several
+WINDOW, STRIDE, WIDTH = 32, 24, 32
+SINGLE, SHARED = 192, 64  # classes of one id, classes of several
 INPUTS = 4_096  # frequent ids that have an input vector of their own; others have that of their class
 FIT_DOCS, FIT_WINDOWS, EPOCHS, BATCH = 3_000, 60_000, 3, 256
 END = b""
@@ -90,6 +90,7 @@ def windows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(-LAST, WINDOW)[:, None], 0, -1e9).astype(np.float32)
+OPEN = (MASK == 0).astype(np.float32)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -116,6 +117,26 @@ class Attention:
         h = x[:, -STRIDE:] + mixed @ w["o"]
         return x, q, k, v, a, mixed, h, softmax(h @ w["u"] + w["b"])
 
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """log10 probability of each target class, 0 where it is -1. As `forward`, but sums are divided by after the products."""
+        w = self.w
+        x = w["e"][np.maximum(inputs, 0)]
+        x += w["p"]
+        late = np.ascontiguousarray(x[:, -STRIDE:])
+        mass = (late @ (w["q"] * np.float32(WIDTH**-0.5))) @ (x @ w["k"]).transpose(0, 2, 1)
+        np.exp(np.minimum(mass, 60, out=mass), out=mass)
+        mass *= OPEN
+        mass *= (inputs >= 0)[:, None, :]
+        mixed = mass @ (x @ (w["v"] @ w["o"]))
+        mixed /= mass.sum(axis=2, keepdims=True)
+        mixed += late
+        logits = mixed.reshape(-1, WIDTH) @ w["u"]
+        logits += w["b"]
+        flat = targets.ravel()
+        wanted = logits[np.arange(len(flat)), np.maximum(flat, 0)]
+        total = np.exp(np.minimum(logits, 60, out=logits), out=logits).sum(axis=1)
+        return np.where(flat >= 0, (wanted - np.log(total)) * np.log10(np.e), 0).reshape(targets.shape)
+
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy of the classes; targets -1 do not count."""
         w = self.w
@@ -172,17 +193,14 @@ class Attention:
             owner = np.repeat(owners, [len(x[0]) for x in held])
             for at in range(0, len(inputs), BATCH):
                 some = slice(at, at + BATCH)
-                p = self.forward(inputs[some])[-1]
-                wanted = targets[some]
-                got = np.take_along_axis(p, classes.of[np.maximum(wanted, 0)][..., None], axis=2)[..., 0]
-                logs = np.where(wanted >= 0, np.log10(np.maximum(got, 1e-30)), 0).sum(axis=1, dtype=np.float64)
-                np.add.at(out, owner[some], logs)
+                np.add.at(out, owner[some], self.log_probabilities(inputs[some], targets[some]).sum(axis=1, dtype=np.float64))
 
         for i, ids in enumerate(texts):
             for start in range(0, len(ids), STRIDE * 4096):  # a long text is cut into windows piece by piece
-                lead = min(start, WINDOW)
+                lead = min(start, 2 * STRIDE)  # whole strides, at least the context of a window
                 inputs, targets, _ = windows(ids[start - lead : start + STRIDE * 4096], classes.row)
-                held.append((inputs[lead // STRIDE :], targets[lead // STRIDE :]))
+                wanted = targets[lead // STRIDE :]
+                held.append((inputs[lead // STRIDE :], np.where(wanted >= 0, classes.of[np.maximum(wanted, 0)], -1)))
                 owners.append(i)
                 many += len(held[-1][0])
                 if many >= 4 * BATCH:
@@ -203,16 +221,18 @@ def _gather(path: str):
         for batch in batches:
             for chunk in np.unique(batch.column("chunk").to_numpy()):
                 part = batch.filter(pa.array(batch.column("chunk").to_numpy() == chunk))
+                known: dict[int, bytes] = {}
                 names: list[np.ndarray] = []
                 weights: list[np.ndarray] = []
                 for text, held in zip(texts_of(part), part.column("held_out").to_pylist(), strict=True):
                     words = tokens(text)
                     names.append(hashes.of(words))
                     weights.append(np.full(len(words), not held))
-                    if not held:
-                        seen += np.bincount(coder.encode(words), minlength=len(seen))
+                    known.update(zip(names[-1].tolist(), words, strict=True))
                 found, place = np.unique(np.concatenate(names), return_inverse=True)
                 counts = np.bincount(place, np.concatenate(weights)).astype(np.int64)
+                spelled = [coder.of[known[name]] for name in found.tolist()]
+                seen += np.bincount(np.frombuffer(b"".join(spelled), "<u4"), np.repeat(counts, [len(x) // 4 for x in spelled]), minlength=len(seen)).astype(np.int64)
                 size = len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk, np.int32)), pa.array(found.view(np.int64)), pa.array(counts), pa.array(np.zeros(size, np.int32))], schema=schema)
         used = np.flatnonzero(seen)
