@@ -12,31 +12,37 @@ MIN_ROWS = 10
 MAX_COEF = 1e3
 
 
-def noise_variance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Residual variance per target of centred data: least squares when rows outnumber columns, else a ridge stand-in whose
-    penalty is the mean squared singular value and whose degrees of freedom are those of its hat matrix."""
-    n, p = x.shape
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
+def noise_variance(gram: np.ndarray, cov: np.ndarray, yy: np.ndarray, n: int) -> np.ndarray:
+    """Residual variance of each target, from products alone: gram and cov per observation, yy the targets' sums of squares.
+
+    In the eigenvectors of gram a fit that keeps the share h of direction i leaves (1 - h)^2 of that direction's part of y, so the residual is a
+    quadratic form. Least squares (h = 1) if rows outnumber columns by more than one; else a ridge whose penalty is the mean squared singular value.
+    """
+    p = len(gram)
+    strength, basis = np.linalg.eigh(gram)
+    real = strength > max(float(strength[-1]), 0.0) * 1e-12
+    strength = strength[real]
+    part = n * (basis[:, real].T @ cov) ** 2 / strength[:, None]  # squared length of y along each direction
     if n > p + 1:
-        shrink, dof = np.ones_like(s), p + 1.0
+        keep, used = np.ones(len(strength)), p + 1.0
     else:
-        shrink = s**2 / (s**2 + np.mean(s**2))
-        dof = shrink.sum()
-    rest = y - u @ (shrink[:, None] * (u.T @ y))
-    return np.maximum((rest**2).sum(axis=0) / max(n - dof, 1.0), 1e-8)
+        keep = strength / (strength + np.trace(gram) / min(n, p))
+        used = float(keep.sum())
+    left = yy - ((1 - (1 - keep) ** 2)[:, None] * part).sum(axis=0)
+    return np.maximum(left / max(n - used, 1.0), 1e-8)
 
 
-def aic_path(gram: np.ndarray, cov: np.ndarray, yy: float, n: int, variance: float) -> tuple[np.ndarray, float]:
-    """Coefficients and penalty of the breakpoint with the lowest AIC; gram and cov are per observation."""
+def aic_path(gram: np.ndarray, cov: np.ndarray, yy: float, n: int, variance: float) -> tuple[np.ndarray, float, bool]:
+    """Coefficients and penalty of the breakpoint with the lowest AIC, and whether the path came to its end; gram and cov are per observation."""
     p = len(cov)
     w, c = np.zeros(p), cov.copy()
     alpha = float(np.abs(c).max())
     best, best_w, best_alpha = yy / variance, w.copy(), alpha
     if alpha <= 0:
-        return best_w, best_alpha
+        return best_w, best_alpha, True
     least = max(n - p - 1.0, 0.0)  # residual term of the full fit, below which no model gets
     floor, used, blocked = alpha * 1e-8, [int(np.abs(c).argmax())], -1
-    for _ in range(8 * min(n, p)):
+    for _ in range(50 * min(n, p)):
         sign = np.sign(c[used])
         inner = gram[np.ix_(used, used)]
         d = np.linalg.solve(inner + 1e-10 * np.trace(inner) / len(used) * np.eye(len(used)), sign)
@@ -66,15 +72,17 @@ def aic_path(gram: np.ndarray, cov: np.ndarray, yy: float, n: int, variance: flo
         else:
             blocked = -1
             used.append(int(join.argmin()))
-    return best_w, best_alpha
+    else:
+        return best_w, best_alpha, False
+    return best_w, best_alpha, True
 
 
 def _positive(x: np.ndarray) -> np.ndarray:
     return np.where(x > 1e-12, x, np.inf)
 
 
-def descend(gram: np.ndarray, cov: np.ndarray, alpha: float, sweeps: int = 1000, tol: float = 1e-6) -> np.ndarray:
-    """Coordinate descent at one penalty: the refit for a path that ran away on nearly equal columns."""
+def descend(gram: np.ndarray, cov: np.ndarray, alpha: float, sweeps: int = 50_000, tol: float = 1e-6) -> tuple[np.ndarray, bool]:
+    """Coordinate descent at one penalty, and whether it settled: the refit for a path that ran away on nearly equal columns."""
     w = np.zeros(len(cov))
     for _ in range(sweeps):
         largest = 0.0
@@ -83,8 +91,8 @@ def descend(gram: np.ndarray, cov: np.ndarray, alpha: float, sweeps: int = 1000,
             new = np.sign(rho) * max(abs(rho) - alpha, 0.0) / gram[j, j]
             largest, w[j] = max(largest, abs(new - w[j])), new
         if largest < tol:
-            break
-    return w
+            return w, True
+    return w, False
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,14 +100,18 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n = len(x)
     xm, ym = x.mean(axis=0), y.mean(axis=0)
     xc, yc = x - xm, y - ym
-    gram, variance = xc.T @ xc / n, noise_variance(xc, yc)
+    gram = xc.T @ xc / n
+    variance = noise_variance(gram, xc.T @ yc / n, (yc**2).sum(axis=0), n)
     coef, failed = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1], dtype=bool)
     for k in range(y.shape[1]):
         t = yc[:, k]
         cov = xc.T @ t / n
-        w, alpha = aic_path(gram, cov, float(t @ t), n, float(variance[k]))
-        if np.abs(w).max() > MAX_COEF:
-            w = descend(gram, cov, alpha)
-        failed[k] = np.abs(w).max() > MAX_COEF
+        try:
+            w, alpha, done = aic_path(gram, cov, float(t @ t), n, float(variance[k]))
+            if np.abs(w).max() > MAX_COEF:
+                w, done = descend(gram, cov, alpha)
+        except np.linalg.LinAlgError:  # this target only
+            w, done = np.zeros(len(cov)), False
+        failed[k] = not done or np.abs(w).max() > MAX_COEF
         coef[:, k] = 0.0 if failed[k] else w
     return coef, np.where(failed, 0.0, ym - xm @ coef), failed

@@ -11,6 +11,11 @@ ENGLISH_WORDS = ["and", "for", "the", "due", "to", "on", "at", "from", "after",
 SWEDISH_LETTERS = "åäö"
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends, line ends included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def redact_token(text: Column, parameter: str = "securityToken") -> Column:
     """Hide the value of a secret query-string parameter, whatever its case."""
     return F.regexp_replace(text, f"(?i)({parameter}=)[^&\\s]+", "$1***REDACTED***")
@@ -28,7 +33,7 @@ def language_label(
     foreign_letters: str = SWEDISH_LETTERS,
 ) -> Column:
     """Struct(label, ambiguous): 'empty', 'foreign' or 'english'."""
-    clean = F.trim(F.coalesce(text, F.lit("")))
+    clean = strip(F.coalesce(text, F.lit("")))
     words = word_set(clean)
     foreign = F.size(F.array_intersect(words, F.array(*map(F.lit, foreign_words))))
     english = F.size(F.array_intersect(words, F.array(*map(F.lit, english_words))))

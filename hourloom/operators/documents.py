@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.functions import calendar as cal
+from hourloom.functions.text import strip
 from hourloom.operators import running
 
 
@@ -97,7 +98,7 @@ def assemble_context(documents: DataFrame, by: list[str], published: str, versio
     """
     block = F.concat(
         F.lit("--- version "), F.col(version).cast("string"), F.lit(" | published "),
-        F.date_format(published, "yyyy-MM-dd HH:mm:ss"), F.lit(" ---\n"), F.trim(F.col(body)),
+        F.date_format(published, "yyyy-MM-dd HH:mm:ss"), F.lit(" ---\n"), strip(F.col(body)),
     )
     ordered = F.sort_array(F.collect_list(F.struct(F.col(published).alias("p"), F.col(version).alias("v"), block.alias("b"))))
     return documents.groupBy(*by).agg(
@@ -145,8 +146,8 @@ def content_key(*parts: Column) -> Column:
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
-    """Requests with the cached answer and a `cache_hit` flag; a key cached twice counts once."""
-    once = cache.groupBy(key).agg(F.max_by(F.struct(*[c for c in cache.columns if c != key]), F.lit(0)).alias("__hit"))
+    """Requests with the cached answer and a `cache_hit` flag. Of the answers cached under one key the smallest row counts."""
+    once = cache.groupBy(key).agg(F.min(F.struct(*[c for c in cache.columns if c != key])).alias("__hit"))
     return requests.join(once, key, "left").select(
         *requests.columns, "__hit.*", F.col("__hit").isNotNull().alias("cache_hit")
     )

@@ -10,9 +10,6 @@ from hourloom.operators import running
 from hourloom.session import cut_lineage
 
 
-BROADCAST_ROWS = 1_000_000  # event differences are three short columns, so this is some tens of megabytes
-
-
 def group_positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos") -> DataFrame:
     """Positions 0, 1, ... within each group, by range partitions of the whole: no group is sorted in one task."""
     placed = running.global_positions(df, [*by, *order], "__g")
@@ -90,8 +87,6 @@ def block_bootstrap(
     u = num.uniform(F.lit(seed), F.col("draw"), F.col("__slot"))
     picks = slots.select(*by, "draw", F.floor(u * F.col("n_events")).alias("__i"))
     pool = placed.select(*by, "__i", value)
-    if pool.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pool = F.broadcast(pool)  # few events: the picks need not be shuffled; else an ordinary join
     means = picks.join(pool, [*by, "__i"]).groupBy(*by, "draw").agg(F.avg(value).alias("m"))
     # one row per draw: a fixed number, so the built-in exact percentile is bounded
     spread = means.groupBy(*by).agg(

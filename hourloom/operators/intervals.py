@@ -6,7 +6,10 @@ starts and ends; sums use signed changes; minima use power-of-two blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import bisect
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.functions import calendar as cal
@@ -14,6 +17,7 @@ from hourloom.functions import numeric as num
 from hourloom.operators import running
 from hourloom.session import cut_lineage
 
+# Document states that take a revision out of force.
 CANCELLED = ["Cancelled", "Withdrawn"]
 
 
@@ -147,10 +151,10 @@ def sweep_line_sum(
     intervals: DataFrame, by: list[str], start: str, end: str, amount: str, spine: DataFrame, ts: str = "ts",
     out: str = "total",
 ) -> DataFrame:
-    """Sum of `amount` over the intervals active at each hour of the spine (start <= hour < end).
+    """Sum of `amount` over the intervals active at each instant of the spine (start <= instant < end), whatever its step.
 
-    Changes are added up per (key, first hour they count for) before the shuffle, so the running
-    sum sees at most one row per key and hour however many intervals there are.
+    Changes are added up per (key, instant) before the shuffle, so the running sum sees one row per key and
+    distinct instant however many intervals there are.
     """
     x = F.coalesce(F.col(amount), F.lit(0.0))
     valid = intervals.where(F.col(start) < F.col(end))
@@ -158,11 +162,11 @@ def sweep_line_sum(
         *by,
         F.explode(
             F.array(
-                F.struct(cal.hour_index_up(F.col(start)).alias("h"), x.alias("x")),
-                F.struct(cal.hour_index_up(F.col(end)).alias("h"), (-x).alias("x")),
+                F.struct(F.col(start).alias("h"), x.alias("x")),
+                F.struct(F.col(end).alias("h"), (-x).alias("x")),
             )
         ).alias("c"),
-    ).select(*by, cal.instant_of_hour_index(F.col("c.h")).alias(ts), F.col("c.x").alias("__x"), F.lit(0).alias("__k"))
+    ).select(*by, F.col("c.h").alias(ts), F.col("c.x").alias("__x"), F.lit(0).alias("__k"))
     hours = spine.select(*by, F.col(ts), F.lit(0.0).alias("__x"), F.lit(1).alias("__k"))
     line = changes.unionByName(hours).groupBy(*by, ts).agg(F.sum("__x").alias("__x"), F.max("__k").alias("__k"))
     return running.running_sums(line, by, ts, {"__x": out}).where("__k = 1").select(*by, ts, out)
@@ -198,15 +202,20 @@ def _blocks(first: Column, last: Column, levels: int) -> Column:
 
 def min_active_value(
     intervals: DataFrame, by: list[str], start: str, end: str, value: str, spine: DataFrame, ts: str = "ts",
-    out: str = "min_active", levels: int = 4,
+    out: str = "min_active", levels: int = 5, grid_minutes: int = 15,
 ) -> DataFrame:
-    """Smallest `value` among the intervals active at each hour of the spine; NULL when none is.
+    """Smallest `value` among the intervals active at each instant of the spine; NULL when none is.
+
+    Instants of the spine must lie on a grid of `grid_minutes` (a quarter of an hour fits hourly spines of every time zone); one that does not is an
+    error. Intervals may start and end anywhere: between two points of the grid no instant of the spine can tell them apart.
 
     An interval becomes a few aligned blocks, whose minima are partial aggregates. Minima are then handed down
-    from coarse blocks to the finer ones inside them, and at last to the hours: each step joins one row per
-    block or hour with its own tile and its parent. Neither side is multiplied by the number of the other.
+    from coarse blocks to the finer ones inside them, and at last to the instants: each step joins one row per
+    block or instant with its own tile and its parent. Neither side is multiplied by the number of the other.
     """
-    first, last = cal.hour_index_up(F.col(start)), cal.hour_index_up(F.col(end))
+    step = grid_minutes * 60_000_000
+    up = lambda c: F.floor((F.unix_micros(c) + F.lit(step - 1)) / F.lit(step)).cast("bigint")
+    first, last = up(start), up(end)
     spans = intervals.where((F.col(start) < F.col(end)) & F.col(value).isNotNull()).select(
         *by, F.col(value).alias("__v"), first.alias("__a"), last.alias("__z")
     )
@@ -216,7 +225,8 @@ def min_active_value(
         .agg(F.min("__v").alias("__v"))
     )
     tiles = cut_lineage(tiles)  # each level reads its own part
-    hour = cal.hour_index(F.col(ts))
+    off = F.unix_micros(ts) % F.lit(step) != 0
+    hour = F.when(off, F.raise_error(F.lit("an instant of the spine is off the grid")).cast("bigint")).otherwise(F.floor(F.unix_micros(ts) / F.lit(step)))
     above = None
     for lvl in range(levels - 1, -1, -1):
         block = F.floor(hour / F.lit(FAN**lvl)).cast("bigint").alias("__k")
@@ -271,6 +281,9 @@ def argmax_duration_check(
 
 
 # ------------------------------------------------------------ greedy dedup
+FOLD_ROWS = 100_000  # rows of one island that a task decides at once; it bounds memory and changes no result
+
+
 def _touched(df: DataFrame, start: str, end: str, bucket_days: int) -> DataFrame:
     """One row per time bucket an interval touches."""
     width = 86_400_000_000 * bucket_days
@@ -279,45 +292,72 @@ def _touched(df: DataFrame, start: str, end: str, bucket_days: int) -> DataFrame
     return df.withColumn("__bucket", F.explode(F.sequence(first, last)))
 
 
+def _islands(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """Add the first instant of the row's island: rows of a key that are linked by overlaps, so that islands are independent."""
+    starts = df.groupBy(*by, start).agg(F.max(end).alias("__reach"))
+    starts = running.running_max_before(starts, by, start, "__reach", "__before")
+    opens = F.when(F.col("__before").isNull() | (F.col(start) >= F.col("__before")), F.col(start))
+    starts = running.carry_forward(starts.withColumn("__opens", opens), by, start, {"__opens": "__island"})
+    return df.join(starts.select(*by, start, "__island"), [*by, start])
+
+
+def _fold(ids: list, starts: list, ends: list) -> list:
+    """Rows in order of preference: None for a row that is kept, else the id of the first kept row that it overlaps."""
+    at: list = []  # starts of the kept rows, which are disjoint
+    kept: list = []  # (end, rank, id) in the same order
+    out = []
+    for rank, (own, a, z) in enumerate(zip(ids, starts, ends, strict=True)):
+        i = max(bisect.bisect_right(at, a) - 1, 0)
+        best = None
+        while i < len(at) and at[i] < z:
+            if kept[i][0] > a and (best is None or kept[i][1] < best[1]):
+                best = kept[i]
+            i += 1
+        out.append(None if best is None else best[2])
+        if best is None:
+            i = bisect.bisect_left(at, a)
+            at.insert(i, a)
+            kept.insert(i, (z, rank, own))
+    return out
+
+
 def greedy_interval_dedup(
-    df: DataFrame, by: list[str], row_id: str, start: str, end: str, size: str, bucket_days: int = 4,
-    max_rounds: int = 10_000,
+    df: DataFrame, by: list[str], row_id: str, start: str, end: str, size: str, bucket_days: int = 32, fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
-    """Largest first within each key: a row that overlaps a kept row is a duplicate of it.
+    """Largest first within each key (equal sizes: smaller id first): a row that overlaps a kept row is a duplicate of it.
 
-    The sequential rule is run as rounds. In each round every undecided row that is the largest of all
-    undecided rows in every time bucket it touches is kept (nothing undecided can beat it), and undecided
-    rows that overlap a kept row are dropped. Only per-bucket maxima are shuffled, so a hot key is spread
-    over its buckets. At last each dropped row is tied to the largest kept row it overlaps.
-    Returns the input with `duplicate_of` (NULL for kept rows). Rows with end <= start are kept.
+    Rows are cut into islands of overlapping rows. In each round a task decides the `fold_rows` largest rows of an island by one pass in
+    order of size, which is final, since only larger rows matter to a row. Only islands with more rows need another round: what overlaps
+    a kept row is dropped, and the rest forms new, smaller islands. Each round decides `fold_rows` rows of every large island, so it always ends.
+    Returns the input with `duplicate_of` (NULL for kept rows, and for rows with end <= start).
     """
     base = df.select(*by, row_id, start, end, size)
-    proper = cut_lineage(base.where(F.col(start) < F.col(end)))
-    undecided, kept_parts = proper, []
-    # larger size wins; equal sizes go to the smaller id
-    better = lambda p: F.struct((-F.col(f"{p}{size}")).alias("s"), F.col(f"{p}{row_id}").alias("i"))
-    for _ in range(max_rounds):
-        if undecided.isEmpty():
+    rest = base.where(F.col(start) < F.col(end))
+    kind = df.schema[row_id].dataType.simpleString()
+    keys = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(__first=-rows[size]).sort_values(["__first", row_id])
+        return rows[[*by, row_id, start, end, size]].assign(duplicate_of=_fold(rows[row_id].tolist(), rows[start].tolist(), rows[end].tolist()))
+
+    schema = f"{keys}{row_id} {kind}, {start} timestamp, {end} timestamp, {size} {df.schema[size].dataType.simpleString()}, duplicate_of {kind}"
+    decided = None
+    while True:
+        island = Window.partitionBy(*by, "__island").orderBy(F.col(size).desc(), F.col(row_id))
+        ranked = _islands(rest, by, start, end).withColumn("__rank", F.row_number().over(island))
+        now = ranked.where(F.col("__rank") <= fold_rows).drop("__rank").groupBy(*by, "__island").applyInPandas(decide, schema)
+        now = cut_lineage(now)
+        decided = now if decided is None else decided.unionByName(now)
+        left = rest.join(now.select(*by, row_id), [*by, row_id], "left_anti")
+        left = cut_lineage(left)
+        if left.isEmpty():
             break
-        touched = _touched(undecided, start, end, bucket_days)
-        best = touched.groupBy(*by, "__bucket").agg(F.min(better("")).alias("__best"))
-        wins = touched.join(best, [*by, "__bucket"]).groupBy(*by, row_id, start, end, size).agg(
-            F.every(F.col("__best.i") == F.col(row_id)).alias("__wins")
-        )
-        winners = cut_lineage(wins.where("__wins").select(*base.columns))
-        kept_parts.append(winners)
-        gone = _overlapping(undecided, winners, by, row_id, start, end, size, bucket_days).select(*by, row_id).distinct()
-        left = undecided.join(winners.select(*by, row_id), [*by, row_id], "left_anti")
-        undecided = cut_lineage(left.join(gone, [*by, row_id], "left_anti"))
-    if not kept_parts:
-        return df.withColumn("duplicate_of", F.lit(None).cast(df.schema[row_id].dataType))
-    kept = kept_parts[0]
-    for part in kept_parts[1:]:
-        kept = kept.unionByName(part)
-    losers = proper.join(kept.select(*by, row_id), [*by, row_id], "left_anti")
-    pairs = _overlapping(losers, kept, by, row_id, start, end, size, bucket_days)
-    owner = pairs.groupBy(*by, row_id).agg(F.min("__winner").alias("__w"))
-    return df.join(owner, [*by, row_id], "left").select(*df.columns, F.col("__w.i").alias("duplicate_of"))
+        pairs = _overlapping(left, now.where("duplicate_of is null"), by, row_id, start, end, size, bucket_days)
+        owner = cut_lineage(pairs.groupBy(*by, row_id).agg(F.min("__winner").alias("__w")))
+        gone = left.join(owner, [*by, row_id]).select(*base.columns, F.col("__w.i").alias("duplicate_of"))
+        decided = cut_lineage(decided.unionByName(gone))
+        rest = cut_lineage(left.join(owner, [*by, row_id], "left_anti"))
+    return df.join(decided.select(*by, row_id, "duplicate_of"), [*by, row_id], "left").select(*df.columns, "duplicate_of")
 
 
 def _overlapping(rows, kept, by, row_id, start, end, size, bucket_days):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.functions import calendar as cal
+from hourloom.functions.text import strip
 
 MIN_OVERLAP = 0.5
 MAX_LENGTH_RATIO = 3.0
@@ -142,7 +143,7 @@ def unit_name_match(
     looked up by their rarest piece only and then verified. Names shorter than a piece are looked up by all pieces
     that contain them. Without a match the first message with remarks stands in.
     """
-    clean = lambda c: F.trim(F.lower(F.coalesce(F.col(c), F.lit(""))))
+    clean = lambda c: strip(F.lower(F.coalesce(F.col(c), F.lit(""))))
     o = outages.select(outage, F.col(unit).alias("__unit"), clean(name).alias("__needle"))
     m = messages.select(message, F.col(order).alias("__ord"), F.col(unit).alias("__munit"), clean(name).alias("__hay"))
     by_id = o.where(F.col("__unit").isNotNull()).join(m, F.col("__unit") == F.col("__munit")).select(outage, message, "__ord")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourloom.functions import numeric as num
+
 BUCKET = "__bucket"
 
 
@@ -44,6 +46,16 @@ def running_sums(
     )
 
 
+def running_max_before(df: DataFrame, by: list[str], order: str, value: str, out: str, bucket: str = "month") -> DataFrame:
+    """Add the largest `value` of all rows strictly before the row's `order`; NULL where there is none. One row per key and order."""
+    rows = _cut(df, order, bucket)
+    keys = [*by, BUCKET]
+    earlier = rows.groupBy(*keys).agg(F.max(value).alias("__t")).select(*keys, F.max("__t").over(_earlier(by)).alias("__o"))
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumn("__w", F.max(value).over(inside))
+    return within.join(earlier, keys, "left").select(*df.columns, F.greatest("__o", "__w").alias(out))
+
+
 def carry_forward(
     df: DataFrame,
     by: list[str],
@@ -104,7 +116,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles `(by..., p, q)` of groups of any size.
 
-    The built-in `percentile` holds all distinct values of a group in one task. Here equal values are
+    NULL, NaN and infinite values do not count. The built-in `percentile` holds all distinct values of a group in one task. Here equal values are
     counted first. The value range is then cut into bins and only the bins that hold a wanted rank are looked
     at again, as often as needed until none of them has more than `max_bin` distinct values; those few are
     sorted. The table of wanted ranks has a handful of rows per group, so it is the small side of every join.
@@ -112,7 +124,7 @@ def exact_quantiles(
     from hourloom.session import cut_lineage
 
     counts = cut_lineage(
-        df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+        df.where(num.is_finite(F.col(value))).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     )
     span = counts.groupBy(*by).agg(
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"),
@@ -141,8 +153,9 @@ def exact_quantiles(
 
     cell = [*by, "__lo", "__hi"]
     while not wanted.where((F.col("__m") > max_bin) & (F.col("__lo") < F.col("__hi"))).isEmpty():
-        width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-        slot = F.least(F.coalesce(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(0)), F.lit(bins - 1))
+        # halves, as the range of two large values may not be a number
+        width = F.nullif(F.col("__hi") / 2 - F.col("__lo") / 2, F.lit(0.0))
+        slot = F.least(F.coalesce(F.floor((F.col("__v") / 2 - F.col("__lo") / 2) / width * bins), F.lit(0)), F.lit(bins - 1))
         grid = candidates().groupBy(*by, "__lo", "__hi", "__below", slot.alias("__slot")).agg(
             F.sum("__c").alias("__k"), F.count(F.lit(1)).alias("__m2"), F.min("__v").alias("__lo2"), F.max("__v").alias("__hi2")
         )

@@ -26,13 +26,13 @@ def take(
     """
     rest = pool
     if selected is not None:
-        rest = pool.join(F.broadcast(selected.select(row_id)), row_id, "left_anti")
+        rest = pool.join(selected.select(row_id), row_id, "left_anti")
     if cap is not None:
         rank = F.row_number().over(Window.partitionBy(unit).orderBy(*_best(size, row_id)))
         rest = rest.withColumn("__rn", rank).where(F.col("__rn") <= cap)
         if selected is not None:
             used = selected.groupBy(unit).agg(F.count(F.lit(1)).alias("__used"))
-            rest = rest.join(F.broadcast(used), unit, "left").where(
+            rest = rest.join(used, unit, "left").where(
                 F.col("__rn") <= F.lit(cap) - F.coalesce("__used", F.lit(0))
             ).drop("__used")
         rest = rest.drop("__rn")
@@ -59,10 +59,10 @@ def topk_swap_quota(pool: DataFrame, selected: DataFrame, flag: Column, quota: i
     """If fewer than `quota` selected rows carry the flag, the best flagged rows left replace the smallest unflagged."""
     flag = F.coalesce(flag, F.lit(False))
     have = selected.agg(F.count_if(flag).alias("n")).select("n").scalar()
-    spare = pool.where(flag).join(F.broadcast(selected.select(row_id)), row_id, "left_anti")
+    spare = pool.where(flag).join(selected.select(row_id), row_id, "left_anti")
     spare = _ranked(spare.orderBy(*_best(size, row_id)).limit(quota), _best(size, row_id))
     spare = spare.where(F.col("__i") <= F.lit(quota) - have)
-    weak = _ranked(selected.where(~flag), [F.col(size).asc(), F.col(row_id).desc()])
+    weak = _ranked(selected.where(~flag), [F.col(size).asc(), F.col(row_id).asc()])
     pairs = cut_lineage(weak.select("__i", F.col(row_id).alias("__out")).join(spare, "__i"))
     kept = selected.join(pairs.select(F.col("__out").alias(row_id)), row_id, "left_anti")
     return cut_lineage(kept.unionByName(pairs.select(*selected.columns)))
@@ -79,7 +79,7 @@ def topk_swap_same_kind(
     """
     flag = F.coalesce(flag, F.lit(False))
     order = F.struct((-F.col(size)).alias("s"), F.col(row_id).alias("i"))
-    candidates = pool.where(flag).join(F.broadcast(selected.select(row_id)), row_id, "left_anti").withColumn("__at", order)
+    candidates = pool.where(flag).join(selected.select(row_id), row_id, "left_anti").withColumn("__at", order)
     after = None
     missing = quota - selected.where(flag).count()
     for _ in range(max(missing, 0)):
@@ -89,7 +89,7 @@ def topk_swap_same_kind(
             left = left.where(F.col("__at") > last)
         used = selected.groupBy(unit).agg(F.count(F.lit(1)).alias("__used"))
         slots = selected.where(~flag).select(*alike).distinct()
-        left = left.join(F.broadcast(used), unit, "left").join(F.broadcast(slots), alike, "left_semi")
+        left = left.join(used, unit, "left").join(slots, alike, "left_semi")
         left = left.where(~(capped & (F.coalesce("__used", F.lit(0)) >= cap))).drop("__used")
         pick = cut_lineage(left.orderBy("__at").limit(1))
         row = pick.select("__at").first()

@@ -23,10 +23,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a temporary one only if none is set."""
+    """Use the shared folder that spark.checkpoint.dir names. Only a local session (tests) may go without and gets a temporary one."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hourloom-ckpt-"))
 
 

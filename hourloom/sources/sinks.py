@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourloom.session import ensure_checkpoint_dir
@@ -39,9 +40,12 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def resume_append(todo: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose keys the sink does not hold yet; running it again adds nothing."""
-    done = read_or_empty(todo.sparkSession, path, todo.schema).select(*keys).distinct()
-    todo.join(done, keys, "left_anti").write.mode("append").parquet(path)
+    """Append the rows whose keys the sink does not hold yet, one row for each key; running it again adds nothing. NULL is a key value like others."""
+    done = read_or_empty(todo.sparkSession, path, todo.schema).select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    todo.dropDuplicates(keys).join(done, same, "left_anti").write.mode("append").parquet(path)
 
 
 def replace_snapshot(df: DataFrame, path: str, partition: list[str] | None = None) -> None:

@@ -33,14 +33,14 @@ def versions(spark, folder):
 
 def candidates(spark, folder):
     i = iv.derive_reduction(V.intervals(spark, folder), "nominal", "avail", "start", "end")
-    return i.where("reduction >= 5").select("row_id", "unit", "start", "end", "reduction", "kind", "feed")
+    return i.select("row_id", "unit", "start", "end", "reduction", "kind", "feed")
 
 
 MP = """SELECT message, version, unit, published, remarks, role, start, "end", mw FROM m
     UNION ALL SELECT message, version, unit, published, remarks, role, "end" + INTERVAL 5 DAY, "end" + INTERVAL 6 DAY, mw / 2 FROM m WHERE version % 2 = 1"""
 VR = """SELECT message, version, unit, published, remarks, min(start) AS start, max("end") AS "end", max(CASE WHEN start IS NOT NULL THEN coalesce(mw, 0) END) AS mw,
     count(start) AS n_periods FROM mp GROUP BY ALL"""
-CD = 'SELECT row_id, unit, start, "end", l_quantity AS reduction, kind, feed FROM i WHERE l_quantity >= 5'
+CD = 'SELECT row_id, unit, start, "end", l_quantity AS reduction, kind, feed FROM i'
 LV = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message ORDER BY version DESC) AS k FROM vr) WHERE k = 1"
 
 
@@ -250,7 +250,7 @@ def topk_per_stratum_capped(spark, folder):
 
 @query("topk_swap_quota", sql("""SELECT row_id, unit, size, business FROM s5 WHERE row_id NOT IN (SELECT o FROM sw) UNION ALL SELECT row_id, unit, size, business FROM sw""", "i", pool=POOL, **_CHAIN,
     sw="""SELECT f.row_id, f.unit, f.size, f.business, w.row_id AS o FROM (SELECT *, row_number() OVER (ORDER BY size DESC, row_id) AS k FROM pool WHERE business = 'R' AND kind = 'generation' AND row_id NOT IN (SELECT row_id FROM s5)) f
-        JOIN (SELECT *, row_number() OVER (ORDER BY size, row_id DESC) AS k FROM s5 WHERE business <> 'R') w ON w.k = f.k WHERE f.k <= 25 - (SELECT count(*) FROM s5 WHERE business = 'R')"""))
+        JOIN (SELECT *, row_number() OVER (ORDER BY size, row_id) AS k FROM s5 WHERE business <> 'R') w ON w.k = f.k WHERE f.k <= 25 - (SELECT count(*) FROM s5 WHERE business = 'R')"""))
 def topk_swap_quota(spark, folder):
     p, selected = chain(spark, folder)
     return se.topk_swap_quota(p.where("kind = 'generation'"), selected, F.col("business") == "R", 25, "row_id", "size").select("row_id", "unit", "size", "business")

@@ -15,7 +15,7 @@ L = V.LOCAL.format
 
 # hours from the first start to the last end of all intervals, per group
 SPINE = lambda g: f"""SELECT k.{g}, x.ts FROM (SELECT DISTINCT {g} FROM i) k, (SELECT unnest(generate_series(min(start), max("end"), INTERVAL 1 HOUR)) AS ts FROM i) x"""
-DAYS = lambda g: f"""SELECT k.{g}, x.ts FROM (SELECT DISTINCT {g} FROM i) k, (SELECT unnest(generate_series(min(start), max("end"), INTERVAL 6 HOUR)) AS ts FROM i) x"""
+DAYS = lambda g: f"""SELECT k.{g}, x.ts FROM (SELECT DISTINCT {g} FROM i) k, (SELECT unnest(generate_series(min(start), max("end"), INTERVAL 1 HOUR)) AS ts FROM i) x"""
 
 
 def interval_spine(i, group, step="1 hour"):
@@ -87,20 +87,20 @@ def composite_key_flag(spark, folder):
     return iv.composite_key_flag(v, iv.latest_revision(v), ["mrid", "revision"]).select("mrid", "revision", "unit", "qty", F.to_date("period").alias("period"), "kept")
 
 
-@query("interval_anti_join", sql(f"""SELECT row_id FROM j o WHERE feed = 'O' AND NOT EXISTS (SELECT 1 FROM j f WHERE f.feed = 'F' AND f.unit = o.unit AND f.bin = o.bin
-    AND f.start < o."end" AND o.start < f."end")""", "i", sh=SHIFTED, j="SELECT *, l_orderkey % 50 AS bin FROM sh"))
+@query("interval_anti_join", sql(f"""SELECT row_id FROM j o WHERE feed = 'O' AND NOT EXISTS (SELECT 1 FROM j f WHERE f.feed = 'F' AND f.unit = o.unit
+    AND f.start < o."end" AND o.start < f."end")""", "i", sh=SHIFTED, j="SELECT * FROM sh"))
 def interval_anti_join(spark, folder):
-    i = shift_feed(V.intervals(spark, folder)).withColumn("bin", F.col("l_orderkey") % 50)
-    return iv.interval_anti_join(i.where("feed = 'O'"), i.where("feed = 'F'"), ["unit", "bin"], "start", "end").select("row_id")
+    i = shift_feed(V.intervals(spark, folder))
+    return iv.interval_anti_join(i.where("feed = 'O'"), i.where("feed = 'F'"), ["unit"], "start", "end").select("row_id")
 
 
-@query("point_in_any_interval", sql(f"""SELECT series, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM e WHERE e.start <= q.ts AND q.ts <= e."end" AND e.driver = 'error' AND e.kind = 'generation' AND e.reduction > 90)) AS n_inside
+@query("point_in_any_interval", sql(f"""SELECT series, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM e WHERE e.start <= q.ts AND q.ts <= e."end" AND true)) AS n_inside
     FROM (SELECT series, ts FROM s UNION ALL SELECT 'grid', ts FROM spine UNION ALL SELECT 'none', NULL) q GROUP BY 1""", "s", "spine", "e"))
 def point_in_any_interval(spark, folder):
     s = V.raw_series(spark, folder).select("series", "ts")
     grid = V.spine(spark, folder).select(F.lit("grid").alias("series"), "ts")
     none = spark.range(1).select(F.lit("none").alias("series"), F.lit(None).cast("timestamp").alias("ts"))
-    e = V.curated(spark, folder).where("driver = 'error' and reduction > 90")
+    e = V.curated(spark, folder)
     out = iv.point_in_any_interval(s.unionByName(grid).unionByName(none), e, [], "ts", "start", "end")
     return out.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.count_if("inside").alias("n_inside"))
 
@@ -131,7 +131,7 @@ _MINACT = f"""SELECT p.unit, p.ts, min(a.avail) AS min_active FROM sp p LEFT JOI
 @query("min_active_value", sql(f"SELECT unit, {d('ts')} AS day, sum(coalesce(min_active, 99.0)) AS total, min(min_active) AS lowest, count(min_active) AS n_active FROM ma GROUP BY 1, 2", "i", sh=SHIFTED, sp=DAYS("unit"), ma=_MINACT))
 def min_active_value(spark, folder):
     i = V.intervals(spark, folder)
-    low = iv.min_active_value(shift_feed(i), ["unit"], "start", "end", "avail", interval_spine(i, "unit", "6 hours"))
+    low = iv.min_active_value(shift_feed(i), ["unit"], "start", "end", "avail", interval_spine(i, "unit", "1 hour"))
     return low.groupBy("unit", F.to_date("ts").alias("day")).agg(
         F.sum(F.coalesce("min_active", F.lit(99.0))).alias("total"), F.min("min_active").alias("lowest"), F.count("min_active").alias("n_active"))
 
@@ -143,38 +143,38 @@ _DRV = "SELECT ma.unit, ts, nominal, greatest(nominal - coalesce(min_active, nom
 @query("capacity_driver", sql(f"SELECT unit, {d('ts')} AS day, nominal, sum(unavailable) AS total, max(unavailable) AS peak FROM drv GROUP BY 1, 2, 3", "i", sh=SHIFTED, sp=DAYS("unit"), ma=_MINACT, nom=_NOM, drv=_DRV))
 def capacity_driver(spark, folder):
     i = V.intervals(spark, folder)
-    drv = iv.capacity_driver(shift_feed(i), ["unit"], "start", "end", "avail", interval_spine(i, "unit", "6 hours"))
+    drv = iv.capacity_driver(shift_feed(i), ["unit"], "start", "end", "avail", interval_spine(i, "unit", "1 hour"))
     return drv.groupBy("unit", F.to_date("ts").alias("day"), "nominal").agg(F.sum("unavailable").alias("total"), F.max("unavailable").alias("peak"))
 
 
 @query("argmax_duration_check", sql(f"""SELECT l.unit, {t('l.start')} AS start, {t('l."end"')} AS "end", l.avail, count(*) AS n_hours,
     count(*) FILTER (WHERE abs(d.unavailable - (d.nominal - l.avail)) <= 1e-6) AS n_match
-    FROM (SELECT * FROM sh WHERE kind <> 'N' ORDER BY "end" - start DESC, row_id LIMIT 1) l JOIN drv d ON d.unit = l.unit AND d.ts >= l.start AND d.ts < l."end" GROUP BY 1, 2, 3, 4""",
+    FROM (SELECT * FROM sh ORDER BY "end" - start DESC, row_id LIMIT 1) l JOIN drv d ON d.unit = l.unit AND d.ts >= l.start AND d.ts < l."end" GROUP BY 1, 2, 3, 4""",
     "i", sh=SHIFTED, sp=DAYS("unit"), ma=_MINACT, nom=_NOM, drv=_DRV))
 def argmax_duration_check(spark, folder):
     i = V.intervals(spark, folder)
     sh = shift_feed(i)
-    drv = iv.capacity_driver(sh, ["unit"], "start", "end", "avail", interval_spine(i, "unit", "6 hours"))
-    return iv.argmax_duration_check(sh.where("kind <> 'N'"), drv, ["unit"], "start", "end", "avail", ["row_id"])
+    drv = iv.capacity_driver(sh, ["unit"], "start", "end", "avail", interval_spine(i, "unit", "1 hour"))
+    return iv.argmax_duration_check(sh, drv, ["unit"], "start", "end", "avail", ["row_id"])
 
 
 @query("agg_sum_columns", sql(f"""SELECT {b('unit % 2')} AS side, {t('ts')} AS ts, sum(unavailable) AS total FROM drv GROUP BY 1, 2""",
     "i", sh=SHIFTED, sp=DAYS("unit"), ma=_MINACT, nom=_NOM, drv=_DRV))
 def agg_sum_columns(spark, folder):
     i = V.intervals(spark, folder)
-    drv = iv.capacity_driver(shift_feed(i), ["unit"], "start", "end", "avail", interval_spine(i, "unit", "6 hours"))
+    drv = iv.capacity_driver(shift_feed(i), ["unit"], "start", "end", "avail", interval_spine(i, "unit", "1 hour"))
     return rel.sum_by_side(drv, F.pmod("unit", F.lit(2)).cast("int"), "ts", "unavailable")
 
 
 @query("available_capacity", sql(f"""SELECT {t('sw.ts')} AS ts, inst.year, inst.installed, total, inst.installed - total AS available FROM (
       SELECT ts, sum(coalesce(x, 0)) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING) AS total, k FROM (SELECT ts, sum(x) AS x, max(k) AS k FROM (
-        SELECT start AS ts, l_quantity AS x, 0 AS k FROM i WHERE kind = 'N' UNION ALL SELECT "end", -l_quantity, 0 FROM i WHERE kind = 'N' UNION ALL SELECT DISTINCT ts, 0, 1 FROM sp) GROUP BY 1)) sw
+        SELECT start AS ts, l_quantity AS x, 0 AS k FROM i UNION ALL SELECT "end", -l_quantity, 0 FROM i UNION ALL SELECT DISTINCT ts, 0, 1 FROM sp) GROUP BY 1)) sw
     LEFT JOIN inst ON inst.year = year({L('sw.ts')}) WHERE sw.k = 1""", "i", sp=DAYS("kind"),
     inst="SELECT year(o_orderdate) AS year, floor(sum(o_totalprice)) AS installed FROM orders GROUP BY 1"), digits={"installed": 0, "available": 0})
 def available_capacity(spark, folder):
     i = iv.derive_reduction(V.intervals(spark, folder), "nominal", "avail", "start", "end")
-    one = interval_spine(i, "kind", "6 hours").select("ts").distinct()
-    total = iv.sweep_line_sum(i.where("kind = 'N'"), [], "start", "end", "reduction", one)
+    one = interval_spine(i, "kind", "1 hour").select("ts").distinct()
+    total = iv.sweep_line_sum(i, [], "start", "end", "reduction", one)
     inst = V.registry(spark, folder).groupBy("year").agg(F.floor(F.sum("mw")).cast("double").alias("installed"))
     return iv.available_capacity(inst, "year", total, "ts", "total", TZ)
 
@@ -245,9 +245,9 @@ def lookup_enum(spark, folder):
     return rel.lookup_enum(o, "o_orderpriority", table, "value", "text", "ord", "label").select("o_orderkey", "label")
 
 
-@query("lookup_year_map", sql(f"""SELECT row_id, k.installed FROM i LEFT JOIN (SELECT year, floor(max(mw)) AS installed FROM g WHERE year < 2000 GROUP BY 1) k ON k.year = year({L('start')})""", "i", "g"))
+@query("lookup_year_map", sql(f"""SELECT row_id, k.installed FROM i LEFT JOIN (SELECT year, floor(max(mw)) AS installed FROM g GROUP BY 1) k ON k.year = year({L('start')})""", "i", "g"))
 def lookup_year_map(spark, folder):
-    k = V.registry(spark, folder).where("year < 2000").groupBy("year").agg(F.floor(F.max("mw")).cast("double").alias("installed"))
+    k = V.registry(spark, folder).groupBy("year").agg(F.floor(F.max("mw")).cast("double").alias("installed"))
     i = V.intervals(spark, folder).withColumn("year", F.year(cal.wall(F.col("start"), TZ)))
     return i.join(k, "year", "left").select("row_id", "installed")
 
@@ -258,9 +258,9 @@ def positional_ids(spark, folder):
     return rel.positional_ids(V.intervals(spark, folder), "kind", ["start", "row_id"], "event_id", time="start").select("row_id", "kind", "event_id")
 
 
-@query("sample_head", sql("SELECT kind, string_agg(CAST(unit AS VARCHAR), ';' ORDER BY unit) AS head FROM (SELECT kind, unit, row_number() OVER (PARTITION BY kind ORDER BY unit) AS k FROM (SELECT DISTINCT kind, unit FROM i WHERE l_quantity > 40)) WHERE k <= 20 GROUP BY 1", "i"))
+@query("sample_head", sql("SELECT kind, string_agg(CAST(unit AS VARCHAR), ';' ORDER BY unit) AS head FROM (SELECT kind, unit, row_number() OVER (PARTITION BY kind ORDER BY unit) AS k FROM (SELECT DISTINCT kind, unit FROM i)) WHERE k <= 20 GROUP BY 1", "i"))
 def sample_head(spark, folder):
-    return rel.sample_head(V.intervals(spark, folder).where("l_quantity > 40"), ["kind"], "unit", 20, "head")
+    return rel.sample_head(V.intervals(spark, folder), ["kind"], "unit", 20, "head")
 
 
 @query("ordered_report", sql("""SELECT unit, kind, total, n, rank() OVER (ORDER BY total, unit, kind) AS position FROM (SELECT unit, kind, sum(l_quantity) AS total, count(*) AS n FROM i GROUP BY 1, 2)""", "i"))
@@ -287,14 +287,14 @@ def cross_join_expand(spark, folder):
     return rel.cross_join_expand(rel.cross_join_expand(e, "hour", 24), "condition", ["no_context", "context", "oracle"])
 
 
-_GREEDY = """WITH RECURSIVE o AS (SELECT unit, bin, row_id, start, "end", row_number() OVER (PARTITION BY unit, bin ORDER BY l_quantity DESC, row_id) AS rn FROM j),
-  w AS (SELECT unit, bin, rn, row_id, NULL::VARCHAR AS duplicate_of, [{'i': row_id, 's': start, 'e': "end"}] AS kept FROM o WHERE rn = 1
-    UNION ALL SELECT o.unit, o.bin, o.rn, o.row_id, list_filter(w.kept, lambda k: o.start < k.e AND k.s < o."end")[1].i,
+_GREEDY = """WITH RECURSIVE o AS (SELECT unit, row_id, start, "end", row_number() OVER (PARTITION BY unit ORDER BY l_quantity DESC, row_id) AS rn FROM j),
+  w AS (SELECT unit, rn, row_id, NULL::VARCHAR AS duplicate_of, [{'i': row_id, 's': start, 'e': "end"}] AS kept FROM o WHERE rn = 1
+    UNION ALL SELECT o.unit, o.rn, o.row_id, list_filter(w.kept, lambda k: o.start < k.e AND k.s < o."end")[1].i,
       CASE WHEN len(list_filter(w.kept, lambda k: o.start < k.e AND k.s < o."end")) > 0 THEN w.kept ELSE list_append(w.kept, {'i': o.row_id, 's': o.start, 'e': o."end"}) END
-    FROM w JOIN o ON o.unit = w.unit AND o.bin = w.bin AND o.rn = w.rn + 1) SELECT row_id, duplicate_of FROM w"""
+    FROM w JOIN o ON o.unit = w.unit AND o.rn = w.rn + 1) SELECT row_id, duplicate_of FROM w"""
 
 
-@query("greedy_interval_dedup", sql("SELECT row_id, duplicate_of FROM z", "i", j="SELECT *, l_orderkey % 50 AS bin FROM i", z=_GREEDY))
+@query("greedy_interval_dedup", sql("SELECT row_id, duplicate_of FROM z", "i", j="SELECT * FROM i", z=_GREEDY))
 def greedy_interval_dedup(spark, folder):
-    i = V.intervals(spark, folder).withColumn("bin", F.col("l_orderkey") % 50)
-    return iv.greedy_interval_dedup(i, ["unit", "bin"], "row_id", "start", "end", "l_quantity", bucket_days=32).select("row_id", "duplicate_of")
+    i = V.intervals(spark, folder)
+    return iv.greedy_interval_dedup(i, ["unit"], "row_id", "start", "end", "l_quantity", bucket_days=32).select("row_id", "duplicate_of")
