@@ -121,31 +121,32 @@ def panel_summary(spark, folder):
 
 
 @query("missing_partner_report", sql(f"""SELECT 'model_coverage' AS "check", event_id, {d('day')} AS day, 'no model for this day' AS detail FROM ed
-    WHERE NOT EXISTS (SELECT 1 FROM slots s WHERE s.series = '{TARGET}' AND s.day = ed.day AND value > 150)""", *BASE, **P))
+    WHERE ed.day NOT IN (SELECT day FROM slots WHERE series = '{TARGET}' GROUP BY day HAVING count(value) = 24)""", *BASE, **P))
 def missing_partner_report(spark, folder):
     days = tl.event_days(V.curated(spark, folder), "start", "end", TZ).select("event_id", "day")
-    models = ft.day_hour_profile(V.hourly(spark, folder).where(F.col("series") == TARGET), ["series"], "ts", "value", TZ).where("value > 150")
+    models = ft.day_hour_profile(V.hourly(spark, folder).where(F.col("series") == TARGET), ["series"], "ts", "value", TZ)
+    models = models.groupBy("day").agg(F.count("value").alias("n")).where("n = 24").select("day")  # a model needs all hours
     return rel.missing_partner_report(days, models, ["day"], "model_coverage", "no model for this day")
 
 
 _MN = dict(
-    ak="SELECT DISTINCT driver, day FROM ed WHERE event_id LIKE '%-N-%'",
+    ak="SELECT DISTINCT driver, day FROM ed",
     mn="""SELECT ak.driver, ak.day, s.hour, median(s.value) AS normal FROM ak, slots s WHERE s.series = ak.driver AND s.value IS NOT NULL AND s.day IN (ak.day - 7, ak.day - 14, ak.day - 21, ak.day - 28)
         AND s.day NOT IN (SELECT day FROM busy) GROUP BY 1, 2, 3""",
     mc="""SELECT ak.driver, ak.day, count(DISTINCT s.day) AS n_controls FROM ak, slots s WHERE s.series = ak.driver AND s.value IS NOT NULL AND s.day IN (ak.day - 7, ak.day - 14, ak.day - 21, ak.day - 28)
         AND s.day NOT IN (SELECT day FROM busy) GROUP BY 1, 2""",
 )
-_BUSY = "SELECT DISTINCT day FROM ak WHERE day > DATE '2024-01-16'"
+_BUSY = "SELECT DISTINCT day FROM ak"
 
 
 def normal_days(spark, folder):
-    """Days asked for, in the second half of the month so that quiet weeks before them exist."""
+    """Every day of every event, with its driver."""
     days = tl.event_days(V.curated(spark, folder), "start", "end", TZ)
-    return days.where(F.col("event_id").contains("-N-") & (F.col("day") > F.lit("2024-01-16").cast("date"))).select(F.col("driver").alias("series"), "day").distinct()
+    return days.select(F.col("driver").alias("series"), "day").distinct()
 
 
 @query("matched_normal_profile", sql(f"""SELECT ak.driver AS series, {d('ak.day')} AS day, k.hour, {r('mn.normal')} AS normal, coalesce(mc.n_controls, 0) AS n_controls FROM ak CROSS JOIN (SELECT unnest(range(0, 24)) AS hour) k
-    LEFT JOIN mn ON mn.driver = ak.driver AND mn.day = ak.day AND mn.hour = k.hour LEFT JOIN mc ON mc.driver = ak.driver AND mc.day = ak.day WHERE ak.day > DATE '2024-01-16'""",
+    LEFT JOIN mn ON mn.driver = ak.driver AND mn.day = ak.day AND mn.hour = k.hour LEFT JOIN mc ON mc.driver = ak.driver AND mc.day = ak.day""",
     *BASE, ed=P["ed"], ak=_MN["ak"], busy=_BUSY, mn=_MN["mn"], mc=_MN["mc"]))
 def matched_normal_profile(spark, folder):
     p = ft.day_hour_profile(V.hourly(spark, folder), ["series"], "ts", "value", TZ)
@@ -159,7 +160,7 @@ def matched_normal_profile(spark, folder):
       avg(CAST(vn > 0 AS INTEGER)) AS svn, avg(CASE WHEN ok THEN coalesce(CAST(vp > 0 AS INTEGER), 0) END) AS svp FROM (
       SELECT *, CASE WHEN ok THEN sg * (driver_realised - normal) END AS vn, CASE WHEN ok THEN sg * (driver_realised - driver_persistence) END AS vp FROM (
         SELECT ps.*, mn.normal, CASE WHEN mk.driver IS NOT NULL THEN coalesce(mc.n_controls, 0) END AS n_controls, CASE WHEN kind = 'generation' THEN -1.0 ELSE 1.0 END AS sg,
-          affected AND driver_realised IS NOT NULL AND mn.normal IS NOT NULL AS ok FROM ps LEFT JOIN ak mk ON mk.driver = ps.driver AND mk.day = ps.day AND ps.day > DATE '2024-01-16'
+          affected AND driver_realised IS NOT NULL AND mn.normal IS NOT NULL AS ok FROM ps LEFT JOIN ak mk ON mk.driver = ps.driver AND mk.day = ps.day
           LEFT JOIN mn ON mn.driver = mk.driver AND mn.day = mk.day AND mn.hour = ps.hour LEFT JOIN mc ON mc.driver = mk.driver AND mc.day = mk.day)) GROUP BY 1, 2, 3, 4, 5)""",
     *BASE, **P, ak=_MN["ak"], busy=_BUSY, mn=_MN["mn"], mc=_MN["mc"]))
 def absorption(spark, folder):
@@ -220,7 +221,7 @@ def decompose_by_kind(spark, folder):
     return au.decompose_rollup(decomposed(spark, folder), ["kind", "driver"])
 
 
-DRAWS = 1000
+DRAWS = 10_000
 _BB = dict(
     st=KIND,
     pe="""SELECT stratum, event_id, avg(oe) - avg(be) AS diff, row_number() OVER (PARTITION BY stratum ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY stratum) AS n

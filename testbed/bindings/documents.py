@@ -131,7 +131,7 @@ def asof_document_set(spark, folder):
     return known_documents(spark, folder).select("event_id", "day", "message", "version", "published")
 
 
-@query("assemble_context", sql(f"""SELECT event_id, {d('day')} AS day, count(*) AS n_documents, md5(string_agg('--- version ' || version || ' | published ' || {t('published')} || ' ---' || chr(10) || trim(remarks),
+@query("assemble_context", sql(f"""SELECT event_id, {d('day')} AS day, count(*) AS n_documents, md5(string_agg('--- version ' || version || ' | published ' || {t('published')} || ' ---' || chr(10) || regexp_replace(remarks, '^\\s+|\\s+$', '', 'g'),
     chr(10) || chr(10) ORDER BY published, version)) AS context FROM ad GROUP BY 1, 2""", "i", "m", **CH, ed=ED, ad=AD))
 def assemble_context(spark, folder):
     return dc.assemble_context(known_documents(spark, folder), ["event_id", "day"], "published", "version", "remarks").withColumn("context", F.md5("context"))
@@ -139,7 +139,7 @@ def assemble_context(spark, folder):
 
 @query("render_document", sql(f"""SELECT message, version, md5(concat_ws(chr(10), 'Event: E' || message || ' (unit-' || unit || ', generation)', 'Message: ' || message || ' version ' || version, 'Published: ' || {t('published')},
     'Unavailability type: ' || CASE role WHEN 'user' THEN 'planned' WHEN 'assistant' THEN 'unplanned' ELSE 'None' END, 'Reason code: None', 'Unavailability reason: ' || role, '', 'Time periods:', '  Unit/border: unit-' || unit,
-    lines, '', 'Remarks:', CASE WHEN version = 3 THEN '(none)' ELSE remarks END)) AS body FROM (
+    lines, '', 'Remarks:', CASE WHEN remarks = '' THEN '(none)' ELSE remarks END)) AS body FROM (
     SELECT message, version, unit, published, remarks, role, string_agg('    ' || coalesce({t('start')}, 'None') || ' -> ' || coalesce({t('"end"')}, 'None') || ': unavailable ' || coalesce(CAST(CAST(floor(mw + 0.5) AS INTEGER) AS VARCHAR), 'None') || ' MW, available 7 MW',
       chr(10) ORDER BY start) AS lines FROM mp GROUP BY ALL)""", "m", mp=MP))
 def render_document(spark, folder):
@@ -150,7 +150,6 @@ def render_document(spark, folder):
     v = v.withColumn("event_id", F.concat(F.lit("E"), "message")).withColumn("unit_name", F.concat(F.lit("unit-"), "unit")).withColumn("kind", F.lit("generation"))
     v = v.withColumn("published_text", fmt("published")).withColumn("reason", F.col("role")).withColumn("reason_code_text", F.lit(None).cast("string"))
     v = v.withColumn("type_text", F.when(F.col("role") == "user", "planned").when(F.col("role") == "assistant", "unplanned"))
-    v = v.withColumn("remarks", F.when(F.col("version") == 3, F.lit("")).otherwise(F.col("remarks")))
     return dc.render_document(v).select("message", "version", F.md5("body").alias("body"))
 
 
@@ -168,13 +167,15 @@ def content_key(spark, folder):
 _EN = "['" + "', '".join(tx.ENGLISH_WORDS) + "']"
 _FR = ["le", "la", "de", "un", "des", "que", "qui", "dans"]
 _LANG = f"""SELECT lang, doc_id, tx, tok, len(list_intersect(tok, {_FR})) AS fh, len(list_intersect(tok, {_EN})) AS eh, regexp_matches(lower(tx), '[éèêç]') AS mk FROM (
-    SELECT lang, doc_id, tx, list_filter(list_distinct(regexp_split_to_array(translate(lower(tx), '.,', '  '), '\\s+')), lambda w: w <> '') AS tok FROM (SELECT lang, doc_id, trim(CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END) AS tx FROM documents))"""
+    SELECT lang, doc_id, tx, list_filter(list_distinct(regexp_split_to_array(translate(lower(tx), '.,', '  '), '\\s+')), lambda w: w <> '') AS tok FROM (SELECT lang, doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS tx FROM (SELECT lang, doc_id, text FROM documents UNION ALL SELECT 'en', -1, '' UNION ALL SELECT 'en', -2, chr(10) || ' ' || chr(10) UNION ALL SELECT 'fr', -3, NULL)))"""
 
 
 @query("language_heuristic", sql(f"""SELECT lang, count(*) AS n_total, count(*) FILTER (WHERE tx = '') AS n_empty, count(*) FILTER (WHERE tx <> '' AND NOT (mk OR fh > eh)) AS n_english, count(*) FILTER (WHERE tx <> '' AND (mk OR fh > eh)) AS n_foreign,
     count(*) FILTER (WHERE tx <> '' AND fh = 0 AND eh = 0 AND NOT mk AND len(tok) < 3) AS n_ambiguous, {r("count(*) FILTER (WHERE tx <> '' AND NOT (mk OR fh > eh)) / nullif(count(*) FILTER (WHERE tx <> ''), 0)")} AS share_english FROM lg GROUP BY 1""", lg=_LANG))
 def language_heuristic(spark, folder):
-    docs = V.table(spark, folder, "documents").withColumn("text", F.when(F.col("doc_id") % 17 == 0, F.lit("")).otherwise(F.col("text")))
+    # texts without a word, added to the table's own
+    blank = spark.createDataFrame([("en", ""), ("en", "\n \n"), ("fr", None)], "lang string, text string")
+    docs = V.table(spark, folder, "documents").select("lang", "text").unionByName(blank)
     labelled = docs.select("lang", tx.language_label(F.col("text"), _FR, tx.ENGLISH_WORDS, "éèêç").alias("x")).select("lang", "x.label", "x.ambiguous")
     return dc.language_shares(labelled, ["lang"])
 

@@ -55,10 +55,10 @@ def calibration_window(spark, folder):
 
 @query("robust_asinh_scale", sql(f"""SELECT {d('delivery')} AS delivery, feature, {r('any_value(med)')} AS median, {r('any_value(mad)')} AS mad, {r('avg(z)')} AS mean_z, {r('max(abs(sinh(z) * m1 + med - value))')} AS back_error FROM (
     SELECT *, asinh((value - med) / m1) AS z FROM (SELECT *, CASE WHEN mad < 1e-8 THEN 1.0 ELSE mad END AS m1 FROM (SELECT *, median(abs(value - med)) OVER (PARTITION BY delivery, feature) AS mad FROM (
-      SELECT *, median(value) OVER (PARTITION BY delivery, feature) AS med FROM cw WHERE feature LIKE 'price_lag1d%' OR feature LIKE 'weekday%')))) GROUP BY 1, 2""", "pf", days=DAYS, fm=FM, cw=CW), digits={"back_error": 5})
+      SELECT *, median(value) OVER (PARTITION BY delivery, feature) AS med FROM cw)))) GROUP BY 1, 2""", "pf", days=DAYS, fm=FM, cw=CW), digits={"back_error": 5})
 def robust_asinh_scale(spark, folder):
-    f = features(spark, folder).where("feature like 'price_lag1d%' or feature like 'weekday%'")
-    cw = ft.calibration_window(f, [], features(spark, folder).select("day").distinct(), WINDOW)
+    f = features(spark, folder)
+    cw = ft.calibration_window(f, [], f.select("day").distinct(), WINDOW)
     keys = ["delivery", "feature"]
     rows = cw.join(ft.robust_stats(cw, keys, "value"), keys)
     z = num.robust_scale(F.col("value"), F.col("median"), F.col("mad"))
@@ -125,9 +125,8 @@ def fitted(spark, folder):
     f = features(spark, folder)
     p = ft.day_hour_profile(V.hourly(spark, folder).where(F.col("series") == TARGET), ["series"], "ts", "value", TZ)
     y = p.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("hour", "value"))).alias("c")).select("day", F.col("c.value").alias("y"))
-    every_third = p.select("day").distinct().where(F.datediff("day", F.lit("2024-01-01").cast("date")) % 3 == 0)
     first = p.agg(F.min("day").alias("d")).select("d").scalar()
-    refits = every_third.where(F.datediff("day", first) >= WINDOW)
+    refits = p.select("day").distinct().where(F.datediff("day", first) >= WINDOW)
     return mo.fit_many_lasso(ft.feature_vectors(f, []), y, refits, [], WINDOW, block_days=3)
 
 

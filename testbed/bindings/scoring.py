@@ -84,11 +84,11 @@ def forecasts(spark, folder):
     return fc.walk_forward(p, S, "value", point, p.select("series", "day"), TZ, every=3, last=LAST, burn_in=BURN)
 
 
-@query("rolling_residual_quantiles", sql(f"""SELECT series, {d('day')} AS day, hour, {', '.join(f"{r(f'q[{i}]')} AS q{i}" for i in (1, 2, 10, 18, 19))} FROM wf""", "slots", **_WF))
+@query("rolling_residual_quantiles", sql(f"""SELECT series, {d('day')} AS day, hour, {', '.join(f"{r(f'q[{i}]')} AS q{i}" for i in range(1, 20))} FROM wf""", "slots", **_WF))
 def rolling_residual_quantiles(spark, folder):
     p = ft.lag_day_join(profile(spark, folder), S, "value", [1, 2]).withColumn("point", (F.col("lag1") + F.col("lag2")) / 2)
     out = fc.rolling_residual_quantiles(p, ["series", "hour"], "day", "value", "point", "q", LAST, BURN)
-    return out.select("series", "day", "hour", *[F.try_element_at("q", F.lit(i)).alias(f"q{i}") for i in (1, 2, 10, 18, 19)])
+    return out.select("series", "day", "hour", *[F.try_element_at("q", F.lit(i)).alias(f"q{i}") for i in range(1, 20)])
 
 
 @query("refit_carry_forward", sql(f"SELECT DISTINCT series, {d('day')} AS day, {d('refit_day')} AS refit_day FROM wf", "slots", **_WF))
@@ -97,11 +97,11 @@ def refit_carry_forward(spark, folder):
 
 
 @query("walk_forward_backtest", sql(f"""SELECT series, {d('day')} AS day, hour, {t('ts')} AS ts, {d('refit_day')} AS refit_day, {r('y')} AS y, {r('point')} AS point, {r('naive')} AS naive,
-    {r('naive_lag24')} AS naive_lag24, {r('q[1]')} AS q05, {r('q[19]')} AS q95, {r('naive_q[1]')} AS naive_q05, {r('naive_q[19]')} AS naive_q95 FROM wf""", "slots", **_WF))
+    {r('naive_lag24')} AS naive_lag24, {', '.join(f"{r(f'{c}[{k}]')} AS {c}{5 * k:02d}" for c in ('q', 'naive_q') for k in range(1, 20))} FROM wf""", "slots", **_WF))
 def walk_forward_backtest(spark, folder):
     at = lambda c, i, n: F.try_element_at(c, F.lit(i)).alias(n)
     return forecasts(spark, folder).select("series", "day", "hour", "ts", "refit_day", "y", "point", "naive", "naive_lag24",
-                                           at("q", 1, "q05"), at("q", 19, "q95"), at("naive_q", 1, "naive_q05"), at("naive_q", 19, "naive_q95"))
+                                           *[at(c, k, f"{c}{5 * k:02d}") for c in ("q", "naive_q") for k in range(1, 20)])
 
 
 LOSS = lambda q: f"2 * list_sum(list_transform(range(1, 20), lambda i: greatest({TAUS}[i] * (y - {q}[i]), ({TAUS}[i] - 1) * (y - {q}[i])))) / 19"
@@ -135,13 +135,13 @@ def summary_period(spark, folder):
 
 _SEASON = "CASE WHEN m IN (12, 1, 2) THEN 'winter' WHEN m IN (3, 4, 5) THEN 'spring' WHEN m IN (6, 7, 8) THEN 'summer' WHEN m IS NOT NULL THEN 'autumn' END"
 _GS = f"""SELECT *, CAST(year({L('ts')}) AS VARCHAR) AS yr, {_SEASON.replace('m ', f"month({L('ts')}) ")} AS sn,
-    CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.start <= rd.ts AND rd.ts <= e."end" AND e.kind = 'generation' AND e.reduction > 90) THEN 'inside' ELSE 'outside' END AS ins FROM rd"""
+    CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.start <= rd.ts AND rd.ts <= e."end" AND e.kind = 'generation') THEN 'inside' ELSE 'outside' END AS ins FROM rd"""
 
 
 @query("summary_grouping_sets", sql(f"""SELECT 'overall' AS cut, 'all' AS label, {SUMMARY} FROM gs UNION ALL SELECT 'year', yr, {SUMMARY} FROM gs GROUP BY yr
     UNION ALL SELECT 'season', sn, {SUMMARY} FROM gs GROUP BY sn UNION ALL SELECT 'inside', ins, {SUMMARY} FROM gs GROUP BY ins""", "slots", "e", **_WF, rd=_RD, gs=_GS))
 def summary_grouping_sets(spark, folder):
-    e = V.curated(spark, folder).where("kind = 'generation' and reduction > 90")
+    e = V.curated(spark, folder).where("kind = 'generation'")
     f = iv.point_in_any_interval(forecasts(spark, folder), e, [], "ts", "start", "end", "inside_event")
     return mt.summary_grouping_sets(f, "ts", TZ, "inside_event")
 
