@@ -108,6 +108,7 @@ def assemble_context(documents: DataFrame, by: list[str], published: str, versio
 
 
 # ------------------------------------------------------------ effects, cache
+# Field names of an effect.
 EFFECT_SCHEMA = (
     "reasoning string, p_active double, start_hour struct<mean:double,sd:double>, "
     "end_hour struct<mean:double,sd:double>, size_mw struct<p10:double,p50:double,p90:double>, direction string"

@@ -101,7 +101,7 @@ def _boundary_counts(intervals: DataFrame, by: list[str], start: str, end: str)
 
 def overlap_flag(
     left: DataFrame, right: DataFrame, by: list[str], start: str, end: str, out: str = "overlaps",
-    bucket: str = "month",
+    bucket: str = "day",
 ) -> DataFrame:
     """Flag left rows that share time with any right row of the same key.
 
@@ -130,7 +130,7 @@ def interval_anti_join(left: DataFrame, right: DataFrame, by: list[str], start:
 
 def point_in_any_interval(
     points: DataFrame, intervals: DataFrame, by: list[str], ts: str, start: str, end: str, out: str = "inside",
-    bucket: str = "month",
+    bucket: str = "hour",
 ) -> DataFrame:
     """Flag points with start <= ts <= end for any interval, both ends included; no instant means outside."""
     counts = _boundary_counts(intervals.where(F.col(start) <= F.col(end)), by, start, end)
