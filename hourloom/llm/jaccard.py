@@ -4,10 +4,12 @@ If two sets have similarity t or more, then under any one order of all tokens th
 `size - ceil(t * size) + 1` of each. Three orders are used. Each puts tokens that many documents have last (their counts come
 from a sketch of fixed size, so two tokens may share a count; any order is valid), and within that sorts by a different hash.
 
-1.  One pass hashes the texts: a fingerprint of each document's set, and the sketch. Documents with equal sets form a class; only
-    classes go on.
-2.  A second pass gives the prefix tokens under the three orders. A token that several classes have is replaced by the smallest of
-    them, its leader: all classes that share the token share the leader. Classes that agree on a leader under every order stay.
+1.  One pass over the texts gives the sketch.
+2.  A second pass gives a fingerprint of each document's set, by which documents with equal sets form a class, and the prefix tokens of
+    each class under the first order. A token that several classes have is replaced by the smallest of
+    them, its leader: all classes that share the token share the leader. The sets of classes with a leader and a neighbour of fitting size there are kept, and give their prefix tokens
+    under the other orders. Of the classes below a leader, those stay that have a partner there of fitting size that shares a prefix token under
+    each of the other orders too.
 3.  The classes of a leader are verified together by exact intersection counts. Large groups are cut into chunks; each task
     compares two chunks and returns one link for each member to the smallest one it reaches, never the pairs.
 4.  Components of these links, by `graph.components`.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.llm.common import WordHashes, forget, mix, runs_of, stored, texts_of
@@ -47,32 +49,24 @@ def class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _scan(n: int, bits: int):
-    """kind 0: doc_id, text_hash, size, class of each document; kind 1: the sketch in blocks of little-endian counts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("block", pa.int32()), ("counts", pa.binary()), ("kind", pa.int32())])
+def _sketch(n: int, bits: int):
+    """Counts of all n-grams by the leading bits of their hash, in blocks of little-endian numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketch, held, waiting = WordHashes(), np.zeros(1 << bits, np.uint32), [], 0
         shift = np.uint64(64 - bits)
         for batch in batches:
-            sizes, classes = [], []
             for text in texts_of(batch):
-                tokens = token_set(hashes, text, n)
-                sizes.append(len(tokens))
-                classes.append(class_of(tokens) if len(tokens) else None)
-                held.append(tokens)
-                waiting += len(tokens)
+                held.append(runs_of(hashes.of(text.encode().lower().split()), n))
+                waiting += len(held[-1])
                 if waiting > 1 << bits:
                     sketch += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=1 << bits).astype(np.uint32)
                     held, waiting = [], 0
-            rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.array([0] * rows, pa.int32())], schema=schema)
         if held:
             sketch += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=1 << bits).astype(np.uint32)
         if sketch.any():
             blocks = [x.astype("<u4").tobytes() for x in np.split(sketch, 64)]
-            empty = pa.nulls(64, pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(range(64), pa.int32()), pa.array(blocks, pa.binary()), pa.array([1] * 64, pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(blocks, pa.binary())], ["block", "counts"])
 
     return run
 
@@ -98,45 +92,150 @@ def levels(sketch_rows: DataFrame, bits: int) -> np.ndarray:
     return np.where(over > 6 * np.sqrt(mean) + 8, np.log2(np.maximum(over, 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
 
 
-def _prefixes(n: int, percent: int, level: np.ndarray):
-    shift = np.uint64(64 - (len(level).bit_length() - 1))
+def first_tokens(tokens: np.ndarray, percent: int, level: np.ndarray, seed: int) -> np.ndarray:
+    """The prefix of a set under one order: tokens that few documents have first, then by hash."""
+    most = len(tokens) - -(-percent * len(tokens) // 100) + 1
+    weight = level[tokens >> np.uint64(64 - (len(level).bit_length() - 1))]
+    return tokens[np.lexsort((mix(tokens ^ np.uint64(seed)), weight))[:most]].view(np.int64)
+
+
+def _classes(n: int, percent: int, level: np.ndarray):
+    """kind 0: doc_id, text_hash, n_shingles, class of each document; kind 1: class, token of the prefixes under the first order."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("token", pa.int64()), ("kind", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
-            classes, orders, tokens_out = [], [], []
+            sizes, classes, names, found = [], [], [], []
             for text in texts_of(batch):
                 tokens = token_set(hashes, text, n)
-                size = len(tokens)
-                if not size or (name := class_of(tokens)) in seen:
+                sizes.append(len(tokens))
+                classes.append(class_of(tokens) if len(tokens) else None)
+                if not len(tokens) or classes[-1] in seen:
                     continue
                 if len(seen) < 1_000_000:  # only saves rows that the next step would merge
-                    seen.add(name)
-                most = size - -(-percent * size // 100) + 1
-                weight = level[tokens >> shift].astype(np.int64)
-                for i, seed in enumerate(SEEDS):
-                    first = np.lexsort((mix(tokens ^ np.uint64(seed)), weight))[:most]
-                    tokens_out.append(tokens[first].view(np.int64))
-                    classes.append(np.full(len(first), name, np.int64))
-                    orders.append(np.full(len(first), i, np.int32))
-            if classes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (classes, orders, tokens_out)], ["class", "ord", "token"])
+                    seen.add(classes[-1])
+                found.append(first_tokens(tokens, percent, level, SEEDS[0]))
+                names.append(np.full(len(found[-1]), classes[-1], np.int64))
+            rows, many = batch.num_rows, sum(map(len, found))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(np.zeros(rows, np.int32))], schema=schema)
+            if many:
+                none = pa.nulls(many, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.concatenate(names)), pa.array(np.concatenate(found)), pa.array(np.ones(many, np.int32))], schema=schema)
+
+    return run
+
+
+def _more_prefixes(percent: int, level: np.ndarray):
+    """class, ord, token under the other orders, from sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("class").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                tokens = np.frombuffer(data, np.uint64)
+                for i, seed in enumerate(SEEDS[1:], 1):
+                    found = first_tokens(tokens, percent, level, seed)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name, np.int64)), pa.array(np.full(len(found), i, np.int32)), pa.array(found)], ["class", "ord", "token"])
+
+    return run
+
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """ord, token, class, leader of tokens that several classes have; the leader is the smallest of them. One shuffle by token: rows are small, a window spills, and
+    tokens of many classes are last in every order, so only groups of near copies have long ones."""
+    same = Window.partitionBy("ord", "token")
+    led = prefixes.withColumn("leader", F.min("class").over(same)).withColumn("other", F.max("class").over(same))
+    return led.where("leader < other").drop("other")
+
+
+def leaders(prefixes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """leader, class: for every class the leaders of its shared tokens under the first order, where the next smaller or the next larger class of that leader
+    has a size that could be similar. `sizes` has class, size."""
+    led = _shared(prefixes).select("leader", "class").distinct().join(sizes, "class")
+    order = Window.partitionBy("leader").orderBy("size", "class")
+    near = led.withColumn("less", F.lag("size").over(order)).withColumn("more", F.lead("size").over(order))
+    fits = (100 * F.col("less") >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.col("more"))
+    return stored(near.where(fits).select("leader", "class"), "leaders")
+
+
+def _tasks(members: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Rows (leader, class, size) dealt into comparisons: (leader, i, j), where side tells the two chunks i < j apart. A chunk has about CHUNK members
+    and CHUNK_TOKENS tokens. The columns of `heavy`, by class, join last, so that they are shuffled once."""
+    size = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_TOKENS)).cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1")
+    own = F.pmod(F.xxhash64("class", "leader"), F.col("chunks")).cast("int")
+    dealt = members.join(size.drop("n"), "leader").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class")
+    return dealt.join(heavy, "class").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "class")
+
+
+def _by_task(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[tuple]]]:
+    """(leader, rows) of each comparison with two rows or more; rows are (side, class, columns)."""
+    task, rows = None, []
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j")), strict=True)
+        for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in ("side", "class", *columns)), strict=True), strict=True):
+            if key != task:
+                if len(rows) > 1:
+                    yield task[0], rows
+                task, rows = key, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield task[0], rows
+
+
+def _sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the two chunks; within one chunk both are all rows."""
+    side = np.array([r[0] for r in rows])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return (left, right) if len(left) and len(right) else (np.arange(len(rows)), np.arange(len(rows)))
+
+
+def _spread(ids: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """For each row the smallest id it reaches over the links between left and right rows."""
+    root, none = ids.copy(), np.iinfo(np.int64).max
+    while True:
+        before = root.copy()
+        root[left] = np.minimum(root[left], np.where(linked, root[right][None, :], none).min(axis=1))
+        root[right] = np.minimum(root[right], np.where(linked, root[left][:, None], none).min(axis=0))
+        if (root == before).all():
+            return root
+
+
+def _agree(percent: int):
+    """leader, class of members with a partner that passes every filter: sizes, and a shared prefix token under each of the other orders. The leader is now
+    the smallest class that is reached over such partners, so candidates that met below several leaders meet once from here on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_task(batches, "size", "t1", "t2"):
+            left, right = _sides(rows)
+            size = np.array([r[2] for r in rows])
+            low, high = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
+            ok = 100 * low >= percent * high
+            for c in (3, 4):
+                if not ok.any():
+                    break
+                sets = [np.array(sorted(r[c]), np.int64) for r in rows]
+                ok &= shared_counts([sets[i] for i in left], [sets[i] for i in right]) > 0
+            names = np.array([r[1] for r in rows])
+            ok &= names[left][:, None] != names[right][None, :]
+            found = np.unique(np.concatenate([left[ok.any(axis=1)], right[ok.any(axis=0)]]))
+            root = _spread(names, left, right, ok) if len(found) else names
+            yield pa.RecordBatch.from_arrays([pa.array(root[found]), pa.array(names[found])], ["leader", "class"])
 
     return run
 
 
-def candidates(prefixes: DataFrame) -> DataFrame:
-    """leader, class: classes that have a partner under every order, below their leaders under the first."""
-    shared = prefixes.groupBy("ord", "token").agg(F.min("class").alias("leader"), F.max("class").alias("other")).where("leader < other")
-    led = stored(prefixes.join(shared.select("ord", "token", "leader"), ["ord", "token"]).select("ord", "leader", "class").distinct(), "leaders")
-    found = led.where("ord = 0").select("class", F.col("leader").alias("l0"))
-    keys = ["l0"]
-    for i in range(1, len(SEEDS)):
-        found = found.join(led.where(F.col("ord") == i).select("class", F.col("leader").alias(f"l{i}")), "class")
-        keys.append(f"l{i}")
-        several = found.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        found = found.join(several, keys, "left_semi")
-    return found.select(F.col("l0").alias("leader"), "class").distinct()
+def agreeing(first: DataFrame, sets: DataFrame, percent: int, level: np.ndarray) -> DataFrame:
+    """leader, class: groups of classes with a partner under every order."""
+    more = stored(sets.select("class", "tokens").mapInArrow(_more_prefixes(percent, level), "class long, ord int, token long"), "prefixes")
+    kept = _shared(more)
+    # at most a prefix each; half of a token's bits are enough for a filter
+    own = [F.collect_set(F.when(F.col("ord") == i, F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias(f"t{i}") for i in (1, 2)]
+    filters = stored(kept.groupBy("class").agg(*own).where("size(t1) > 0 and size(t2) > 0").join(sets.select("class", "size"), "class"), "filters")
+    members = first.join(filters.select("class", "size"), "class")
+    found = stored(_tasks(members, filters).mapInArrow(_agree(percent), "leader long, class long").distinct(), "members")
+    forget(more)
+    return found
 
 
 def _sets(n: int):
@@ -181,81 +280,45 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _verify(percent: int):
-    """Rows come sorted by task (leader, i, j). Returns the links of each task: every member to the smallest it reaches in it."""
-
-    def links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        left, right = (np.flatnonzero(sides == s) for s in (0, 1))
-        right = right if len(right) else left
-        if not len(left):
-            left = right
-        shared = shared_counts([sets[i] for i in left], [sets[i] for i in right])
-        size = np.array([len(x) for x in sets])
-        union = size[left][:, None] + size[right][None, :] - shared
-        linked = 100 * shared >= percent * union
-        root = ids.copy()
-        while True:  # the smallest id spreads over the links
-            before = root.copy()
-            a = np.where(linked, root[right][None, :], np.iinfo(np.int64).max).min(axis=1)
-            root[left] = np.minimum(root[left], a)
-            b = np.where(linked, root[left][:, None], np.iinfo(np.int64).max).min(axis=0)
-            root[right] = np.minimum(root[right], b)
-            if (root == before).all():
-                return ids[root != ids], root[root != ids]
+    """The links of each comparison: every member to the smallest it reaches there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, ids, sides, sets = None, [], [], []
-
-        def done() -> pa.RecordBatch:
-            a, b = links(np.array(ids, np.int64), np.array(sides), sets)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "side", "class", "tokens")]
-            for leader, i, j, side, name, data in zip(*columns, strict=True):
-                if (leader, i, j) != task:
-                    if len(ids) > 1:
-                        yield done()
-                    task, ids, sides, sets = (leader, i, j), [], [], []
-                ids.append(name)
-                sides.append(side)
-                sets.append(np.frombuffer(data, np.uint64))
-        if len(ids) > 1:
-            yield done()
+        for _, rows in _by_task(batches, "tokens"):
+            left, right = _sides(rows)
+            sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+            shared = shared_counts([sets[i] for i in left], [sets[i] for i in right])
+            size = np.array([len(x) for x in sets])
+            linked = 100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)
+            ids = np.array([r[1] for r in rows])
+            root = _spread(ids, left, right, linked)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[root != ids]), pa.array(root[root != ids])], ["a", "b"])
 
     return run
 
 
 def linked_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that have a leader in common and are similar."""
-    members = members.join(sets, "class")
-    size = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_TOKENS)).cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1")
-    own = F.pmod(F.xxhash64("class", "leader"), F.col("chunks")).cast("int")
-    tasks = (
-        members.join(size.drop("n"), "leader").withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class", "tokens")
-    )
-    return tasks.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "class").mapInArrow(_verify(percent), "a long, b long")
+    light = members.join(sets.select("class", "size"), "class")
+    return _tasks(light, sets.select("class", "tokens")).mapInArrow(_verify(percent), "a long, b long")
 
 
 def link_components(docs: DataFrame, n: int = 3, percent: int = 90, sketch_bits: int = 20) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least `percent` similarity), text_hash,
     root (one value for each component, null for an empty set)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    scanned = stored(
-        keyed.mapInArrow(_scan(n, sketch_bits), "doc_id long, text_hash long, n_shingles long, class long, block int, counts binary, kind int"), "scan", "kind"
-    )
+    sketch = stored(keyed.select("text").mapInArrow(_sketch(n, sketch_bits), "block int, counts binary"), "sketch")
+    level = levels(sketch, sketch_bits)
+    forget(sketch)
+    scanned = stored(keyed.mapInArrow(_classes(n, percent, level), "doc_id long, text_hash long, n_shingles long, class long, token long, kind int"), "scan", "kind")
     rows = scanned.where("kind = 0").select("doc_id", "text_hash", "n_shingles", "class")
-    level = levels(scanned.where("kind = 1").select("block", "counts"), sketch_bits)
-    prefixes = stored(keyed.select("text").mapInArrow(_prefixes(n, percent, level), "class long, ord int, token long"), "prefixes")
-    members = stored(candidates(prefixes), "members")
-    forget(prefixes)
+    prefixes = scanned.where("kind = 1").select("class", F.lit(0).alias("ord"), "token")
+    sizes = rows.where("class is not null").groupBy("class").agg(F.max("n_shingles").alias("size"))
+    first = leaders(prefixes, sizes, percent)
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.min("text_hash").alias("any_hash"))
-    wanted = members.select("class").distinct().join(classes, "class").select("class", F.col("doc_id").alias("own"), F.coalesce("text_hash", "any_hash").alias("own_hash"))
+    wanted = first.select("class").distinct().join(classes, "class").select("class", F.col("doc_id").alias("own"), F.coalesce("text_hash", "any_hash").alias("own_hash"))
     texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash"))).select("class", "text")
-    sets = stored(texts.mapInArrow(_sets(n), "class long, size long, tokens binary").dropDuplicates(["class"]), "sets")
-    roots = components(linked_classes(members, sets, percent))
-    forget(sets)
+    sets = stored(texts.mapInArrow(_sets(n), "class long, size long, tokens binary"), "sets")
+    roots = components(linked_classes(agreeing(first, sets, percent, level), sets, percent))
     named = classes.select("class", "doc_id").join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "doc_id")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = named.select("class", "root").join(least, "root")
