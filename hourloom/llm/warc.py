@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_BYTES = 100
+NO_ID = -(1 << 63)  # stands for a missing page_id as a key
 # Field names and line ends of the WARC 1.1 format.
 VERSION, END = "WARC/1.1", "\r\n"
 
@@ -36,12 +37,13 @@ def write(pages: DataFrame, folder: str, date: str, least_bytes: int = LEAST_BYT
     """Write both tables below `folder`. `date` is the capture date of all records, as in 2024-01-01T00:00:00Z."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
+    rows = rows.withColumn("_page", F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)))
     # digests alone are shuffled; a hot payload shrinks to one row for each task before that
-    owners = rows.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("page_id").alias("named"))
-    owned = owners.select(F.col("digest").alias("_digest"), "owner")
-    # both key columns, so that the copies of a payload are spread by their page_id
-    first = rows.join(owned, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("owner")), "left_semi")
-    first.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{folder}/payloads")
+    owners = rows.groupBy("digest").agg(F.min("page_id").alias("owner"))
+    owned = owners.select("digest", F.coalesce(F.col("owner").cast("long"), F.lit(NO_ID)).alias("_page"))
+    # both key columns, so that the copies of a payload are spread by their page_id; repeated rows meet there without another shuffle
+    first = rows.select("digest", "_page", "payload").join(owned, ["digest", "_page"], "left_semi").dropDuplicates(["digest", "_page"])
+    first.select("digest", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
     revisit = (F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner"))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     header = F.concat(
