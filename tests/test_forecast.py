@@ -77,8 +77,10 @@ def test_lasso_path_is_optimal_and_finds_the_signal():
     assert not failed[0] and {0, 1, 2} <= set(np.flatnonzero(w[:, 0]))
     xc, yc = x - x.mean(0), y - y.mean()
     g, c = xc.T @ xc / 80, xc.T @ yc / 80
-    path, alpha = lasso.aic_path(g, c, float(yc @ yc), 80, float(lasso.noise_variance(xc, yc[:, None])[0]))
-    assert np.abs(path - lasso.descend(g, c, alpha, tol=1e-10)).max() < 1e-6
+    variance = lasso.noise_variance(g, c[:, None], np.array([yc @ yc]), 80)
+    path, alpha, ended = lasso.aic_path(g, c, float(yc @ yc), 80, float(variance[0]))
+    settled, still = lasso.descend(g, c, alpha, tol=1e-10)
+    assert ended and still and np.abs(path - settled).max() < 1e-6
 
 
 def test_many_models_blocks_do_not_change_the_fit(spark):
