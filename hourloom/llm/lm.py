@@ -5,10 +5,12 @@ dealt into chunks of bounded size, every chunk sends each of its words once, and
 
 The model sees the words as ids of a public byte-level vocabulary (a blank before each word, the end last), and predicts the class of the next id: each of the most
 frequent ids is a class, the others share classes of about equal weight. The probability of an id is that of its class times its add-one share of the class, from the counts of all training
-documents. The model is one layer of masked attention with learned positions, trained in numpy by Adam. A text is scored in overlapping windows of WINDOW ids: each window scores its
+documents. The model is one layer of masked attention with learned positions, trained in numpy by Adam over all windows of all training rows: in each of ROUNDS rounds every task
+starts from the common weights and learns from its share of the rows, and the tasks' weights are averaged by their numbers of windows, in groups before the driver. A text is scored in overlapping windows of WINDOW ids: each window scores its
 last STRIDE ids once, and the ids before them are context; windows of many texts go through masked attention together.
 
-Bounds: the attention weights are fitted on at most `fit_windows` windows of at most `fit_docs` training documents (smallest hashes first); all counts cover every training document.
+Only the averaged weights come to the driver. Tables of under EPOCHS * FEW windows are passed over up to EPOCHS times. `fit_docs` and `fit_windows` bound the training (smallest hashes
+first) for a caller that asks for it; all counts cover every training document anyway. How rows lie in partitions has a part in the weights, but a task that runs again repeats its own.
 
 Rows: every row gives one row. A null text is empty and consists of the end alone. Repeated rows are repeated and count each time; whole texts are scored whatever their length. Words are counted by
 64-bit hashes. Other columns are ignored; an empty table gives an empty table. Without a training text N and V are 0 and classes are shared evenly.
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,9 @@ CHUNK_BYTES = 8_000_000
 WINDOW, STRIDE, WIDTH = 32, 24, 32
 SINGLE, SHARED = 192, 64  # classes of one id, classes of several
 INPUTS = 4_096  # frequent ids that have an input vector of their own; others have that of their class
-FIT_DOCS, FIT_WINDOWS, EPOCHS, BATCH = 3_000, 60_000, 3, 256
+ROUNDS, EPOCHS, FEW, BATCH = 8, 3, 60_000, 256
+MIXED = 64 * BATCH  # windows of neighbouring rows that are put in a random order
+GROUPS = 32  # partial averages that come to the driver
 END = b""
 LAST = STRIDE - WINDOW  # a window's scored ids, counted from its end
 
@@ -89,6 +94,15 @@ def windows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return inputs, np.where(targets < len(ids), ids[np.minimum(targets, len(ids) - 1)], -1), place
 
 
+def cut(ids: np.ndarray, classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Input rows and target classes of a text's windows, a long text piece by piece."""
+    for start in range(0, len(ids), STRIDE * 4096):
+        lead = min(start, 2 * STRIDE)  # whole strides, at least the context of a window
+        inputs, targets, _ = windows(ids[start - lead : start + STRIDE * 4096], classes.row)
+        wanted = targets[lead // STRIDE :]
+        yield inputs[lead // STRIDE :], np.where(wanted >= 0, classes.of[np.maximum(wanted, 0)], -1)
+
+
 MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(-LAST, WINDOW)[:, None], 0, -1e9).astype(np.float32)
 OPEN = (MASK == 0).astype(np.float32)
 
@@ -102,6 +116,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 class Attention:
     def __init__(self, seed: int = 11):
+        self.windows_seen = 0  # windows it learned from, each pass counted
         rng = np.random.default_rng(seed)
         shape = {"e": (1 + INPUTS + SINGLE + SHARED, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "u": (WIDTH, SINGLE + SHARED), "b": (SINGLE + SHARED,)}
         self.w = {n: (rng.normal(size=s) * (0.1 if n in "ep" else 0.25) * (n != "b")).astype(np.float32) for n, s in shape.items()}
@@ -167,20 +182,41 @@ class Attention:
             g["e"][:, c] = np.bincount(flat, dx[..., c].ravel(), minlength=len(w["e"]))
         return g
 
-    def train(self, inputs: np.ndarray, targets: np.ndarray, rate: float = 0.01, seed: int = 5) -> None:
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.w.values()]).astype("<f4")
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for n, x in self.w.items():
+            self.w[n] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
+
+    def train(self, parts: Iterator[np.ndarray], rate: float, seed: int) -> int:
+        """One pass of Adam over rows of inputs and target classes side by side. Returns their number."""
         rng = np.random.default_rng(seed)
         m, v = ({n: np.zeros_like(x) for n, x in self.w.items()} for _ in range(2))
-        t, total = 0, EPOCHS * -(-len(inputs) // BATCH)
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(inputs))
-            for at in range(0, len(order), BATCH):
-                part = order[at : at + BATCH]
+        held: list[np.ndarray] = []
+        waiting = seen = t = 0
+
+        def learn() -> None:
+            nonlocal t
+            data = rng.permutation(np.concatenate(held)).astype(np.int64)
+            for at in range(0, len(data), BATCH):
                 t += 1
-                slow = rate * (1 - 0.9 * t / total)
-                for n, g in self.gradients(inputs[part], targets[part]).items():
+                for n, g in self.gradients(data[at : at + BATCH, :WINDOW], data[at : at + BATCH, WINDOW:]).items():
                     m[n] = 0.9 * m[n] + 0.1 * g
                     v[n] = 0.99 * v[n] + 0.01 * g * g
-                    self.w[n] = self.w[n] - (slow * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+                    self.w[n] = self.w[n] - (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+
+        for part in parts:
+            held.append(part)
+            waiting, seen = waiting + len(part), seen + len(part)
+            if waiting >= MIXED:
+                learn()
+                held, waiting = [], 0
+        if waiting:
+            learn()
+        return seen
 
     def scores(self, texts: list[np.ndarray], classes: Classes) -> np.ndarray:
         """log10 probability of each id sequence."""
@@ -196,11 +232,8 @@ class Attention:
                 np.add.at(out, owner[some], self.log_probabilities(inputs[some], targets[some]).sum(axis=1, dtype=np.float64))
 
         for i, ids in enumerate(texts):
-            for start in range(0, len(ids), STRIDE * 4096):  # a long text is cut into windows piece by piece
-                lead = min(start, 2 * STRIDE)  # whole strides, at least the context of a window
-                inputs, targets, _ = windows(ids[start - lead : start + STRIDE * 4096], classes.row)
-                wanted = targets[lead // STRIDE :]
-                held.append((inputs[lead // STRIDE :], np.where(wanted >= 0, classes.of[np.maximum(wanted, 0)], -1)))
+            for both in cut(ids, classes):
+                held.append(both)
                 owners.append(i)
                 many += len(held[-1][0])
                 if many >= 4 * BATCH:
@@ -241,28 +274,70 @@ def _gather(path: str):
     return run
 
 
-def _fit(docs: DataFrame, classes: Classes, path: str, fit_docs: int, fit_windows: int) -> Attention:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _average(rows: Iterator[tuple[int, bytes]]) -> tuple[int, np.ndarray]:
+    """Number of windows and mean weights of (windows, weights)."""
+    many, total = 0, np.zeros(1)
+    for n, data in rows:
+        many, total = many + n, total + n * np.frombuffer(data, "<f4").astype(np.float64)
+    return many, (total / max(many, 1)).astype("<f4")
+
+
+def _fit(docs: DataFrame, classes: Classes, path: str, n_ids: float, fit_docs: int | None = None, fit_windows: int | None = None) -> Attention:
+    """`n_ids`: ids of all training rows, which say how many passes there are."""
+    columns = ["part", "n", "weights"]
+
+    def row(part: int, n: int, weights: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([weights.tobytes()], pa.binary())], columns)
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ids_of(path)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                inputs, targets, _ = windows(coder.encode(tokens(text)), classes.row)
-                both = [np.concatenate(x).astype("<i4").tobytes() for x in zip(inputs, np.where(targets >= 0, classes.of[np.maximum(targets, 0)], -1), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(both), pa.int64()), pa.array(range(len(both)), pa.int64()), pa.array(both, pa.binary())], ["doc_id", "at", "data"])
-
-    trained = docs.where("not held_out and doc_id is not null")
-    some = trained.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    texts = trained.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most fit_docs ids
-    cut = texts.mapInArrow(run, "doc_id long, at long, data binary")
-    rows = cut.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "data").limit(fit_windows).collect()
+            for name, text in zip(batch.column("name").to_pylist(), texts_of(batch), strict=True):
+                at = 0
+                for both in cut(coder.encode(tokens(text)), classes):
+                    data = [x.tobytes() for x in np.concatenate(both, axis=1).astype("<i2")]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(data), pa.int64()), pa.array(range(at, at + len(data)), pa.int64()), pa.array(data, pa.binary())], ["name", "at", "data"])
+                    at += len(data)
+
+    def learn(weights: np.ndarray, rate: float, turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, model = TaskContext.get().partitionId(), Attention()
+            model.load(weights)
+            parts = (np.frombuffer(b"".join(x.column("data").to_pylist()), "<i2").reshape(-1, WINDOW + STRIDE) for x in batches if x.num_rows)
+            n = model.train(parts, rate, 1_000_003 * turn + own)
+            if n:
+                yield row(own % GROUPS, n, model.flat())
+
+        return run
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, weights = _average(x for b in batches for x in zip(b.column("n").to_pylist(), b.column("weights").to_pylist(), strict=True))
+        if n:
+            yield row(0, n, weights)
+
+    name = F.xxhash64("doc_id", "text")
+    trained = docs.where("not held_out").withColumn("name", name)
+    if fit_docs is not None:
+        some = trained.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
+        trained = trained.join(F.broadcast(some), "doc_id")  # at most fit_docs ids
+    trained = trained.select("name", "text", F.pmod("name", F.lit(ROUNDS)).alias("turn"))
+    passes = min(EPOCHS, max(1, -(-EPOCHS * FEW * STRIDE // max(int(n_ids), 1))))
     model = Attention()
-    if rows:
-        data = np.stack([np.frombuffer(r["data"], "<i4") for r in rows]).astype(np.int64)
-        model.train(data[:, :WINDOW], data[:, WINDOW:])
+    for turn in range(passes * ROUNDS):
+        rows = trained.where(F.col("turn") == turn % ROUNDS).mapInArrow(cuts, "name long, at long, data binary")
+        if fit_windows is not None:
+            rows = rows.orderBy(F.xxhash64("name", "at"), "name", "at", "data").limit(max(1, fit_windows // ROUNDS))
+        rate = 0.01 * (1 - 0.9 * turn / (passes * ROUNDS))
+        schema = "part long, n long, weights binary"
+        learned = rows.mapInArrow(learn(model.flat(), rate, turn), schema)
+        n, weights = _average((r["n"], r["weights"]) for r in learned.repartition(GROUPS, "part").mapInArrow(average, schema).collect())
+        if n:
+            model.load(weights)
+        model.windows_seen += n
     return model
 
 
-def score(docs: DataFrame, path: str, held_out, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS) -> DataFrame:
+def score(docs: DataFrame, path: str, held_out, fit_docs: int | None = None, fit_windows: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. `held_out` is the column that keeps a row out of training."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -277,7 +352,7 @@ def score(docs: DataFrame, path: str, held_out, fit_docs: int = FIT_DOCS, fit_wi
     for r in used:
         seen[r["name"]] = r["n"]
     classes = Classes(seen)
-    model = _fit(rows, classes, path, fit_docs, fit_windows)
+    model = _fit(rows, classes, path, seen.sum(), fit_docs, fit_windows)
     answers = words.select("chunk", "name").distinct().join(counts, "name")
     rest = np.log10(total + distinct + 1)
 

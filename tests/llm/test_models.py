@@ -168,6 +168,24 @@ def test_word_frequencies_over_odd_rows(spark):
     assert lm.score(odd(spark, []), vocabulary(), F.lit(False)).count() == 0
 
 
+def test_attention_learns_from_every_window(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FEW", 0)  # one pass
+    docs = odd(spark).select("doc_id", "text", F.lit(False).alias("held_out")).repartition(5)
+    coder = lm.ids_of(vocabulary())
+    sizes = [len(coder.encode(lm.tokens(r[1] or ""))) for r in odd_rows()]
+    assert max(sizes) > 0.9 * sum(sizes) > 60_000
+    before = lm.Attention()
+    model = lm._fit(docs, lm.Classes(np.ones(coder.end + 1)), vocabulary(), sum(sizes))
+    assert model.windows_seen == sum(-(-n // lm.STRIDE) for n in sizes)
+    assert all(np.isfinite(x).all() and (x != before.w[n]).any() for n, x in model.w.items())
+    # the mean goes by windows
+    n, weights = lm._average((k, np.full(3, x, "<f4").tobytes()) for k, x in ((1, 4.0), (3, 8.0)))
+    assert n == 4 and (weights == 7).all()
+    again = lm.Attention(seed=1)
+    again.load(model.flat())
+    assert all((again.w[n] == x).all() for n, x in model.w.items())
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
