@@ -125,7 +125,7 @@ def _ship(length: int, keep: str):
                         data = texts[i][f : f + n - 1 + length]
                         row = [h, names[i], ids[i], f, n, p - f, data, 0]
                         other = kept.setdefault(data, row)
-                        if other is row:
+                        if other is row or (other[1], other[3]) == (names[i], f):  # the same place of a repeated row
                             continue
                         if (ids[i], f) < (other[2], other[3]):
                             kept[data] = row

@@ -69,6 +69,14 @@ def test_spans_of_odd_rows(spark):
     assert suffix.summaries(odd(spark, []), 400, "none").count() == 0
 
 
+def test_repeated_rows_keep_the_first_copy(spark):
+    passage = prose(71, 100)
+    first, other = prose(72, 30) + " " + passage + " " + prose(73, 30), prose(74, 30) + " " + passage + " " + prose(75, 30)
+    got = [(r["doc_id"], r["text"]) for r in suffix.remove(odd(spark, [row(1, first), row(1, first), row(2, other)]).coalesce(1), 400, "first").collect()]
+    assert sorted(got)[:2] == [(1, first)] * 2
+    assert got != [] and passage not in dict(got)[2] and len(dict(got)[2]) < len(other)
+
+
 def test_items_in_documents_equal_all_pairs(spark):
     r = random.Random(5)
     items = [(i, prose(100 + i, w)) for i, w in enumerate([5, 6, 9, 17, 33, 70, 150])] + [(7, "too short item"), (8, None), (9, ""), (5, prose(100, 5))]
