@@ -7,11 +7,13 @@ once in the corpus are dropped before anything is shipped.
 1.  Texts that are equal as a whole form a class, by key and count alone; only one of each class takes part below.
 2.  Anchors of all texts, one row for about 180 bytes; those that occur at two places or more are kept.
 3.  Neighbouring windows with the same repeated anchor form a segment. Equal segments of a batch are merged before they are shipped.
-4.  The segments of an anchor are put in suffix order, as deep as a window: ranks of 8 bytes are doubled to the full length, and
+4.  Anchors with more than HOT segments are taken window by window: equal windows meet by the 64-bit hash of their bytes, as counts and
+    minima of positions added up before the shuffle, so a hot anchor with many surroundings spreads over all tasks.
+5.  The segments of any other anchor are put in suffix order, as deep as a window: ranks of 8 bytes are doubled to the full length, and
     suffixes that are equal that far follow each other by position. In this order the previous smaller position of a suffix is its left
     neighbour if both have the same rank, so its longest previous factor reaches the length exactly then; and a suffix has a
     later copy if its right neighbour has the same rank.
-5.  Windows with an earlier copy (keep="first") or with any other copy (keep="none") are joined to spans and cut out of the texts.
+6.  Windows with an earlier copy (keep="first") or with any other copy (keep="none") are joined to spans and cut out of the texts.
 
 Spans are judged on the input; matches never cross documents. The first of equal windows is that with the smallest doc_id, then the
 smallest position; a missing doc_id comes before all others.
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,7 @@ SLICE = 1 << 20  # bytes handled at once; longer texts are cut into overlapping
 POSITION = np.uint64((1 << 24) - 1)
 ORDERED = 2_000_000  # bytes put into suffix order at once
 OFFSETS = 32  # of an anchor with many segments, so many window offsets are ordered at once
+HOT = 5_000  # segments of an anchor that one task takes
 NO_ID = -(1 << 63)
 
 
@@ -244,6 +248,33 @@ def _find(length: int, keep: str):
     return run
 
 
+def _windows(length: int):
+    """One row for each window of a segment: hash of its bytes, and where it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                many = part.column("windows").to_numpy()
+                found = [xxhash.xxh3_64_intdigest(data[i : i + length]) for data, n in zip(part.column("data").to_pylist(), many.tolist(), strict=True) for i in range(n)]
+                shift = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                ids, names, firsts = (np.repeat(part.column(c).to_numpy(), many) for c in ("first_id", "text_hash", "first"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(ids), pa.array(names), pa.array(firsts + shift)], ["name", "first_id", "text_hash", "start"])
+
+    return run
+
+
+def _of_hot(segments_: DataFrame, length: int, keep: str) -> DataFrame:
+    """text_hash, start, end of the windows that have an earlier (or any) copy among the segments of hot anchors."""
+    rows = stored(segments_.mapInArrow(_windows(length), "name long, first_id long, text_hash long, start long"), "windows")
+    place = F.struct("first_id", "text_hash", "start")
+    several = rows.groupBy("name").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most")
+    copies = rows.join(several, "name")
+    if keep == "first":
+        copies = copies.where(place != F.col("least"))
+    return copies.select("text_hash", "start", (F.col("start") + length).alias("end"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
 
@@ -262,8 +293,13 @@ def repeated_spans(docs: DataFrame, length: int, keep: str) -> DataFrame:
     one = long_texts.join(marked, "text_hash").where("doc_id = first_id").select("text_hash", "first_id", "ats", "text")
     shipped = stored(one.mapInArrow(_ship(length, keep), "anchor long, text_hash long, first_id long, first long, windows long, left long, data binary, kind int"), "segments", "kind")
     forget(marked)
-    apart = shipped.where("kind = 0").dropDuplicates(["anchor", "text_hash", "first"]).repartition("anchor").sortWithinPartitions("anchor")
-    found = stored(apart.select("anchor", "first_id", "text_hash", "first", "windows", "data", "left").mapInArrow(_find(length, keep), "text_hash long, start long, end long"), "spans")
+    apart = shipped.where("kind = 0").dropDuplicates(["anchor", "text_hash", "first"])
+    hot = stored(shipped.where("kind = 0").groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot")
+    some_hot = not hot.isEmpty()
+    few = (apart.join(hot, "anchor", "left_anti") if some_hot else apart).repartition("anchor").sortWithinPartitions("anchor")
+    found = stored(few.select("anchor", "first_id", "text_hash", "first", "windows", "data", "left").mapInArrow(_find(length, keep), "text_hash long, start long, end long"), "spans")
+    if some_hot:
+        found = found.unionByName(_of_hot(apart.join(hot, "anchor", "left_semi"), length, keep))
     local = shipped.where("kind = 1").select("text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + length).alias("end"))
     spans = found.unionByName(local).groupBy("text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     return classes.join(spans, "text_hash", "left").where("n_rows > 1 or spans is not null")

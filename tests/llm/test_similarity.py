@@ -59,6 +59,33 @@ def test_repeated_spans_equal_brute_force(spark, monkeypatch, keep):
     assert all((cut[i] or "") == bytes(np.frombuffer(b, np.uint8)[~m]).decode("utf-8", "ignore") for i, (b, m) in enumerate(zip(data, masks, strict=True)))
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_hot_anchors_equal_brute_force(spark, monkeypatch, keep):
+    monkeypatch.setattr(suffix, "HOT", 5)
+    taken, whole = [], suffix._find
+    ordered = spark.sparkContext.accumulator(0)
+
+    def watched(length, keep):
+        run = whole(length, keep)
+
+        def count(batches):
+            for batch in batches:
+                ordered.add(max(np.unique(batch.column("anchor").to_numpy(), return_counts=True)[1], default=0) > 5)
+                yield batch
+
+        return lambda batches: run(count(batches))
+
+    monkeypatch.setattr(suffix, "_find", watched)
+    monkeypatch.setattr(suffix, "_of_hot", lambda *a, f=suffix._of_hot: taken.append(f(*a)) or taken[-1])
+    passage = prose(11, 12)[:60]
+    texts = [prose(20 + i, 15) + passage + prose(90 + i, 15) for i in range(40)] + [prose(12, 30)] * 2 + [prose(5, 9) + prose(12, 30)]
+    rows = [row(i, t) for i, t in enumerate(texts)]
+    cut = {x["doc_id"]: x["text"] for x in suffix.remove(odd(spark, rows), 50, keep).collect()}
+    data, masks = removed(texts, 50, keep)
+    assert all(cut[i].encode() == bytes(np.frombuffer(b, np.uint8)[~m]) for i, (b, m) in enumerate(zip(data, masks, strict=True)))
+    assert taken and taken[0].count() >= 39 and ordered.value == 0
+
+
 def test_spans_of_odd_rows(spark):
     got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffix.summaries(odd(spark), 400, "none").collect()}
     assert got[11, 5000] == 5000 and got[10, 1400] == 1400 and got[3, 0] == 0
