@@ -13,7 +13,8 @@ from hourloom.llm import bpe, contamination, jaccard, language, suffix
 from hourloom.llm.common import fold, stored
 from hourloom.llm.queries import table, vocabulary
 
-SPAN_BYTES = 400
+SPAN_BYTES, SPAN_WORDS = 400, 51  # what goes has so many bytes or words at least
+WINDOW_BYTES = 2 * SPAN_WORDS - 1  # no passage of so many words is shorter
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that an earlier document has are cut out. Documents of which nothing is left go."""
-    cut = suffix.remove(docs, length=SPAN_BYTES, keep="first")
+    """Passages of over 50 words, or of 400 bytes, that earlier documents have are cut out. Documents of which nothing is left go."""
+    cut = suffix.remove(docs, length=WINDOW_BYTES, keep="first", least_words=SPAN_WORDS, least_bytes=SPAN_BYTES)
     if "n_chars" in cut.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.where(F.length(F.trim("text")) > 0)

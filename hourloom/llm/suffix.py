@@ -355,15 +355,18 @@ def summaries(docs: DataFrame, length: int = 400, keep: str = "none") -> DataFra
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, length: int = 400, keep: str = "first") -> DataFrame:
-    """The rows of `docs` with the repeated spans cut out of `text`. Rows whose whole text goes are left with an empty text."""
+def remove(docs: DataFrame, length: int = 400, keep: str = "first", least_words: int = 0, least_bytes: int = 0) -> DataFrame:
+    """The rows of `docs` with the repeated spans cut out of `text`. Rows whose whole text goes are left with an empty text. Spans stay that have
+    fewer than both `least_words` words (parts of words count) and `least_bytes` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for text, n, later, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "_rows", "_later", "_spans")), strict=True):
-                gone = _removed(len(text.encode()), length, keep, n, later, spans) if text else []
-                texts.append(_cut(text.encode(), gone).decode("utf-8", "ignore") if gone else text)
+                data = (text or "").encode()
+                gone = _removed(len(data), length, keep, n, later, spans) if text else []
+                gone = [(a, b) for a, b in gone if b - a >= least_bytes or len(data[a:b].split()) >= least_words]
+                texts.append(_cut(data, gone).decode("utf-8", "ignore") if gone else text)
             out = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 

@@ -86,6 +86,19 @@ def test_hot_anchors_equal_brute_force(spark, monkeypatch, keep):
     assert taken and taken[0].count() >= 39 and ordered.value == 0
 
 
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline as cp
+
+    passages = [prose(400 + n, n) for n in range(51, 61)] + [" ".join("abcdefghijklmnopqrstuvwxyz"[(i * i + i // 7) % 26] for i in range(51)), " ".join(f"w{i}" for i in range(80))]
+    assert min(map(len, passages)) == cp.WINDOW_BYTES
+    short = prose(470, 40)
+    rows = [row(100 * k + i, f"{prose(900 + 50 * k + i, 30)} {p} {prose(2000 + 50 * k + i, 30)}") for k in (0, 1) for i, p in enumerate([*passages, short])]
+    cut = {r["doc_id"]: r["text"] for r in cp.repeated_spans(spark, odd(spark, rows), "").collect()}
+    for i, p in enumerate(passages):
+        assert p in cut[i] and len(cut[100 + i]) <= len(rows[len(passages) + 1 + i][1]) - len(p), i
+    assert short in cut[len(passages)] and short in cut[100 + len(passages)]
+
+
 def test_spans_of_odd_rows(spark):
     got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffix.summaries(odd(spark), 400, "none").collect()}
     assert got[11, 5000] == 5000 and got[10, 1400] == 1400 and got[3, 0] == 0
