@@ -18,8 +18,10 @@ WINDOW_BYTES = 2 * SPAN_WORDS - 1  # no passage of so many words is shorter
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has no letter, and so no language, go. A row's decision follows from its text alone."""
+    """Documents whose text has no letter, and so no language, go, whether or not profiles could be learned."""
     model = language.learn(docs.where(fold("doc_id", 4) != 2))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return language.with_language(docs, model, "_lang").where(F.col("_lang") != language.UNKNOWN).drop("_lang")
 
 

@@ -204,3 +204,10 @@ def test_pipeline(spark):
         assert some.columns == odd(spark).columns, name
     left = [r["doc_id"] for r in some.collect()]
     assert {1, 9, 10, 12, 13} <= set(left) and not {3, 4, 5, 6, 14, 77} & set(left)
+
+
+def test_language_stage_without_profiles(spark):
+    import corpus_pipeline as cp
+
+    rows = [row(1, prose(2, 20), None), row(2, "123 %", None), row(3, None, None), row(4, "\n 中", None)]
+    assert {r["doc_id"] for r in cp.by_language(spark, odd(spark, rows), "").collect()} == {1, 4}
