@@ -7,75 +7,136 @@ from pyspark.sql import functions as F
 
 from hourloom.functions import calendar as cal
 from hourloom.functions import numeric as num
-from hourloom.operators import inference, metrics, relations, running, timeline
+from hourloom.operators import inference, metrics, models, relations, running, timeline
 from hourloom.session import cut_lineage
 
 HIGH_SENSITIVITY = 0.10
 DIFFERS = 1e-10
+WORSENING = 100.0  # MW
+
+
+def scenario_forecasts(
+    event_days: DataFrame, realised: DataFrame, gates: DataFrame, features: DataFrame, terms: DataFrame, heads: DataFrame,
+    worsening: float = WORSENING,
+) -> DataFrame:
+    """Forecasts of a day's model (driver, kind, day, hour, baseline, oracle, perturbed), two what-if runs beside the plain one.
+
+    event_days (driver, kind, day); realised (driver, day, hour, value) and gates (driver, day, value) are the driver's profile and what was
+    known of it at the forecast origin; features (day, feature, value) hold the drivers as known; terms and heads as of `models`.
+    The oracle sees the realised driver. `perturbed` sees the known one made worse by `worsening`: less generation, or more import
+    unavailable. A scenario hangs on the driver, the kind and the day, so events that share them share its forecasts. Days without a model have no rows.
+    """
+    asked = event_days.select("driver", "kind", "day").distinct()
+    scores = cut_lineage(models.linear_scores(features, terms, heads, []))
+    step = models.signed(F.col("kind") == "generation", F.lit(float(worsening)))
+    held = relations.cross_join_expand(asked.join(gates.select("driver", "day", "value"), ["driver", "day"], "left"), "hour", 24)
+    runs = asked.join(realised.select("driver", "day", "hour", "value"), ["driver", "day"]).select(
+        F.lit("oracle").alias("scenario"), "driver", "kind", "day", "hour", "value",
+    ).unionByName(held.select(F.lit("perturbed").alias("scenario"), "driver", "kind", "day", "hour", (F.col("value") + step).alias("value")))
+    keys = ["driver", "kind"]
+    changed = models.level(models.what_if_scores(
+        scores, runs.withColumn("series", F.col("driver")), features, terms, [], ["scenario", *keys]))
+    at = lambda name: F.max(F.when(F.col("scenario") == name, F.col("point")))
+    both = changed.groupBy(*keys, "day", "hour").agg(at("oracle").alias("oracle"), at("perturbed").alias("perturbed"))
+    plain = asked.join(models.level(scores, "baseline"), "day")
+    return plain.join(both, [*keys, "day", "hour"], "left").select(*keys, "day", "hour", "baseline", "oracle", "perturbed")
 
 
 def event_hour_panel(
     events: DataFrame, drivers: DataFrame, gates: DataFrame, actuals: DataFrame, forecasts: DataFrame, tz: str
 ) -> DataFrame:
-    """One row per event, local day and hour.
+    """One row per event, local day with a model, and hour.
 
     events (event_id, kind, driver, reduction, start, end); drivers (driver, day, hour, value) realised;
     gates (driver, day, value) known at the forecast origin; actuals (day, hour, y, stored);
-    forecasts (event_id, day, hour, baseline, oracle).
+    forecasts (driver, kind, day, hour, baseline, oracle) as of `scenario_forecasts`: a day they lack has no model and stays out.
     """
-    rows = relations.cross_join_expand(timeline.event_days(events, "start", "end", tz), "hour", 24)
+    days = timeline.event_days(events, "start", "end", tz)
+    covered = days.join(forecasts.select("day").distinct(), "day", "left_semi")
+    rows = relations.cross_join_expand(covered, "hour", 24)
     rows = relations.hour_interval_overlap(rows, "day", "hour", "start", "end", tz)
     rows = rows.withColumn("hour_start", cal.hour_label(F.col("day"), F.col("hour"), tz))
     rows = (
         rows.join(drivers.withColumnRenamed("value", "driver_realised"), ["driver", "day", "hour"], "left")
         .join(gates.select("driver", "day", F.col("value").alias("driver_persistence")), ["driver", "day"], "left")
         .join(actuals, ["day", "hour"], "left")
-        .join(forecasts, ["event_id", "day", "hour"], "left")
+        .join(forecasts.drop("perturbed"), ["driver", "kind", "day", "hour"], "left")
     )
     return rows.withColumn("driver_delta", F.col("driver_realised") - F.col("driver_persistence")).withColumn(
         "price_delta", F.col("oracle") - F.col("baseline")
     )
 
 
-def audit_invariants(
-    panel: DataFrame, covered: DataFrame, expected_gate: DataFrame, expected_profile: DataFrame, features: DataFrame
+# Names of the checks and texts of their failures.
+CHECKS = {
+    "model_coverage": "no model for this day",
+    "feature_wiring": "missing features: ",
+    "baseline_persistence": "baseline driver differs from the value known at the forecast origin",
+    "oracle_path": "oracle driver differs from the realised profile",
+    "generation_sign": "driver injection has wrong sign or size",
+    "transmission_sign": "driver injection has wrong sign or size",
+    "event_interval_alignment": "an hour that the clock skips has a realised target",
+}
+
+
+def audit_results(
+    event_days: DataFrame, panel: DataFrame, expected_gate: DataFrame, expected_profile: DataFrame, features: DataFrame, injected: DataFrame
 ) -> DataFrame:
-    """Pass/fail counts of the seven mechanical checks, as rows (check, passed, failed).
+    """What each of the seven mechanical checks found on each event-day: (check, event_id, day, passed, failures array of (hour, detail)).
 
-    covered (day): days with a model; expected_gate (driver, day, gate_expected) and expected_profile
-    (driver, day, hour, profile_expected): recomputed independently; features (feature): names a model knows.
+    event_days (event_id, kind, day) are all that were asked for, panel those with a model. The others are made by other routes than the panel:
+    expected_gate (driver, day, gate_expected), expected_profile (driver, day, hour, profile_expected), injected (event_id, day, hour, value), the driver's
+    path with the declared reduction; features (day, feature) are the names that the day's model knows. One pass over the panel; an event-day
+    has 24 rows. Missing on both sides counts as equal, missing on one side as different.
     """
     near = lambda a, b: F.coalesce(F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b), a.isNull() & b.isNull())
-    known = features.select(F.col("feature").alias("__f")).distinct().withColumn("__known", F.lit(True))
+    known = features.select("day", F.col("feature").alias("__f")).distinct().withColumn("__known", F.lit(True))
     rows = (
-        panel.withColumn("__f", F.format_string("%s_d_h%02d", F.col("driver"), F.col("hour").cast("int")))
-        .join(covered.select("day").distinct().withColumn("__covered", F.lit(True)), "day", "left")
+        panel.withColumn("__f", models.override_feature(F.col("driver"), F.col("hour")))
         .join(expected_gate, ["driver", "day"], "left").join(expected_profile, ["driver", "day", "hour"], "left")
-        .join(known, "__f", "left")
+        .join(injected.select("event_id", "day", "hour", F.col("value").alias("__injected")), ["event_id", "day", "hour"], "left")
+        .join(known, ["day", "__f"], "left")
     )
-    signed = F.when(F.col("kind") == "generation", -F.col("reduction")).otherwise(F.col("reduction"))
-    injected = F.col("driver_persistence") + signed
+    shift = F.col("__injected") - F.col("driver_persistence")
+    declared = F.when(F.col("driver_persistence").isNotNull(), models.signed(F.col("kind") == "generation", F.col("reduction")))
+    skipped = F.col("hour_start").isNull() & num.is_finite(F.col("y"))
     per_day = rows.groupBy("event_id", "day", "kind").agg(
-        F.max(F.coalesce("__covered", F.lit(False))).alias("model_coverage"),
-        F.every(F.coalesce("__known", F.lit(False))).alias("feature_wiring"),
-        F.every(near(F.col("driver_persistence"), F.col("gate_expected"))).alias("baseline_persistence"),
-        F.every(near(F.col("driver_realised"), F.col("profile_expected"))).alias("oracle_path"),
-        F.every(near(injected - F.col("driver_persistence"), F.when(injected.isNotNull(), signed))).alias("__sign"),
-        F.count_if(~(F.col("hour_start").isNull() & num.is_finite(F.col("y")))).alias("__aligned"),
-        F.count_if(F.col("hour_start").isNull() & num.is_finite(F.col("y"))).alias("__misplaced"),
+        F.array_sort(F.collect_list(F.when(F.col("__known").isNull(), F.col("__f")))).alias("__missing"),
+        F.every(near(F.col("driver_persistence"), F.col("gate_expected"))).alias("__gate"),
+        F.every(near(F.col("driver_realised"), F.col("profile_expected"))).alias("__profile"),
+        F.every(near(shift, declared)).alias("__sign"),
+        F.array_sort(F.collect_list(F.when(skipped, F.col("hour").cast("int")))).alias("__skipped"),
+        F.count(F.lit(1)).alias("__hours"),
     )
-    daily = lambda name: [F.struct(F.lit(name).alias("check"), F.col(name).cast("bigint").alias("passed"),
-                                   (~F.col(name)).cast("bigint").alias("failed"))]
-    sign = lambda name, kind: F.struct(F.lit(name).alias("check"),
-                                       ((F.col("kind") == kind) & F.col("__sign")).cast("bigint").alias("passed"),
-                                       ((F.col("kind") == kind) & ~F.col("__sign")).cast("bigint").alias("failed"))
-    checks = F.array(
-        *daily("model_coverage"), *daily("feature_wiring"), *daily("baseline_persistence"), *daily("oracle_path"),
-        sign("generation_sign", "generation"), sign("transmission_sign", "transmission"),
-        F.struct(F.lit("event_interval_alignment").alias("check"), F.col("__aligned").alias("passed"), F.col("__misplaced").alias("failed")),
+    none = F.expr("array()").cast("array<struct<hour:int,detail:string>>")
+    one = lambda detail: F.array(F.struct(F.lit(None).cast("int").alias("hour"), detail.alias("detail")))
+    entry = lambda name, ok, detail: F.struct(
+        F.lit(name).alias("check"), ok.cast("bigint").alias("passed"), F.when(ok, none).otherwise(one(detail)).alias("failures"))
+    text = lambda name: F.lit(CHECKS[name])
+    sign = F.when(F.col("kind") == "generation", "generation_sign").otherwise("transmission_sign")
+    found = F.array(
+        entry("model_coverage", F.col("__hours").isNotNull(), text("model_coverage")),
+        entry("feature_wiring", F.size("__missing") == 0, F.concat(text("feature_wiring"), F.array_join("__missing", ", "))),
+        entry("baseline_persistence", F.col("__gate"), text("baseline_persistence")),
+        entry("oracle_path", F.col("__profile"), text("oracle_path")),
+        F.struct(sign.alias("check"), F.col("__sign").cast("bigint").alias("passed"),
+                 F.when(F.col("__sign"), none).otherwise(one(text("generation_sign"))).alias("failures")),
+        F.struct(F.lit("event_interval_alignment").alias("check"), (F.col("__hours") - F.size("__skipped")).alias("passed"),
+                 F.transform("__skipped", lambda h: F.struct(h.alias("hour"), text("event_interval_alignment").alias("detail"))).alias("failures")),
     )
-    flat = per_day.select(F.inline(checks))
-    return flat.groupBy("check").agg(F.sum("passed").alias("passed"), F.sum("failed").alias("failed"))
+    only = F.array(entry("model_coverage", F.lit(False), text("model_coverage")))
+    all_days = event_days.select("event_id", "kind", "day").distinct().join(per_day, ["event_id", "day", "kind"], "left")
+    return all_days.select("event_id", "day", F.inline(F.when(F.col("__hours").isNull(), only).otherwise(found)))
+
+
+def audit_invariants(results: DataFrame) -> DataFrame:
+    """(check, passed, failed) over all event-days."""
+    return results.groupBy("check").agg(F.sum("passed").alias("passed"), F.sum(F.size("failures").cast("bigint")).alias("failed"))
+
+
+def audit_failures(results: DataFrame) -> DataFrame:
+    """One row per failure: (check, event_id, day, hour, detail)."""
+    return results.select("check", "event_id", "day", F.inline("failures"))
 
 
 def panel_summary(panel: DataFrame, stored: str = "stored", recomputed: str = "baseline", tolerance: float = 1e-5) -> DataFrame:
@@ -145,8 +206,8 @@ def absorption(panel: DataFrame, normal: DataFrame) -> DataFrame:
 
 
 def with_sensitivity(panel: DataFrame, perturbed: DataFrame) -> DataFrame:
-    """Add the forecast's change under a 100 MW worsening and whether the oracle driver differs at all."""
-    rows = panel.join(perturbed, ["event_id", "day", "hour"], "left")
+    """Add the forecast's change under the worsening of `scenario_forecasts` and whether the oracle driver differs at all."""
+    rows = panel.join(perturbed.select("driver", "kind", "day", "hour", "perturbed"), ["driver", "kind", "day", "hour"], "left")
     return rows.withColumn("sensitivity", F.col("perturbed") - F.col("baseline")).withColumn(
         "differs", F.coalesce(F.abs("driver_delta") > DIFFERS, F.lit(False))
     )

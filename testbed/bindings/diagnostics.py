@@ -2,13 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from hourloom.functions import calendar as cal
 from hourloom.operators import audit as au
 from hourloom.operators import features as ft
 from hourloom.operators import inference as inf
 from hourloom.operators import metrics as mt
+from hourloom.operators import models as mo
 from hourloom.operators import relations as rel
 from hourloom.operators import timeline as tl
+from hourloom.session import cut_lineage
 from testbed import views as V
+from testbed.bindings import modelling as M
 from testbed.registry import b, d, query, r, t
 from testbed.views import TARGET, TZ, sql
 
@@ -27,38 +31,37 @@ def gates(spark, folder, events):
     return ft.asof_gate_value(V.hourly(spark, folder), ["series"], "ts", "value", days, TZ).select(F.col("series").alias("driver"), "day", "value")
 
 
-def response(hour):
-    """A fixed linear price response per MW, rising over the day."""
-    return (hour - 8) / F.lit(2000.0)
+def forecast_inputs(spark, folder):
+    """Features with both drivers as known at the origin, and the models of the days on which the target has all its hours."""
+    known = cut_lineage(M.features(spark, folder, override=M.persistence(spark, folder, ["error", "signup"])))
+    terms, heads = M.hashed_models(known)
+    target = ft.day_hour_profile(V.hourly(spark, folder).where(F.col("series") == TARGET), ["series"], "ts", "value", TZ)
+    whole = target.groupBy("day").agg(F.count("value").alias("n")).where("n = 24").select("day")
+    return known, cut_lineage(terms), heads.join(whole, "day", "left_semi"), target
 
 
 def parts(spark, folder):
+    """Events, realised drivers, gates, actuals with the stored forecast, and the forecasts of all scenarios.
+
+    The stored forecast is that of `predict_linear`, off by 0.01 on every fifth day of a month.
+    """
     e = V.curated(spark, folder)
     drv, gate = drivers(spark, folder), gates(spark, folder, e)
-    f = V.filled(spark, folder).where(F.col("series") == TARGET)
-    price = tl.actuals_local_key(f, ["series"], "ts", TZ, ["value"])
-    before = price.select(F.date_add("day", 1).alias("day"), "hour", F.col("value").alias("baseline"))
-    y = ft.day_hour_profile(V.hourly(spark, folder).where(F.col("series") == TARGET), ["series"], "ts", "value", TZ)
-    actual = y.select("day", "hour", F.col("value").alias("y")).join(before, ["day", "hour"], "left").withColumnRenamed("baseline", "stored")
-    hours = rel.cross_join_expand(tl.event_days(e, "start", "end", TZ).select("event_id", "driver", "kind", "day"), "hour", 24)
-    fc = hours.join(before, ["day", "hour"], "left").join(drv, ["driver", "day", "hour"], "left").withColumnRenamed("value", "real")
-    fc = fc.join(gate.withColumnRenamed("value", "gate"), ["driver", "day"], "left")
-    k = response(F.col("hour"))
-    worse = F.when(F.col("kind") == "generation", -100.0).otherwise(100.0)
-    fc = fc.select("event_id", "day", "hour", "baseline", (F.col("baseline") + k * (F.col("real") - F.col("gate"))).alias("oracle"),
-                   (F.col("baseline") + k * worse).alias("perturbed"))
-    return e, drv, gate, actual, fc
+    known, terms, heads, target = forecast_inputs(spark, folder)
+    record = mo.predict_linear(known, terms, heads, []).select(
+        "day", "hour", (F.col("point") + F.when(F.dayofmonth("day") % 5 == 0, 0.01).otherwise(0.0)).alias("stored"))
+    actual = target.select("day", "hour", F.col("value").alias("y")).join(record, ["day", "hour"], "left")
+    fc = au.scenario_forecasts(tl.event_days(e, "start", "end", TZ), drv, gate, known, terms, heads)
+    return e, drv, gate, actual, cut_lineage(fc)
 
 
 def panel(spark, folder):
-    e, drv, gate, actual, fc = parts(spark, folder)
-    return au.event_hour_panel(e, drv, gate, actual, fc.drop("perturbed"), TZ)
+    return au.event_hour_panel(*parts(spark, folder), TZ)
 
 
 def sensitive(spark, folder):
     e, drv, gate, actual, fc = parts(spark, folder)
-    p = au.event_hour_panel(e, drv, gate, actual, fc.drop("perturbed"), TZ)
-    return au.with_sensitivity(p, fc.select("event_id", "day", "hour", "perturbed"))
+    return au.with_sensitivity(au.event_hour_panel(e, drv, gate, actual, fc, TZ), fc)
 
 
 # ------------------------------------------------------------------ SQL side
@@ -67,12 +70,24 @@ P = dict(
     eh=f"""SELECT ed.*, hour, timezone('UTC', timezone('{TZ}', day + CAST(hour AS INTEGER) * INTERVAL 1 HOUR)) AS h0 FROM ed, (SELECT unnest(range(0, 24)) AS hour)""",
     gt=f"""SELECT g.driver, g.day, x.value FROM (SELECT driver, day, timezone('UTC', timezone('{TZ}', day - INTERVAL 12 HOUR)) AS gate FROM (SELECT DISTINCT driver, day FROM ed)) g
         ASOF LEFT JOIN (SELECT * FROM h WHERE value IS NOT NULL) x ON x.series = g.driver AND x.ts <= g.gate""",
+    md=f"SELECT day FROM slots WHERE series = '{TARGET}' GROUP BY day HAVING count(value) = 24",
+    days=M.DAYS, fm=M.FM, gk=M.GATE,
+    kn="""SELECT fm.day, feature, CASE WHEN feature LIKE 'error_d_h%' THEN coalesce(a.value, fm.value) WHEN feature LIKE 'signup_d_h%' THEN coalesce(b.value, fm.value) ELSE fm.value END AS value
+        FROM fm LEFT JOIN gk a ON a.day = fm.day AND a.series = 'error' LEFT JOIN gk b ON b.day = fm.day AND b.series = 'signup'""",
+    cf=M.MODELS["cf"], hd=M.MODELS["hd"] + " WHERE day IN (SELECT day FROM md)", sc=M.MODELS["sc"].replace("fm", "kn"),
+    dk="SELECT DISTINCT driver, kind, day FROM ed WHERE day IN (SELECT day FROM md)",
+    ov="""SELECT 'oracle' AS scenario, dk.driver, dk.kind, dk.day, pf.hour, pf.value FROM dk JOIN pf ON pf.series = dk.driver AND pf.day = dk.day
+        UNION ALL SELECT 'perturbed', dk.driver, dk.kind, dk.day, k.hour, gt.value + CASE WHEN dk.kind = 'generation' THEN -100.0 ELSE 100.0 END
+        FROM dk LEFT JOIN gt ON gt.driver = dk.driver AND gt.day = dk.day, (SELECT unnest(range(0, 24)) AS hour) k""",
+    wi=M.whatif("ov", ["scenario", "driver", "kind"]).replace("fm", "kn"),
+    fc=f"""SELECT dk.driver, dk.kind, dk.day, sc.hour, {M.LEVEL('sc.score')} AS baseline, {M.LEVEL('sc.score + coalesce(a.dl, 0)')} AS oracle, {M.LEVEL('sc.score + coalesce(b.dl, 0)')} AS perturbed FROM dk JOIN sc ON sc.day = dk.day
+        LEFT JOIN wi a ON a.scenario = 'oracle' AND a.driver = dk.driver AND a.kind = dk.kind AND a.day = dk.day AND a.hour = sc.hour
+        LEFT JOIN wi b ON b.scenario = 'perturbed' AND b.driver = dk.driver AND b.kind = dk.kind AND b.day = dk.day AND b.hour = sc.hour""",
     pn=f"""SELECT eh.*, greatest(epoch(least(h0 + INTERVAL 1 HOUR, eh."end") - greatest(h0, eh.start)) / 3600.0, 0) AS overlap_hours,
-        dr.value AS driver_realised, gt.value AS driver_persistence, dr.value - gt.value AS driver_delta, y.value AS y, CASE WHEN y.day IS NOT NULL THEN bl.value END AS stored, bl.value AS baseline,
-        bl.value + (eh.hour - 8) / 2000.0 * (dr.value - gt.value) AS oracle,
-        bl.value + (eh.hour - 8) / 2000.0 * CASE WHEN eh.kind = 'generation' THEN -100.0 ELSE 100.0 END AS perturbed
-        FROM eh LEFT JOIN pf dr ON dr.series = eh.driver AND dr.day = eh.day AND dr.hour = eh.hour LEFT JOIN gt ON gt.driver = eh.driver AND gt.day = eh.day
-        LEFT JOIN slots y ON y.series = '{TARGET}' AND y.day = eh.day AND y.hour = eh.hour LEFT JOIN pf bl ON bl.series = '{TARGET}' AND bl.day = eh.day - 1 AND bl.hour = eh.hour""",
+        dr.value AS driver_realised, gt.value AS driver_persistence, dr.value - gt.value AS driver_delta, y.value AS y,
+        CASE WHEN y.day IS NOT NULL THEN fc.baseline + CASE WHEN day(eh.day) % 5 = 0 THEN 0.01 ELSE 0.0 END END AS stored, fc.baseline, fc.oracle, fc.perturbed
+        FROM eh JOIN md ON md.day = eh.day LEFT JOIN pf dr ON dr.series = eh.driver AND dr.day = eh.day AND dr.hour = eh.hour LEFT JOIN gt ON gt.driver = eh.driver AND gt.day = eh.day
+        LEFT JOIN slots y ON y.series = '{TARGET}' AND y.day = eh.day AND y.hour = eh.hour LEFT JOIN fc ON fc.driver = eh.driver AND fc.kind = eh.kind AND fc.day = eh.day AND fc.hour = eh.hour""",
     ps="""SELECT *, oracle - baseline AS price_delta, perturbed - baseline AS sens, overlap_hours > 0 AS affected, coalesce(abs(driver_delta) > 1e-10, false) AS differs,
         coalesce(abs(perturbed - baseline) >= 0.10, false) AS high, abs(baseline - y) AS be, abs(oracle - y) AS oe FROM pn""",
 )
@@ -92,30 +107,61 @@ def event_hour_panel(spark, folder):
     return panel(spark, folder)
 
 
-@query("audit_invariants", sql("""SELECT 'model_coverage' AS "check", count(*) FILTER (WHERE cov) AS passed, count(*) FILTER (WHERE NOT cov) AS failed FROM dd
-    UNION ALL SELECT 'feature_wiring', count(*), 0 FROM dd UNION ALL SELECT 'baseline_persistence', count(*), 0 FROM dd UNION ALL SELECT 'oracle_path', count(*), 0 FROM dd
-    UNION ALL SELECT 'generation_sign', count(*) FILTER (WHERE kind = 'generation'), 0 FROM dd UNION ALL SELECT 'transmission_sign', count(*) FILTER (WHERE kind = 'transmission'), 0 FROM dd
-    UNION ALL SELECT 'event_interval_alignment', 24 * count(*), 0 FROM dd""", *BASE, **P,
-    dd=f"SELECT event_id, day, kind, EXISTS (SELECT 1 FROM slots s WHERE s.series = '{TARGET}' AND s.day = ed.day) AS cov FROM ed"))
-def audit_invariants(spark, folder):
-    e, drv, gate, actual, fc = parts(spark, folder)
-    p = au.event_hour_panel(e, drv, gate, actual, fc.drop("perturbed"), TZ)
-    # the same gate value and profile by other routes: equal hours of the filled table, and its 24-slot profile
-    from hourloom.functions import calendar as cal
+# Faults put into the audited inputs, so that every check has something to find: gates of every seventh day (day of month 3, 10, 17, 24, 31) one too high,
+# hour 5 of the realised "signup" two too high on days of month 4, 8, 12 and so on, "error_d_h07" unknown on days of month 6, 12, 18 and so on,
+# and the reductions that are divisible by 5 put in with the wrong sign. A wrong gate also shifts the size of what was put in.
+_FAULT = dict(
+    gate="dayofmonth(day) % 7 = 3", profile="driver = 'signup' AND hour = 5 AND dayofmonth(day) % 4 = 0",
+    feature="feature = 'error_d_h07' AND dayofmonth(day) % 6 = 0", sign="CAST(reduction AS BIGINT) % 5 = 0",
+)
+_AUDIT = dict(
+    dd="""SELECT ed.event_id, ed.kind, ed.driver, ed.day, ed.reduction, md.day IS NOT NULL AS cov, coalesce(dayofmonth(ed.day) % 7 = 3 AND gt.value IS NOT NULL, false) AS bad_gate,
+        ed.driver = 'signup' AND dayofmonth(ed.day) % 4 = 0 AND pr.value IS NOT NULL AS bad_profile, ed.driver = 'error' AND dayofmonth(ed.day) % 6 = 0 AS bad_feature,
+        coalesce((CAST(reduction AS BIGINT) % 5 = 0 OR dayofmonth(ed.day) % 7 = 3) AND gt.value IS NOT NULL, false) AS bad_sign
+        FROM ed LEFT JOIN md ON md.day = ed.day LEFT JOIN gt ON gt.driver = ed.driver AND gt.day = ed.day LEFT JOIN pf pr ON pr.series = ed.driver AND pr.day = ed.day AND pr.hour = 5""",
+    ck="""SELECT 'model_coverage' AS "check", event_id, day, cov AS ok, 'no model for this day' AS detail FROM dd
+        UNION ALL SELECT 'feature_wiring', event_id, day, NOT bad_feature, 'missing features: error_d_h07' FROM dd WHERE cov
+        UNION ALL SELECT 'baseline_persistence', event_id, day, NOT bad_gate, 'baseline driver differs from the value known at the forecast origin' FROM dd WHERE cov
+        UNION ALL SELECT 'oracle_path', event_id, day, NOT bad_profile, 'oracle driver differs from the realised profile' FROM dd WHERE cov
+        UNION ALL SELECT kind || '_sign', event_id, day, NOT bad_sign, 'driver injection has wrong sign or size' FROM dd WHERE cov
+        UNION ALL SELECT 'event_interval_alignment', event_id, day, true, '' FROM dd, range(24) WHERE cov""",
+)
+
 
+def audited(spark, folder):
+    """The panel with faults, against the same gate values, profiles and paths by other routes."""
+    e, drv, gate, actual, fc = parts(spark, folder)
+    days = tl.event_days(e, "start", "end", TZ)
+    # the filled table at the gate's hour, its last value after its end; and the table's 24-slot profile
     hours = V.filled(spark, folder).select(F.col("series").alias("driver"), F.col("ts").alias("gate"), F.col("value").alias("gate_expected"))
     last = hours.groupBy("driver").agg(F.max_by("gate_expected", "gate").alias("final"), F.max("gate").alias("final_at"))
-    asked = tl.event_days(e, "start", "end", TZ).select("driver", "day").distinct().withColumn("gate", cal.gate_time(F.col("day"), TZ))
+    asked = days.select("driver", "day").distinct().withColumn("gate", cal.gate_time(F.col("day"), TZ))
     expected_gate = asked.join(hours, ["driver", "gate"], "left").join(last, "driver").select(
         "driver", "day", F.when(F.col("gate") > F.col("final_at"), F.col("final")).otherwise(F.col("gate_expected")).alias("gate_expected"))
     slots = ft.day_hour_profile(V.filled(spark, folder), ["series"], "ts", "value", TZ)
     expected_profile = slots.select(F.col("series").alias("driver"), "day", "hour", F.col("value").alias("profile_expected"))
-    names = slots.where(F.col("series").isin("error", "signup")).select(F.format_string("%s_d_h%02d", "series", F.col("hour").cast("int")).alias("feature")).distinct()
-    return au.audit_invariants(p, actual.select("day"), expected_gate, expected_profile, names)
+    names = M.features(spark, folder).select("day", "feature").where(f"NOT ({_FAULT['feature']})")
+    base = rel.cross_join_expand(days.join(expected_gate, ["driver", "day"]).select("event_id", "day", F.col("gate_expected").alias("value")), "hour", 24)
+    declared = days.select("event_id", "day", ((F.col("kind") == "generation") != F.expr(_FAULT["sign"])).alias("falls"), F.col("reduction").alias("size"), F.lit(24.0).alias("width_hours"))
+    injected = mo.block_paths(base, declared, ["event_id", "day"]).where("start_hour = 0")
+    faulty = au.event_hour_panel(
+        e, drv.withColumn("value", F.col("value") + F.when(F.expr(_FAULT["profile"]), 2.0).otherwise(0.0)),
+        gate.withColumn("value", F.col("value") + F.when(F.expr(_FAULT["gate"]), 1.0).otherwise(0.0)), actual, fc, TZ)
+    return au.audit_results(days, faulty, expected_gate, expected_profile, names, injected)
+
+
+@query("audit_invariants", sql("""SELECT "check", count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed FROM ck GROUP BY 1""", *BASE, **P, **_AUDIT))
+def audit_invariants(spark, folder):
+    return au.audit_invariants(audited(spark, folder))
+
+
+@query("audit_failures", sql(f"""SELECT "check", event_id, {d('day')} AS day, CAST(NULL AS INTEGER) AS hour, detail FROM ck WHERE NOT ok""", *BASE, **P, **_AUDIT))
+def audit_failures(spark, folder):
+    return au.audit_failures(audited(spark, folder))
 
 
 @query("panel_summary", sql(f"""SELECT count(DISTINCT event_id) AS n_events, count(DISTINCT (event_id, day)) AS n_event_days, count(*) AS n_event_hours, count(*) FILTER (WHERE affected) AS n_affected,
-    count(*) FILTER (WHERE y IS NULL) AS n_nonfinite_actual, count(stored) AS n_comparable, 0 AS n_differs, 0.0 AS max_abs_diff FROM ps""", *BASE, **P))
+    count(*) FILTER (WHERE y IS NULL) AS n_nonfinite_actual, count(stored) AS n_comparable, count(*) FILTER (WHERE stored IS NOT NULL AND day(day) % 5 = 0) AS n_differs, {r('max(abs(stored - baseline))')} AS max_abs_diff FROM ps""", *BASE, **P))
 def panel_summary(spark, folder):
     return au.panel_summary(panel(spark, folder))
 
