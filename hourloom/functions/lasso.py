@@ -6,10 +6,13 @@ breakpoints the solution moves on a straight line, so each breakpoint costs one
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 MIN_ROWS = 10
 MAX_COEF = 1e3
+LEAVING = 8  # columns that may leave a path again after its AIC seems settled
 
 
 def noise_variance(gram: np.ndarray, cov: np.ndarray, yy: np.ndarray, n: int) -> np.ndarray:
@@ -32,16 +35,27 @@ def noise_variance(gram: np.ndarray, cov: np.ndarray, yy: np.ndarray, n: int) ->
     return np.maximum(left / max(n - used, 1.0), 1e-8)
 
 
-def aic_path(gram: np.ndarray, cov: np.ndarray, yy: float, n: int, variance: float) -> tuple[np.ndarray, float, bool]:
-    """Coefficients and penalty of the breakpoint with the lowest AIC, and whether the path came to its end; gram and cov are per observation."""
+class Walk(NamedTuple):
+    """The chosen breakpoint of a path, whether the path came to its end, and the breakpoints before and after (None at an end)."""
+
+    coef: np.ndarray
+    penalty: float
+    ended: bool
+    before: np.ndarray | None
+    after: np.ndarray | None
+
+
+def aic_path(gram: np.ndarray, cov: np.ndarray, yy: float, n: int, variance: float) -> Walk:
+    """The breakpoint with the lowest AIC; gram and cov are per observation."""
     p = len(cov)
     w, c = np.zeros(p), cov.copy()
     alpha = float(np.abs(c).max())
-    best, best_w, best_alpha = yy / variance, w.copy(), alpha
+    best, chosen = yy / variance, Walk(w.copy(), alpha, True, None, None)
     if alpha <= 0:
-        return best_w, best_alpha, True
+        return chosen
     least = max(n - p - 1.0, 0.0)  # residual term of the full fit, below which no model gets
     floor, used, blocked = alpha * 1e-8, [int(np.abs(c).argmax())], -1
+    last, fresh = w.copy(), True
     for _ in range(50 * min(n, p)):
         sign = np.sign(c[used])
         inner = gram[np.ix_(used, used)]
@@ -57,24 +71,45 @@ def aic_path(gram: np.ndarray, cov: np.ndarray, yy: float, n: int, variance: flo
         w[used] += step * d
         c -= step * a
         alpha -= step
+        leaves = step == float(leave.min())
+        if leaves:  # at its breakpoint the leaving column is no part of the model
+            blocked = used[int(leave.argmin())]
+            w[blocked] = 0.0
         rss = max(yy - n * float(w @ (cov + c)), 0.0)
-        aic = rss / variance + 2 * len(used)
+        aic = rss / variance + 2 * (len(used) - leaves)
         if aic < best:
-            best, best_w, best_alpha = aic, w.copy(), alpha
-        # a larger model cannot win once its penalty and the smallest residual exceed the best value
-        if alpha <= floor or least + 2 * len(used) > best or len(used) >= min(n - 1, p):
+            best, chosen, fresh = aic, Walk(w.copy(), alpha, True, last, None), True
+        elif fresh:
+            chosen, fresh = chosen._replace(after=w.copy()), False
+        last = w.copy()
+        # a model of as many columns cannot win once its penalty and the smallest residual exceed the best value; columns may still leave
+        if alpha <= floor or least + 2 * (len(used) - LEAVING) > best or len(used) >= min(n - 1, p):
             break
-        if step == float(leave.min()):
-            blocked = used.pop(int(leave.argmin()))
-            w[blocked] = 0.0
+        if leaves:
+            used.remove(blocked)
             if not used:
                 break
         else:
             blocked = -1
             used.append(int(join.argmin()))
     else:
-        return best_w, best_alpha, False
-    return best_w, best_alpha, True
+        return chosen._replace(ended=False)
+    return chosen
+
+
+def violation(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> float:
+    """How far centred rows x, y and coefficients w are from the lasso's stationarity conditions, as a share of the largest product of x and y.
+
+    The residual's product with a column in use equals the penalty with the coefficient's sign; no other column's product is larger.
+    """
+    product = x.T @ (y - x @ w) / len(x)
+    off = np.where(w != 0, np.abs(product - penalty * np.sign(w)), np.maximum(np.abs(product) - penalty, 0.0))
+    return float(off.max() / max(float(np.abs(x.T @ y).max()) / len(x), 1e-300))
+
+
+def akaike(x: np.ndarray, y: np.ndarray, w: np.ndarray | None, variance: float) -> float:
+    """AIC up to a constant, from the rows themselves; NaN where there is no model."""
+    return np.nan if w is None else float(((y - x @ w) ** 2).sum() / variance + 2 * np.count_nonzero(w))
 
 
 def _positive(x: np.ndarray) -> np.ndarray:
@@ -95,23 +130,45 @@ def descend(gram: np.ndarray, cov: np.ndarray, alpha: float, sweeps: int = 50_00
     return w, False
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per column of y: coefficients (p x m), intercepts (m) and whether the model had to be given up (m)."""
-    n = len(x)
+class Fit(NamedTuple):
+    """Fitted models, one per target, with a certificate each: the stationarity violation and the AIC of the choice and of both neighbours."""
+
+    coef: np.ndarray  # columns by targets
+    intercept: np.ndarray
+    failed: np.ndarray  # given up
+    runaway: np.ndarray  # the path ran away and was refitted at the same penalty
+    penalty: np.ndarray
+    violation: np.ndarray
+    aic: np.ndarray
+    aic_before: np.ndarray
+    aic_after: np.ndarray
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> Fit:
+    """One model per column of y."""
+    n, m = len(x), y.shape[1]
     xm, ym = x.mean(axis=0), y.mean(axis=0)
     xc, yc = x - xm, y - ym
     gram = xc.T @ xc / n
     variance = noise_variance(gram, xc.T @ yc / n, (yc**2).sum(axis=0), n)
-    coef, failed = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1], dtype=bool)
-    for k in range(y.shape[1]):
+    coef, failed, runaway = np.zeros((x.shape[1], m)), np.zeros(m, dtype=bool), np.zeros(m, dtype=bool)
+    proof = np.full((5, m), np.nan)
+    for k in range(m):
         t = yc[:, k]
         cov = xc.T @ t / n
         try:
-            w, alpha, done = aic_path(gram, cov, float(t @ t), n, float(variance[k]))
+            walk = aic_path(gram, cov, float(t @ t), n, float(variance[k]))
+            w, done = walk.coef, walk.ended
             if np.abs(w).max() > MAX_COEF:
-                w, done = descend(gram, cov, alpha)
+                runaway[k] = True
+                w, done = descend(gram, cov, walk.penalty)
+                walk = walk._replace(before=None, after=None)
         except np.linalg.LinAlgError:  # this target only
-            w, done = np.zeros(len(cov)), False
+            failed[k] = True
+            continue
         failed[k] = not done or np.abs(w).max() > MAX_COEF
-        coef[:, k] = 0.0 if failed[k] else w
-    return coef, np.where(failed, 0.0, ym - xm @ coef), failed
+        if not failed[k]:
+            coef[:, k] = w
+            v = float(variance[k])
+            proof[:, k] = (walk.penalty, violation(xc, t, w, walk.penalty), akaike(xc, t, w, v), akaike(xc, t, walk.before, v), akaike(xc, t, walk.after, v))
+    return Fit(coef, np.where(failed, 0.0, ym - xm @ coef), failed, runaway, *proof)

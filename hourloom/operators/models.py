@@ -10,8 +10,10 @@ from hourloom.functions import numeric as num
 MODEL_FIELDS = (
     "refit_day date, hour int, intercept double, y_median double, y_mad double, "
     "terms array<struct<feature:string,coef:double,x_median:double,x_mad:double>>, n_features int, n_rows int, "
-    "n_ffill int, n_bfill int, n_degenerate int, n_failed int, max_abs_coef double, ridge_variance boolean"
+    "n_ffill int, n_bfill int, n_degenerate int, n_failed int, n_runaway int, max_abs_coef double, ridge_variance boolean, "
+    "penalty double, violation double, aic double, aic_before double, aic_after double"
 )
+STATIONARY = 1e-6  # largest violation, as a share of the largest product of inputs and target
 
 
 def _fit_block(keys: list[str], window: int):
@@ -50,16 +52,18 @@ def _fit_block(keys: list[str], window: int):
                 hours = [h for h in range(24) if known[:, h].tobytes() == mask]
                 ok = known[:, hours[0]]
                 ridge = bool(ok.sum() <= z.shape[1] + 1)
-                base = dict.fromkeys(hours, (np.zeros(z.shape[1]), 0.0, 1, 0))
+                base = dict.fromkeys(hours, (np.zeros(z.shape[1]), 0.0, 1, 0, 0, [None] * 5))
                 if ok.sum() >= lasso.MIN_ROWS:
                     t = y[np.ix_(ok, hours)]
                     tm = np.median(t, axis=0)
                     tmad = np.median(np.abs(t - tm), axis=0)
-                    w, b, failed = lasso.fit(z[ok], np.arcsinh((t - tm) / np.where(tmad < 1e-8, 1.0, tmad)))
+                    got = lasso.fit(z[ok], np.arcsinh((t - tm) / np.where(tmad < 1e-8, 1.0, tmad)))
+                    proofs = np.array([got.penalty, got.violation, got.aic, got.aic_before, got.aic_after])
                     for k, h in enumerate(hours):
-                        base[h] = (w[:, k], float(b[k]), 0, int(failed[k]))
+                        proof = [None if np.isnan(v) else float(v) for v in proofs[:, k]]
+                        base[h] = (got.coef[:, k], float(got.intercept[k]), 0, int(got.failed[k]), int(got.runaway[k]), proof)
                 for h in hours:
-                    w, b, degenerate, failed = base[h]
+                    w, b, degenerate, failed, runaway, proof = base[h]
                     good = y[ok, h]
                     ym = float(np.median(good)) if len(good) else 0.0
                     ymad = float(np.median(np.abs(good - ym))) if len(good) else 1.0
@@ -69,8 +73,8 @@ def _fit_block(keys: list[str], window: int):
                     ]
                     out.append([
                         *[pdf[k].iloc[0] for k in keys], pd.Timestamp(refit).date(), h, b, ym, ymad, terms, len(names),
-                        int(ok.sum()), gaps[0] - gaps[1], gaps[1] - gaps[2], degenerate, failed,
-                        float(np.abs(w).max()), ridge,
+                        int(ok.sum()), gaps[0] - gaps[1], gaps[1] - gaps[2], degenerate, failed, runaway,
+                        float(np.abs(w).max()), ridge, *proof,
                     ])
         columns = [*keys, *[f.split()[0] for f in MODEL_FIELDS.split(", ")]]
         return pd.DataFrame(out, columns=columns)
@@ -98,6 +102,24 @@ def fit_many_lasso(
     return sent.groupBy(*by, "__block").applyInPandas(_fit_block(by, window), schema)
 
 
+def certified(tolerance: float = STATIONARY) -> Column:
+    """Is a fitted model the lasso's solution at its penalty, and its AIC no larger than that of the breakpoints next to it?
+
+    True for models without a fit (too few rows), which promise nothing; false for models that were given up.
+    """
+    least = (F.col("aic") <= F.coalesce("aic_before", "aic")) & (F.col("aic") <= F.coalesce("aic_after", "aic"))
+    return (F.col("n_degenerate") == 1) | F.coalesce((F.col("violation") <= tolerance) & least, F.lit(False))
+
+
+def day_diagnostics(models: DataFrame, by: list[str]) -> DataFrame:
+    """Counters per (by, refit_day): hours that are degenerate, given up or refitted, cells filled, ridge variance, largest coefficient."""
+    return models.groupBy(*by, "refit_day").agg(
+        F.sum("n_degenerate").alias("n_degenerate_hours"), F.sum("n_failed").alias("n_failed_hours"), F.sum("n_runaway").alias("n_runaway_hours"),
+        F.max("n_ffill").alias("n_ffill"), F.max("n_bfill").alias("n_bfill"), F.max(F.col("ridge_variance").cast("int")).alias("n_ridge"),
+        F.max("max_abs_coef").alias("max_abs_coef"),
+    )
+
+
 def model_terms(models: DataFrame, by: list[str], day: str = "day") -> DataFrame:
     """Non-zero coefficients as rows (by, day, hour, feature, coef, x_median, x_mad)."""
     return models.select(*by, day, "hour", F.inline("terms"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hourloom.functions import numeric as num
 from hourloom.operators import features as ft
+from hourloom.operators import metrics as mt
 from hourloom.operators import models as mo
 from hourloom.operators import relations as rel
 from hourloom.operators import timeline as tl
@@ -115,25 +116,70 @@ def driver_override(spark, folder):
     return features(spark, folder, override=persistence(spark, folder, ["error"]))
 
 
-@query("fit_many_lasso")
+BLOCK = 3
+# the calibration cells of every refit day, recomputed: days of the window with a target row, names of all days sent to the block
+FITTED = dict(
+    days=DAYS, fm=FM,
+    yy=f"SELECT day, hour, value FROM slots WHERE series = '{TARGET}'",
+    rf=f"SELECT day AS refit, CAST(floor((day - DATE '1970-01-01') / {BLOCK}) AS BIGINT) AS blk FROM (SELECT DISTINCT day FROM yy) WHERE day - (SELECT min(day) FROM yy) >= {WINDOW}",
+    td="SELECT DISTINCT yy.day FROM yy JOIN days ON days.day = yy.day",
+    wd=f"SELECT rf.refit, td.day FROM rf JOIN td ON td.day < rf.refit AND td.day >= rf.refit - {WINDOW}",
+    nm=f"""SELECT DISTINCT rf.refit, fm.feature FROM rf JOIN td ON td.day - DATE '1970-01-01' BETWEEN {BLOCK} * rf.blk - {WINDOW} AND {BLOCK} * rf.blk + {BLOCK - 2} JOIN fm ON fm.day = td.day""",
+    cl="SELECT nm.refit, nm.feature, wd.day, fm.value FROM nm JOIN wd ON wd.refit = nm.refit LEFT JOIN fm ON fm.day = wd.day AND fm.feature = nm.feature",
+    gp="""SELECT refit, count(DISTINCT feature) AS n_features, count(*) FILTER (WHERE value IS NULL AND day > known) AS n_ffill, count(*) FILTER (WHERE value IS NULL AND day < known) AS n_bfill
+        FROM (SELECT *, min(CASE WHEN value IS NOT NULL THEN day END) OVER (PARTITION BY refit, feature) AS known FROM cl) GROUP BY 1""",
+    ym="SELECT refit, hour, day, value, median(value) OVER (PARTITION BY refit, hour) AS med FROM wd JOIN yy USING (day)",
+    ms="""SELECT ym.refit, ym.hour, coalesce(any_value(med), 0.0) AS y_median, coalesce(median(abs(value - med)), 1.0) AS y_mad, count(value) AS n_rows, any_value(n_features) AS n_features, any_value(n_ffill) AS n_ffill, any_value(n_bfill) AS n_bfill
+        FROM ym JOIN gp ON gp.refit = ym.refit GROUP BY 1, 2""",
+)
+
+
+@query("fit_many_lasso", sql(f"""SELECT {d('refit')} AS refit_day, hour, {r('y_median')} AS y_median, {r('y_mad')} AS y_mad, n_features, n_rows, n_ffill, n_bfill, CAST(n_rows < 10 AS INTEGER) AS n_degenerate,
+    0 AS n_failed, CAST(n_rows <= n_features + 1 AS INTEGER) AS ridge_variance, 1 AS certified FROM ms""", "pf", "slots", **FITTED))
 def fit_many_lasso(spark, folder):
-    models = fitted(spark, folder)
-    return models.select("refit_day", "hour", "intercept", "y_median", "y_mad", F.size("terms").alias("n_terms"), "n_features", "n_rows", "n_degenerate", "n_failed", "max_abs_coef", "ridge_variance")
+    return fitted(spark, folder).withColumn("certified", mo.certified()).select(
+        "refit_day", "hour", "y_median", "y_mad", "n_features", "n_rows", "n_ffill", "n_bfill", "n_degenerate", "n_failed", "ridge_variance", "certified")
 
 
-def fitted(spark, folder):
-    f = features(spark, folder)
+def fitted(spark, folder, f=None):
+    f = features(spark, folder) if f is None else f
     p = ft.day_hour_profile(V.hourly(spark, folder).where(F.col("series") == TARGET), ["series"], "ts", "value", TZ)
     y = p.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("hour", "value"))).alias("c")).select("day", F.col("c.value").alias("y"))
     first = p.agg(F.min("day").alias("d")).select("d").scalar()
     refits = p.select("day").distinct().where(F.datediff("day", first) >= WINDOW)
-    return mo.fit_many_lasso(ft.feature_vectors(f, []), y, refits, [], WINDOW, block_days=3)
+    return mo.fit_many_lasso(ft.feature_vectors(f, []), y, refits, [], WINDOW, block_days=BLOCK)
 
 
-@query("fit_and_predict")
+@query("fit_and_predict", sql(f"""SELECT {d('refit')} AS day, hour, n_rows, 1 AS predicted, CASE WHEN n_rows >= 10 AND n_ffill + n_bfill = 0 THEN 0.0 END AS mean_residual FROM ms""", "pf", "slots", **FITTED))
 def fit_and_predict(spark, folder):
-    models = fitted(spark, folder).withColumnRenamed("refit_day", "day")
-    return mo.predict_linear(features(spark, folder), mo.model_terms(models, []), mo.model_heads(models, []), [])
+    """Forecasts, and the mean scaled residual that the same projection leaves over the calibration days: none, as a lasso with intercept has none.
+
+    A filled cell counts as the median in a projection, so windows with gaps are left out of that sum.
+    """
+    f = cut_lineage(features(spark, folder))
+    models = cut_lineage(fitted(spark, folder, f).withColumnRenamed("refit_day", "day"))
+    terms, heads = mo.model_terms(models, []), mo.model_heads(models, [])
+    point = mo.predict_linear(f, terms, heads, [])
+    days = models.where("n_ffill + n_bfill = 0 AND n_degenerate = 0").select("day").distinct()
+    cells = ft.calibration_window(f, [], days, WINDOW).select(F.col("day").alias("sample"), F.col("delivery").alias("day"), "feature", "value")
+    samples = cells.select("sample", "day").distinct()
+    scores = mo.linear_scores(cells, terms.join(samples, "day"), heads.join(samples, "day"), ["sample"])
+    y = ft.day_hour_profile(V.hourly(spark, folder).where(F.col("series") == TARGET), ["series"], "ts", "value", TZ).select(F.col("day").alias("sample"), "hour", "value")
+    left = scores.join(y, ["sample", "hour"]).groupBy("day", "hour").agg(
+        F.avg(num.robust_scale(F.col("value"), F.col("y_median"), F.col("y_mad")) - F.col("score")).alias("mean_residual"))
+    return models.select("day", "hour", "n_rows", "n_degenerate").join(point, ["day", "hour"], "left").join(left, ["day", "hour"], "left").select(
+        "day", "hour", "n_rows", num.is_finite(F.col("point")).alias("predicted"), F.when(F.col("n_degenerate") == 0, F.col("mean_residual")).alias("mean_residual"))
+
+
+@query("model_diagnostics_rollup", sql("""SELECT count(DISTINCT refit) AS n_models, count(*) FILTER (WHERE n_rows < 10) AS n_degenerate_hours, 0 AS n_failed_hours, 0 AS n_runaway_hours,
+    (SELECT sum(n_ffill) FROM gp WHERE day(refit) % 3 <> 1) AS n_ffill, (SELECT sum(n_bfill) FROM gp WHERE day(refit) % 3 <> 1) AS n_bfill, count(DISTINCT CASE WHEN n_rows <= n_features + 1 THEN refit END) AS n_ridge, 1 AS bounded
+    FROM ms WHERE day(refit) % 3 <> 1""", "pf", "slots", **FITTED))
+def model_diagnostics_rollup(spark, folder):
+    """Over the models of two days in three, as a phase of an evaluation has them."""
+    days = mo.day_diagnostics(fitted(spark, folder), [])
+    phase = profile(spark, folder).select(F.col("day").alias("refit_day")).where(F.dayofmonth("refit_day") % 3 != 1)
+    sums = ["n_degenerate_hours", "n_failed_hours", "n_runaway_hours", "n_ffill", "n_bfill", "n_ridge"]
+    return mt.model_diagnostics_rollup(days, phase, ["refit_day"], sums, "max_abs_coef").withColumn("bounded", F.col("max_abs_coef") <= 1e3).drop("max_abs_coef")
 
 
 # -------------------------------------------------- event-day conditions

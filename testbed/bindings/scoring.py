@@ -271,12 +271,3 @@ def dm_test_hac(spark, folder):
 def usage_cost_rollup(spark, folder):
     docs = V.table(spark, folder, "documents").withColumn("out", F.length("source")).withColumn("hit", F.col("doc_id") % 3 == 0)
     return mt.usage_cost_rollup(docs, ["lang"], "n_chars", "out", "hit", 0.4, 1.6)
-
-
-@query("model_diagnostics_rollup", """SELECT count(*) AS n_models, sum(l_linenumber) AS n_degenerate, sum(CAST(l_quantity AS BIGINT)) AS n_filled, max(l_extendedprice) AS max_abs_coef FROM lineitem
-    WHERE l_shipdate IN (SELECT o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT')""")
-def model_diagnostics_rollup(spark, folder):
-    models = V.table(spark, folder, "lineitem").select(F.col("l_shipdate").alias("day"), F.col("l_linenumber").alias("n_degenerate"),
-                                                       F.col("l_quantity").cast("bigint").alias("n_filled"), F.col("l_extendedprice").alias("max_abs_coef"))
-    days = V.table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderdate").alias("day"))
-    return mt.model_diagnostics_rollup(models, days, ["day"], ["n_degenerate", "n_filled"], "max_abs_coef")

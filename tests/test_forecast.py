@@ -73,12 +73,12 @@ def test_lasso_path_is_optimal_and_finds_the_signal():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(80, 120))
     y = x[:, :3] @ np.array([2.0, -1.5, 1.0]) + rng.normal(size=80) * 0.3
-    w, b, failed = lasso.fit(x, y[:, None])
+    w, b, failed, *_ = lasso.fit(x, y[:, None])
     assert not failed[0] and {0, 1, 2} <= set(np.flatnonzero(w[:, 0]))
     xc, yc = x - x.mean(0), y - y.mean()
     g, c = xc.T @ xc / 80, xc.T @ yc / 80
     variance = lasso.noise_variance(g, c[:, None], np.array([yc @ yc]), 80)
-    path, alpha, ended = lasso.aic_path(g, c, float(yc @ yc), 80, float(variance[0]))
+    path, alpha, ended, *_ = lasso.aic_path(g, c, float(yc @ yc), 80, float(variance[0]))
     settled, still = lasso.descend(g, c, alpha, tol=1e-10)
     assert ended and still and np.abs(path - settled).max() < 1e-6
 
@@ -116,3 +116,40 @@ def test_duplicate_right_key_fails(spark):
     with pytest.raises(Exception, match="key is not unique"):
         rel.join_many_to_one_checked(left, right, ["k"]).collect()
     assert rel.join_many_to_one_checked(left, right.where("w = 'x'"), ["k"]).count() == 1
+
+
+def test_certificates_tell_right_from_wrong_models():
+    """Each choice is stationary and no worse than its neighbours; other penalties, coefficients and models are not."""
+    r = np.random.default_rng(11)
+    for n, p in ((40, 6), (14, 60), (60, 30)):
+        x = r.normal(size=(n, p))
+        x[:, 1] = x[:, 0] + 0.05 * r.normal(size=n)  # near copies make columns leave the path
+        y = x[:, [0, 2, 3]] @ np.array([[1.0, 0.3], [-0.5, 0.0], [0.2, 0.9]]) + r.normal(size=(n, 2))
+        got = lasso.fit(x, y)
+        assert not got.failed.any() and not got.runaway.any()
+        xc, yc = x - x.mean(axis=0), y - y.mean(axis=0)
+        for k in range(2):
+            assert got.violation[k] < 1e-8
+            assert not got.aic[k] > got.aic_before[k] and not got.aic[k] > got.aic_after[k]
+            assert lasso.violation(xc, yc[:, k], got.coef[:, k], got.penalty[k] * 1.1) > 1e-3
+            assert lasso.violation(xc, yc[:, k], got.coef[:, k] * 0.9, got.penalty[k]) > 1e-3
+            settled, _ = lasso.descend(xc.T @ xc / n, xc.T @ yc[:, k] / n, got.penalty[k], tol=1e-12)
+            assert np.abs(settled - got.coef[:, k]).max() < 1e-5
+
+
+def test_runaway_paths_are_counted(monkeypatch):
+    r = np.random.default_rng(12)
+    x = r.normal(size=(50, 4))
+    y = 0.02 * x[:, :1] + 1e-3 * r.normal(size=(50, 1))
+    monkeypatch.setattr(lasso, "MAX_COEF", 1e-3)
+    got = lasso.fit(x, y)
+    assert got.runaway.tolist() == [True] and got.failed.tolist() == [True] and (got.coef == 0).all() and np.isnan(got.violation[0])
+
+
+def test_day_diagnostics_and_rollup(spark):
+    rows = [(d, h, int(h == 3), int(h == 4 and d == 2), int(h > 20), 5 * d, d, d == 1, float(10 * d + h)) for d in (1, 2, 3) for h in range(24)]
+    models = spark.createDataFrame(rows, "refit_day int, hour int, n_degenerate int, n_failed int, n_runaway int, n_ffill int, n_bfill int, ridge_variance boolean, max_abs_coef double")
+    days = mo.day_diagnostics(models, [])
+    got = mt.model_diagnostics_rollup(days, spark.createDataFrame([(1,), (2,), (9,)], "refit_day int"), ["refit_day"],
+                                           ["n_degenerate_hours", "n_failed_hours", "n_runaway_hours", "n_ffill", "n_bfill", "n_ridge"], "max_abs_coef").first()
+    assert got.asDict() == {"n_models": 2, "n_degenerate_hours": 2, "n_failed_hours": 1, "n_runaway_hours": 6, "n_ffill": 15, "n_bfill": 3, "n_ridge": 1, "max_abs_coef": 43.0}
