@@ -68,6 +68,29 @@ def topk_swap_quota(pool: DataFrame, selected: DataFrame, flag: Column, quota: i
     return cut_lineage(kept.unionByName(pairs.select(*selected.columns)))
 
 
+def _swaps(rows, cut: dict, used: dict, weak: dict, missing: int, cap: int):
+    """Fold over candidates in order: (swaps as (in, out), last position looked at, whether more candidates have to be read first).
+
+    rows (at, id, unit, class, is_capped); cut: unit -> position after which its candidates were not read; used: picks per unit; weak: class -> [(unit, id)],
+    the weakest first.
+    """
+    swaps, last = [], None
+    for at, row_id, unit, kind, is_capped in rows:
+        if len(swaps) == missing:
+            break
+        # a unit below its cap whose candidates end before this one may have a better one that was not read
+        if any(end < at and used.get(u, 0) < cap for u, end in cut.items()):
+            return swaps, last, True
+        last = at
+        if not weak.get(kind) or (is_capped and used.get(unit, 0) >= cap):
+            continue
+        out_unit, out_id = weak[kind].pop(0)
+        used[out_unit] = used.get(out_unit, 0) - 1
+        used[unit] = used.get(unit, 0) + 1
+        swaps.append((row_id, out_id))
+    return swaps, last, False
+
+
 def topk_swap_same_kind(
     pool: DataFrame, selected: DataFrame, flag: Column, quota: int, row_id: str, unit: str, size: str,
     alike: list[str], capped: Column, cap: int,
@@ -75,30 +98,53 @@ def topk_swap_same_kind(
     """Quota by replacement inside the same kind: candidates in size order replace the smallest unflagged
     selected row that is `alike`; a candidate whose unit is at its cap (where `capped` applies) is passed over.
 
-    Each swap changes what is allowed next, so there is one top-1 query per swap, at most `quota` of them.
+    The swaps depend on each other, so they are folded in order, over a list bounded by the sizes of the selection and the quota: of units without
+    a pick the best rows of each kind, of the others the best of each unit and kind. One read of the pool, unless a unit gets below
+    its cap after all its candidates on the list were passed over; then the fold goes on with a list that begins there.
     """
     flag = F.coalesce(flag, F.lit(False))
-    order = F.struct((-F.col(size)).alias("s"), F.col(row_id).alias("i"))
-    candidates = pool.where(flag).join(selected.select(row_id), row_id, "left_anti").withColumn("__at", order)
-    after = None
-    missing = quota - selected.where(flag).count()
-    for _ in range(max(missing, 0)):
-        left = candidates
-        if after is not None:
-            last = F.struct(F.lit(after["s"]).alias("s"), F.lit(after["i"]).alias("i"))
-            left = left.where(F.col("__at") > last)
-        used = selected.groupBy(unit).agg(F.count(F.lit(1)).alias("__used"))
-        slots = selected.where(~flag).select(*alike).distinct()
-        left = left.join(used, unit, "left").join(slots, alike, "left_semi")
-        left = left.where(~(capped & (F.coalesce("__used", F.lit(0)) >= cap))).drop("__used")
-        pick = cut_lineage(left.orderBy("__at").limit(1))
-        row = pick.select("__at").first()
-        if row is None:
+    columns = selected.columns
+    place = F.struct((-F.col(size)).alias("s"), F.col(row_id).alias("i"))
+    kind = F.struct(*alike)
+    picks = selected.select(
+        place.alias("at"), F.col(row_id).alias("id"), F.col(unit).alias("unit"), kind.alias("kind"), flag.alias("flag")).collect()  # the selection
+    missing = quota - sum(r.flag for r in picks)
+    used: dict = {}
+    weak: dict = {}
+    for r in sorted(picks, key=lambda r: (-r.at.s, r.id)):
+        used[r.unit] = used.get(r.unit, 0) + 1
+        if not r.flag:
+            weak.setdefault(tuple(r.kind), []).append((r.unit, r.id))
+    taken = selected.select(row_id)
+    candidates = pool.where(flag).join(taken, row_id, "left_anti").select(
+        place.alias("at"), F.col(row_id).alias("id"), F.col(unit).alias("unit"), kind.alias("kind"), F.coalesce(capped, F.lit(False)).alias("capped"))
+    swaps, after, more = [], None, missing > 0
+    while more and len(swaps) < missing:
+        need = missing - len(swaps)
+        left = candidates if after is None else candidates.where(
+            F.col("at") > F.struct(F.lit(after.s).alias("s"), F.lit(after.i).alias("i")))
+        kinds = [F.struct(*[F.lit(v).alias(c) for v, c in zip(k, alike)]) for k, w in weak.items() if w]
+        if not kinds:
             break
-        after = row["__at"]
-        weakest = selected.where(~flag).join(pick.select(*alike), alike, "left_semi").orderBy(
-            F.col(size).asc(), F.col(row_id).asc()
-        ).limit(1)
-        kept = selected.join(weakest.select(row_id), row_id, "left_anti")
-        selected = cut_lineage(kept.unionByName(pick.select(*selected.columns)))
-    return selected
+        mask = F.lit(False)
+        for k in kinds:
+            mask = mask | F.col("kind").eqNullSafe(k)
+        known = F.col("unit").isin([u for u in used if u is not None]) | F.lit(None in used) & F.col("unit").isNull()
+        by_unit = Window.partitionBy("unit", "kind").orderBy("at")
+        best = left.where(mask).withColumn("known", F.coalesce(known, F.lit(False))).withColumn("rank", F.row_number().over(by_unit)).where(
+            F.col("rank") <= need + 1)
+        free = best.where(~F.col("known")).withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("at"))).where(F.col("rank") <= need)
+        rows = sorted(best.where("known").unionByName(free).collect(), key=lambda r: (r.at.s, r.at.i))
+        ends: dict = {}
+        for r in rows:
+            if r.known and r["rank"] > need:  # more rows of this unit and kind may follow
+                ends[r.unit] = min(ends.get(r.unit, r.at), r.at)
+        done, last, more = _swaps([(r.at, r.id, r.unit, tuple(r.kind), r.capped) for r in rows], ends, used, weak, need, cap)
+        swaps += done
+        after = last or after
+    if not swaps:
+        return selected
+    spark = pool.sparkSession
+    pair = spark.createDataFrame(swaps, f"`__in` {pool.schema[row_id].dataType.simpleString()}, `__out` {pool.schema[row_id].dataType.simpleString()}")
+    came = pool.join(pair.select(F.col("__in").alias(row_id)), row_id, "left_semi").select(*columns)
+    return cut_lineage(selected.join(pair.select(F.col("__out").alias(row_id)), row_id, "left_anti").select(*columns).unionByName(came))

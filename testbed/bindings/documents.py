@@ -257,11 +257,19 @@ def topk_swap_quota(spark, folder):
     return se.topk_swap_quota(p.where("kind = 'generation'"), selected, F.col("business") == "R", 25, "row_id", "size").select("row_id", "unit", "size", "business")
 
 
-@query("topk_swap_same_kind")
+@query("topk_swap_same_kind", sql("""SELECT x.row_id, x.unit, x.size, x.kind, x.business, CAST(x.flood AS INTEGER) AS flood FROM (SELECT unnest(sel) AS x FROM (SELECT sel FROM sw ORDER BY k DESC LIMIT 1))""",
+    "i", pool=POOL, **_CHAIN,
+    cd0="SELECT row_id, unit, size, kind, business, flood FROM pool WHERE flood AND row_id NOT IN (SELECT row_id FROM s5)",
+    sw="""WITH RECURSIVE w AS (SELECT 0 AS k, -1e300 AS s, '' AS i, (SELECT list(struct_pack(row_id := row_id, unit := unit, size := size, kind := kind, business := business, flood := flood)) FROM s5) AS sel
+        UNION ALL SELECT k + 1, -nx.size, nx.row_id, list_append(list_filter(sel, lambda x: x.row_id <> o), nx) FROM (
+          SELECT *, list_sort(list_transform(list_filter(sel, lambda x: NOT x.flood AND x.kind = nx.kind AND x.business = nx.business), lambda x: struct_pack(size := x.size, row_id := x.row_id)))[1].row_id AS o FROM (
+            SELECT w.*, (SELECT arg_min(struct_pack(row_id := c.row_id, unit := c.unit, size := c.size, kind := c.kind, business := c.business, flood := c.flood), (-c.size, c.row_id)) FROM cd0 c
+              WHERE (-c.size > w.s OR (-c.size = w.s AND c.row_id > w.i)) AND NOT (c.kind = 'generation' AND len(list_filter(w.sel, lambda x: x.unit = c.unit)) >= 3)
+              AND len(list_filter(w.sel, lambda x: NOT x.flood AND x.kind = c.kind AND x.business = c.business)) > 0) AS nx FROM w WHERE k < 8) WHERE nx IS NOT NULL)) SELECT * FROM w"""))
 def topk_swap_same_kind(spark, folder):
     p, selected = chain(spark, folder)
     have = selected.where("flood").count()
-    out = se.topk_swap_same_kind(p, selected, F.col("flood"), have + 3, "row_id", "unit", "size", ["kind", "business"], F.col("kind") == "generation", 3)
+    out = se.topk_swap_same_kind(p, selected, F.col("flood"), have + 8, "row_id", "unit", "size", ["kind", "business"], F.col("kind") == "generation", 3)
     return out.select("row_id", "unit", "size", "kind", "business", "flood")
 
 

@@ -1,6 +1,7 @@
 import random
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from hourloom.functions import text as tx
@@ -71,25 +72,42 @@ def test_language_and_redaction(spark):
     assert spark.range(1).select(tx.redact_token(F.lit("u?SECURITYTOKEN=abc&x=1"))).first()[0] == "u?SECURITYTOKEN=***REDACTED***&x=1"
 
 
-def test_swap_of_same_kind_matches_sequential_rule(spark):
-    rng = random.Random(7)
-    rows = [(f"r{i:03d}", f"u{rng.randrange(5)}", float(rng.randrange(100)), rng.choice(["generation", "transmission"]), rng.choice("AB"), rng.random() < 0.3) for i in range(60)]
-    pool = spark.createDataFrame(rows, "id string, unit string, size double, kind string, business string, flood boolean")
-    start = sorted([r for r in rows if not r[5]], key=lambda r: (-r[2], r[0]))[:9]
-    selected = spark.createDataFrame(start, pool.schema)
-    got = se.topk_swap_same_kind(pool, selected, F.col("flood"), 4, "id", "unit", "size", ["kind", "business"], F.col("kind") == "generation", 3)
-    chosen, n = list(start), 0
-    for r in sorted((r for r in rows if r[5]), key=lambda r: (-r[2], r[0])):
-        if n >= 4:
+def swapped(rows, start, quota, cap):
+    """The rule one candidate after the other."""
+    chosen, n = list(start), sum(bool(r[5]) for r in start)
+    taken = {r[0] for r in start}
+    for r in sorted((r for r in rows if r[5] and r[0] not in taken), key=lambda r: (-r[2], r[0])):
+        if n >= quota:
             break
-        if r[3] == "generation" and sum(s[1] == r[1] for s in chosen) >= 3:
+        if r[3] == "generation" and sum(s[1] == r[1] for s in chosen) >= cap:
             continue
         same = [s for s in chosen if s[3] == r[3] and s[4] == r[4] and not s[5]]
         if same:
             chosen.remove(min(same, key=lambda s: (s[2], s[0])))
             chosen.append(r)
             n += 1
-    assert {r.id for r in got.collect()} == {c[0] for c in chosen}
+    return {c[0] for c in chosen}
+
+
+@pytest.mark.parametrize(("seed", "units", "n", "quota"), [(7, 5, 60, 4), (8, 2, 200, 6), (9, 30, 120, 9), (10, 3, 150, 50)])
+def test_swap_of_same_kind_matches_sequential_rule(spark, seed, units, n, quota):
+    rng = random.Random(seed)
+    rows = [(f"r{i:03d}", None if rng.random() < 0.05 else f"u{rng.randrange(units)}", float(rng.randrange(100)), rng.choice(["generation", "transmission"]), rng.choice(["A", "B", None]), rng.choice([True, False, False, None])) for i in range(n)]
+    pool = spark.createDataFrame(rows, "id string, unit string, size double, kind string, business string, flood boolean")
+    start = sorted([r for r in rows if not r[5]], key=lambda r: (-r[2], r[0]))[:9]
+    selected = spark.createDataFrame(start, pool.schema)
+    got = se.topk_swap_same_kind(pool, selected, F.col("flood"), quota, "id", "unit", "size", ["kind", "business"], F.col("kind") == "generation", 3)
+    assert {r.id for r in got.collect()} == swapped(rows, start, quota, 3)
+
+
+def test_swap_reads_on_when_a_unit_gets_below_its_cap(spark):
+    """u is at its cap and all its candidates on the first list are passed over; then one of its picks is replaced."""
+    rows = [(f"a{i}", "u", 500.0 - i, "generation", "A", False) for i in range(3)] + [("w", "v", 600.0, "generation", "B", False)]
+    rows += [(f"c{i:03d}", "u", 400.0 - i, "generation", "B", True) for i in range(100)] + [("x", "y", 350.5, "generation", "A", True), ("z", "y", 320.5, "generation", "A", True)]
+    pool = spark.createDataFrame(rows, "id string, unit string, size double, kind string, business string, flood boolean")
+    selected = spark.createDataFrame(rows[:4], pool.schema)
+    got = se.topk_swap_same_kind(pool, selected, F.col("flood"), 3, "id", "unit", "size", ["kind", "business"], F.col("kind") == "generation", 3)
+    assert {r.id for r in got.collect()} == swapped(rows, rows[:4], 3, 3) == {"a0", "x", "c050", "z"}
 
 
 def test_resume_and_snapshot(spark, tmp_path):
