@@ -62,21 +62,30 @@ def asof_document_set(
     return asked.join(versions, key).where(F.col(published) <= F.col("t0"))
 
 
+def _show(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("None"))
+
+
+# The layout of a rendered version and of a document set's blocks (`assemble_context`).
 def period_line(p: Column) -> Column:
-    show = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
     return F.concat(
-        F.lit("    "), show(p["start"]), F.lit(" -> "), show(p["end"]), F.lit(": unavailable "), show(p["mw"]),
-        F.lit(" MW, available "), show(p["available"]), F.lit(" MW"),
+        F.lit("    "), _show(p["start"]), F.lit(" -> "), _show(p["end"]), F.lit(": unavailable "), _show(p["mw"]),
+        F.lit(" MW, available "), _show(p["available"]), F.lit(" MW"),
     )
 
 
+def unit_lines(u: Column) -> Column:
+    return F.concat(F.array(F.concat(F.lit("  Unit/border: "), _show(u["name"]))), F.transform(u["periods"], period_line))
+
+
 def render_document(versions: DataFrame, out: str = "body") -> DataFrame:
-    """Fixed-layout text of a version.
+    """Fixed-layout text of a version, with all its units and their periods.
 
-    Columns used: event_id, unit_name, kind, message, version, published_text, type_text, reason_code_text,
-    reason, remarks, and periods ARRAY<STRUCT<start, end, mw, available>> (texts and numbers).
+    Columns used: event_id, unit_name and kind (of the event), message, version, published_text, type_text, reason_code_text,
+    reason, remarks, and units ARRAY<STRUCT<name, periods ARRAY<STRUCT<start, end, mw, available>>>> (texts and numbers). Missing values show as None,
+    a version without units has no lines under "Time periods:", missing or empty remarks show as (none).
     """
-    show = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    show = lambda c: _show(F.col(c))
     head = F.array(
         F.concat(F.lit("Event: "), show("event_id"), F.lit(" ("), show("unit_name"), F.lit(", "), show("kind"), F.lit(")")),
         F.concat(F.lit("Message: "), show("message"), F.lit(" version "), show("version")),
@@ -84,11 +93,11 @@ def render_document(versions: DataFrame, out: str = "body") -> DataFrame:
         F.concat(F.lit("Unavailability type: "), show("type_text")),
         F.concat(F.lit("Reason code: "), show("reason_code_text")),
         F.concat(F.lit("Unavailability reason: "), show("reason")),
-        F.lit(""), F.lit("Time periods:"), F.concat(F.lit("  Unit/border: "), show("unit_name")),
+        F.lit(""), F.lit("Time periods:"),
     )
+    units = F.coalesce(F.flatten(F.transform("units", unit_lines)), F.expr("cast(array() as array<string>)"))
     remarks = F.coalesce(F.nullif(F.col("remarks"), F.lit("")), F.lit("(none)"))
-    lines = F.concat(head, F.transform("periods", period_line), F.array(F.lit(""), F.lit("Remarks:"), remarks))
-    return versions.withColumn(out, F.array_join(lines, "\n"))
+    return versions.withColumn(out, F.array_join(F.concat(head, units, F.array(F.lit(""), F.lit("Remarks:"), remarks)), "\n"))
 
 
 def assemble_context(documents: DataFrame, by: list[str], published: str, version: str, body: str) -> DataFrame:
@@ -133,7 +142,7 @@ def validate_effect(df: DataFrame, text: str) -> DataFrame:
         (~(exact("$.end_hour", ["mean", "sd"]) & hour(p["end_hour"])), "invalid end_hour"),
         (~(exact("$.size_mw", ["p10", "p50", "p90"]) & ordered), "invalid size_mw"),
         (~ok(p["direction"].isin("reduce", "none")), "invalid direction"),
-        (~ok(F.trim(p["reasoning"]) != ""), "empty reasoning"),
+        (~ok(strip(p["reasoning"]) != ""), "empty reasoning"),
     ]
     reason = F.lit(None).cast("string")
     for bad, name in reversed(checks):

@@ -67,6 +67,10 @@ def scan_snapshot_by_year(
 
 
 def scan_messages(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Message versions with their nested units and periods; fields outside the schema are not read, absent ones are NULL.
+
+    `multiline`: a file is one message or one list of messages; else every line is a message, and large files are split.
+    """
     return spark.read.schema(MESSAGE_SCHEMA).option("multiLine", multiline).json(path)
 
 
@@ -107,8 +111,28 @@ def chunk_outcomes(
     return named.groupBy("series").pivot("kind", list(suffixes)).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def message_units(messages: DataFrame) -> DataFrame:
+    """One row per (message, version, kind) that has units: units ARRAY<STRUCT<name, unit, periods ARRAY<STRUCT<start, end, mw, available>>>>, in the message's order.
+
+    The bounds stay as the text they came in, as a rendered document shows them; absent periods are an empty list.
+    """
+    period = lambda p: F.struct(
+        p["eventStart"].alias("start"), p["eventStop"].alias("end"), p["unavailableCapacity"].alias("mw"), p["availableCapacity"].alias("available"))
+    none = F.expr("cast(array() as array<struct<start:string,end:string,mw:double,available:double>>)")
+    unit = lambda name: lambda u: F.struct(
+        u["name"].alias("name"), name(u).alias("unit"), F.coalesce(F.transform(u["timePeriods"], period), none).alias("periods"))
+    kinds = F.array(
+        F.struct(F.lit("generation").alias("kind"), F.transform("productionUnits", unit(lambda u: u["eic"])).alias("units")),
+        F.struct(F.lit("transmission").alias("kind"), F.transform("transmissionUnits", unit(lambda u: F.concat_ws(">", u["inAreaEic"], u["outAreaEic"]))).alias("units")),
+    )
+    return messages.select("*", F.inline(kinds)).where(F.size("units") > 0)
+
+
 def explode_messages(messages: DataFrame) -> DataFrame:
-    """One row per (message, version, unit, period); units or periods that are absent leave NULLs."""
+    """One row per (message, version, unit, period) of both unit lists.
+
+    A unit without periods keeps one row with NULL bounds; a message without units has no rows.
+    """
     head = ["messageId", "version", "publicationDate", "remarks"]
     gen = messages.select(*head, F.lit("generation").alias("kind"), F.explode("productionUnits").alias("u")).select(
         *head, "kind", F.col("u.name").alias("unit_name"), F.col("u.eic").alias("unit"), F.col("u.timePeriods").alias("tp")

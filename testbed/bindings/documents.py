@@ -9,6 +9,8 @@ from hourloom.operators import intervals as iv
 from hourloom.operators import matching as ma
 from hourloom.operators import selection as se
 from hourloom.operators import timeline as tl
+from hourloom.sources import readers as rd
+from hourloom.sources import sinks as sk
 from testbed import views as V
 from testbed.bindings.intervals import interval_spine
 from testbed.registry import b, d, query, r, t
@@ -137,20 +139,51 @@ def assemble_context(spark, folder):
     return dc.assemble_context(known_documents(spark, folder), ["event_id", "day"], "published", "version", "remarks").withColumn("context", F.md5("context"))
 
 
-@query("render_document", sql(f"""SELECT message, version, md5(concat_ws(chr(10), 'Event: E' || message || ' (unit-' || unit || ', generation)', 'Message: ' || message || ' version ' || version, 'Published: ' || {t('published')},
-    'Unavailability type: ' || CASE role WHEN 'user' THEN 'planned' WHEN 'assistant' THEN 'unplanned' ELSE 'None' END, 'Reason code: None', 'Unavailability reason: ' || role, '', 'Time periods:', '  Unit/border: unit-' || unit,
-    lines, '', 'Remarks:', CASE WHEN remarks = '' THEN '(none)' ELSE remarks END)) AS body FROM (
-    SELECT message, version, unit, published, remarks, role, string_agg('    ' || coalesce({t('start')}, 'None') || ' -> ' || coalesce({t('"end"')}, 'None') || ': unavailable ' || coalesce(CAST(CAST(floor(mw + 0.5) AS INTEGER) AS VARCHAR), 'None') || ' MW, available 7 MW',
-      chr(10) ORDER BY start) AS lines FROM mp GROUP BY ALL)""", "m", mp=MP))
+# Message files made from the conversations: every turn is a version with one to three production units, of which the third has no periods; odd conversations also
+# have a border; conversations divisible by 11 have no units at all. Periods start at the version's own times; a missing time is an absent field.
+def message_files(spark, folder):
+    """Written as lines of JSON and read back with the readers' schema."""
+    m = V.messages(spark, folder)
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    later = lambda c, k: c + F.make_dt_interval((k * 2).cast("int"))
+    period = lambda k, j: F.struct(
+        (F.col("mw") * j).alias("unavailableCapacity"), F.when(j != 2, F.lit(7.0) + k).alias("availableCapacity"),
+        iso(later(F.col("start"), j + k)).alias("eventStart"), iso(later(F.col("end"), j)).alias("eventStop"))
+    periods_of = lambda k: F.when(k < 3, F.transform(F.sequence(F.lit(1), F.lit(1) + F.col("version").cast("int") % 2), lambda j: period(k, j)))
+    units = F.transform(F.sequence(F.lit(1), F.lit(1) + F.col("message").cast("int") % 3), lambda k: F.struct(
+        F.concat(F.lit("unit-"), F.col("unit"), F.lit("/"), k).alias("name"), F.concat(F.lit("E"), F.col("unit"), F.lit("-"), k).alias("eic"), periods_of(k).alias("timePeriods")))
+    border = F.array(F.struct(F.lit("border").alias("name"), F.lit("A").alias("inAreaEic"), F.concat(F.lit("B"), F.col("unit")).alias("outAreaEic"), periods_of(F.lit(0)).alias("timePeriods")))
+    rows = m.select(
+        F.concat(F.lit("m"), "message").alias("messageId"), F.col("version").cast("int").alias("version"), iso("published").alias("publicationDate"),
+        F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).alias("unavailabilityType"), F.col("role").alias("unavailabilityReason"), "remarks",
+        F.when(F.col("message") % 11 != 0, units).alias("productionUnits"), F.when((F.col("message") % 11 != 0) & (F.col("message") % 2 == 1), border).alias("transmissionUnits"))
+    path = sk.scratch_folder(spark)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
+    return rd.scan_messages(spark, path, multiline=False)
+
+
+_ISO = lambda x: f"strftime({x}, '%Y-%m-%dT%H:%M:%SZ')"
+NESTED = dict(
+    un="""SELECT m.*, k, 'generation' AS mkind, 'unit-' || unit || '/' || k AS uname, 'E' || unit || '-' || k AS ueic FROM m, (SELECT unnest([1, 2, 3]) AS k) WHERE message % 11 <> 0 AND k <= 1 + message % 3
+        UNION ALL SELECT m.*, 0, 'transmission', 'border', 'A>B' || unit FROM m WHERE message % 11 <> 0 AND message % 2 = 1""",
+    up="""SELECT un.*, j, CASE WHEN j IS NOT NULL THEN mw * j END AS pmw, CASE WHEN j <> 2 THEN 7.0 + k END AS pav, start + CAST(2 * (j + k) AS INTEGER) * INTERVAL 1 DAY AS pstart, "end" + CAST(2 * j AS INTEGER) * INTERVAL 1 DAY AS pend
+        FROM un LEFT JOIN (SELECT unnest([1, 2]) AS j) p ON k < 3 AND j <= 1 + version % 2""",
+)
+
+
+@query("render_document", sql(f"""SELECT message, version, kind, n_units, md5(concat_ws(chr(10), 'Event: E' || message || ' (unit-' || unit || ', ' || kind || ')', 'Message: m' || message || ' version ' || version, 'Published: ' || {_ISO('published')},
+    'Unavailability type: ' || CASE role WHEN 'user' THEN 'planned' WHEN 'assistant' THEN 'unplanned' ELSE 'None' END, 'Reason code: None', 'Unavailability reason: ' || role, '', 'Time periods:', lines, '', 'Remarks:', CASE WHEN remarks = '' THEN '(none)' ELSE remarks END)) AS body FROM (
+    SELECT message, version, unit, published, remarks, role, mkind AS kind, count(*) AS n_units, string_agg(concat_ws(chr(10), '  Unit/border: ' || uname, lines), chr(10) ORDER BY k) AS lines FROM (
+      SELECT message, version, unit, published, remarks, role, mkind, k, uname, string_agg('    ' || coalesce({_ISO('pstart')}, 'None') || ' -> ' || coalesce({_ISO('pend')}, 'None') || ': unavailable ' || coalesce(CAST(pmw AS VARCHAR), 'None') || ' MW, available ' || coalesce(CAST(pav AS VARCHAR), 'None') || ' MW',
+        chr(10) ORDER BY j) FILTER (WHERE j IS NOT NULL) AS lines FROM up GROUP BY ALL) GROUP BY ALL)""", "m", **NESTED))
 def render_document(spark, folder):
-    p = periods(spark, folder)
-    fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    one = F.struct(fmt("start").alias("start"), fmt("end").alias("end"), F.floor(F.col("mw") + 0.5).cast("int").alias("mw"), F.lit(7).alias("available"))
-    v = p.groupBy("message", "version", "unit", "published", "remarks", "role").agg(F.sort_array(F.collect_list(one)).alias("periods"))
-    v = v.withColumn("event_id", F.concat(F.lit("E"), "message")).withColumn("unit_name", F.concat(F.lit("unit-"), "unit")).withColumn("kind", F.lit("generation"))
-    v = v.withColumn("published_text", fmt("published")).withColumn("reason", F.col("role")).withColumn("reason_code_text", F.lit(None).cast("string"))
-    v = v.withColumn("type_text", F.when(F.col("role") == "user", "planned").when(F.col("role") == "assistant", "unplanned"))
-    return dc.render_document(v).select("message", "version", F.md5("body").alias("body"))
+    own = V.messages(spark, folder).select(F.concat(F.lit("m"), "message").alias("messageId"), F.col("version").cast("int").alias("version"), "message", "unit").distinct()
+    v = rd.message_units(message_files(spark, folder)).join(own, ["messageId", "version"])
+    kinds = F.when(F.col("unavailabilityType") == 1, "planned").when(F.col("unavailabilityType") == 2, "unplanned")
+    v = v.select("message", F.col("messageId").alias("thread"), "version", "kind", "units", "remarks", F.concat(F.lit("E"), "message").alias("event_id"), F.concat(F.lit("unit-"), "unit").alias("unit_name"),
+                 F.col("publicationDate").alias("published_text"), F.col("unavailabilityReason").alias("reason"), F.col("reasonCode").alias("reason_code_text"), kinds.alias("type_text"))
+    text = dc.render_document(v.withColumnRenamed("message", "number").withColumnRenamed("thread", "message"))
+    return text.select(F.col("number").alias("message"), "version", "kind", F.size("units").alias("n_units"), F.md5("body").alias("body"))
 
 
 @query("content_key", """SELECT doc_id, sha256('["' || lang || '","' || source || '","' || n_chars || '"]') AS key, CAST(doc_id % 4 = 0 AS INTEGER) AS cache_hit, CASE WHEN doc_id % 4 = 0 THEN lang END AS answer FROM documents""")
@@ -274,13 +307,7 @@ def topk_swap_same_kind(spark, folder):
 
 
 # ---------------------------------------------------------- nested records
-@query("scan_nested_messages", """SELECT event_id, CAST(regexp_extract(props, ':\\s*([0-9]+)', 1) AS BIGINT) AS k, pos, value * pos AS v, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS unit FROM events,
-    (SELECT unnest([1, 2]) AS pos) WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, CAST(regexp_extract(props, ':\\s*([0-9]+)', 1) AS BIGINT), NULL, NULL, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END FROM events WHERE event_id % 3 = 0""")
+@query("scan_nested_messages", sql(f"""SELECT 'm' || message AS message, version, {t('published')} AS published, md5(remarks) AS remarks, mkind AS kind, uname AS unit_name, ueic AS unit, {t('pstart')} AS start, {t('pend')} AS "end", {r('pmw')} AS mw, {r('pav')} AS available FROM up""", "m", **NESTED))
 def scan_nested_messages(spark, folder):
-    e = V.table(spark, folder, "events")
-    props = F.from_json("props", "struct<k:bigint>")
-    tp = F.when(F.col("event_id") % 3 != 0, F.array(*[F.struct(F.lit(i).alias("pos"), (F.col("value") * i).alias("v")) for i in (1, 2)]))
-    units = F.array(F.struct(F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("name"), tp.alias("tp")))
-    nested = e.select("event_id", props["k"].alias("k"), units.alias("units"))
-    flat = nested.select("event_id", "k", F.explode_outer("units").alias("u")).select("event_id", "k", F.col("u.name").alias("unit"), F.explode_outer("u.tp").alias("p"))
-    return flat.select("event_id", "k", "unit", "p.pos", "p.v")
+    flat = rd.explode_messages(message_files(spark, folder))
+    return flat.withColumnRenamed("messageId", "message").withColumn("remarks", F.md5("remarks"))
