@@ -1,7 +1,7 @@
 """Half-open intervals [start, end): revisions, overlaps, stabbing sums and minima.
 
 No operator here pairs the rows of one key with each other. Overlap tests count
-starts and ends; sums use signed changes; minima use power-of-two blocks.
+starts and ends; sums use signed changes; minima use power-of-two runs of change points.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hourloom.functions import calendar as cal
 from hourloom.functions import numeric as num
-from hourloom.operators import running
+from hourloom.operators import inference, running
 from hourloom.session import cut_lineage
 
 # Document states that take a revision out of force.
@@ -172,74 +172,58 @@ def sweep_line_sum(
     return running.running_sums(line, by, ts, {"__x": out}).where("__k = 1").select(*by, ts, out)
 
 
-FAN = 16  # a block of one level holds this many of the level below
+def _change_points(spans: DataFrame, by: list[str], bucket: str) -> DataFrame:
+    """Instants (by, t, pos) at which a span starts or ends, and the bucket starts between a key's first and last one, numbered in order per key."""
+    ends = spans.select(*by, F.explode(F.array("__s", "__e")).alias("__t"))
+    reach = ends.groupBy(*by).agg(F.min("__t").alias("a"), F.max("__t").alias("z"))
+    starts = F.filter(F.sequence(F.date_trunc(bucket, "a"), F.date_trunc(bucket, "z"), F.expr(f"interval 1 {bucket}")), lambda x: x > F.col("a"))
+    points = ends.unionByName(reach.select(*by, F.explode(starts).alias("__t"))).distinct()
+    return inference.group_positions(points, by, ["__t"], "__pos")
 
 
-def _run(first: Column, last: Column) -> Column:
-    """first, first + 1, ..., last - 1 (empty when there is nothing between)."""
-    return F.when(first < last, F.sequence(first, last - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
-
-
-def _tagged(blocks: Column, level: int) -> Column:
-    return F.transform(blocks, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
-
+def active_minimum_steps(
+    intervals: DataFrame, by: list[str], start: str, end: str, value: str, out: str = "min_active", bucket: str = "week"
+) -> DataFrame:
+    """The smallest `value` among active intervals as a step function (by, __t, out): it holds from __t up to the key's next __t; NULL where none is active.
 
-def _blocks(first: Column, last: Column, levels: int) -> Column:
-    """Blocks of FAN**level hours that tile [first, last) exactly: coarse in the middle, finer at both ends."""
-    parts = []
-    lo, hi = first, last
-    for level in range(levels):
-        up_lo, up_hi = F.ceil(lo / F.lit(FAN)).cast("bigint"), F.floor(hi / F.lit(FAN)).cast("bigint")
-        if level == levels - 1:
-            own = _run(lo, hi)
-        else:
-            ends = F.concat(_run(lo, up_lo * FAN), _run(up_hi * FAN, hi))
-            own = F.when(up_lo < up_hi, ends).otherwise(_run(lo, hi))
-        parts.append(_tagged(own, level))
-        lo, hi = up_lo, up_hi
-    return F.concat(*parts)
+    An interval covers a run of change points. Two overlapping runs of a power of two cover the same points, and a minimum does not mind being counted
+    twice, so an interval is two rows, which are minima of partial aggregates already. From the longest runs down, each is halved into two of the level below
+    and merged with the rows there; the last level is single change points. No interval meets another, no level is larger than the change points.
+    """
+    spans = cut_lineage(intervals.where((F.col(start) < F.col(end)) & F.col(value).isNotNull()).select(
+        *by, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(value).alias("__v")))
+    points = cut_lineage(_change_points(spans, by, bucket))
+    at = lambda t, pos: points.select(*by, F.col("__t").alias(t), F.col("__pos").alias(pos))
+    placed = spans.groupBy(*by, "__s", "__e").agg(F.min("__v").alias("__v")).join(at("__s", "__a"), [*by, "__s"]).join(at("__e", "__z"), [*by, "__e"])
+    level = (F.length(F.bin(F.col("__z") - F.col("__a"))) - 1).alias("__l")
+    long = placed.select(*by, "__v", "__a", "__z", level)
+    runs = long.select(*by, "__v", "__l", F.explode(F.array("__a", F.expr("__z - shiftleft(1L, __l)"))).alias("__pos"))
+    tiles = cut_lineage(runs.groupBy(*by, "__l", "__pos").agg(F.min("__v").alias("__v")))
+    top = tiles.agg(F.max("__l").alias("l")).select("l").scalar()
+    deepest = tiles.sparkSession.range(1).select(top.alias("l")).first().l or 0
+    cells = tiles.where(F.col("__l") == deepest).select(*by, "__pos", "__v")
+    for lvl in range(deepest - 1, -1, -1):
+        halves = cells.select(*by, "__v", F.explode(F.array(F.col("__pos"), F.col("__pos") + F.lit(1 << lvl))).alias("__pos"))
+        own = tiles.where(F.col("__l") == lvl).select(*by, "__v", "__pos")
+        cells = halves.unionByName(own).groupBy(*by, "__pos").agg(F.min("__v").alias("__v"))
+    return points.join(cells, [*by, "__pos"], "left").select(*by, "__t", F.col("__v").alias(out))
 
 
 def min_active_value(
     intervals: DataFrame, by: list[str], start: str, end: str, value: str, spine: DataFrame, ts: str = "ts",
-    out: str = "min_active", levels: int = 5, grid_minutes: int = 15,
+    out: str = "min_active", bucket: str = "week",
 ) -> DataFrame:
-    """Smallest `value` among the intervals active at each instant of the spine; NULL when none is.
-
-    Instants of the spine must lie on a grid of `grid_minutes` (a quarter of an hour fits hourly spines of every time zone); one that does not is an
-    error. Intervals may start and end anywhere: between two points of the grid no instant of the spine can tell them apart.
+    """Smallest `value` among the intervals active at each instant of the spine (start <= instant < end), whatever its step; NULL when none is.
 
-    An interval becomes a few aligned blocks, whose minima are partial aggregates. Minima are then handed down
-    from coarse blocks to the finer ones inside them, and at last to the instants: each step joins one row per
-    block or instant with its own tile and its parent. Neither side is multiplied by the number of the other.
+    The minima are found at the intervals' own change points. The spine meets them once: inside a (key, bucket) both are put in order and
+    every instant takes the last step before it. Each bucket starts with a step of its own, so buckets need nothing from each other.
     """
-    step = grid_minutes * 60_000_000
-    up = lambda c: F.floor((F.unix_micros(c) + F.lit(step - 1)) / F.lit(step)).cast("bigint")
-    first, last = up(start), up(end)
-    spans = intervals.where((F.col(start) < F.col(end)) & F.col(value).isNotNull()).select(
-        *by, F.col(value).alias("__v"), first.alias("__a"), last.alias("__z")
-    )
-    tiles = (
-        spans.select(*by, "__v", F.explode(_blocks(F.col("__a"), F.col("__z"), levels)).alias("__b"))
-        .groupBy(*by, F.col("__b.level").alias("__l"), F.col("__b.block").alias("__k"))
-        .agg(F.min("__v").alias("__v"))
-    )
-    tiles = cut_lineage(tiles)  # each level reads its own part
-    off = F.unix_micros(ts) % F.lit(step) != 0
-    hour = F.when(off, F.raise_error(F.lit("an instant of the spine is off the grid")).cast("bigint")).otherwise(F.floor(F.unix_micros(ts) / F.lit(step)))
-    above = None
-    for lvl in range(levels - 1, -1, -1):
-        block = F.floor(hour / F.lit(FAN**lvl)).cast("bigint").alias("__k")
-        rows = spine.select(*by, ts, block) if lvl == 0 else spine.select(*by, block).distinct()
-        own = tiles.where(F.col("__l") == lvl).select(*by, "__k", F.col("__v").alias("__own"))
-        rows = rows.join(own, [*by, "__k"], "left")
-        low = F.col("__own")
-        if above is not None:
-            parent = above.select(*by, F.col("__k").alias("__up"), F.col("__m").alias("__from"))
-            rows = rows.withColumn("__up", F.floor(F.col("__k") / F.lit(FAN)).cast("bigint")).join(parent, [*by, "__up"], "left")
-            low = F.least("__own", "__from")  # `least` skips NULL
-        above = rows.withColumn("__m", low)
-    return above.select(*by, ts, F.col("__m").alias(out))
+    steps = active_minimum_steps(intervals, by, start, end, value, "__m", bucket)
+    known = steps.select(*by, F.col("__t").alias(ts), F.struct("__m").alias("__step"), F.lit(0).alias("__probe"))
+    asked = spine.select(*by, ts, F.lit(None).cast(known.schema["__step"].dataType).alias("__step"), F.lit(1).alias("__probe"))
+    inside = Window.partitionBy(*by, F.date_trunc(bucket, ts)).orderBy(ts, "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    both = known.unionByName(asked).withColumn("__step", F.last("__step", ignorenulls=True).over(inside))
+    return both.where("__probe = 1").select(*by, ts, F.col("__step.__m").alias(out))
 
 
 def capacity_driver(

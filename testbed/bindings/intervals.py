@@ -128,12 +128,18 @@ def sweep_line_sum(spark, folder):
 _MINACT = f"""SELECT p.unit, p.ts, min(a.avail) AS min_active FROM sp p LEFT JOIN sh a ON a.unit = p.unit AND a.start <= p.ts AND p.ts < a."end" GROUP BY 1, 2"""
 
 
-@query("min_active_value", sql(f"SELECT unit, {d('ts')} AS day, sum(coalesce(min_active, 99.0)) AS total, min(min_active) AS lowest, count(min_active) AS n_active FROM ma GROUP BY 1, 2", "i", sh=SHIFTED, sp=DAYS("unit"), ma=_MINACT))
+# every hour of a day in six bits (60: nothing active), eight hours a number, so that all hours are compared one by one
+_CODE = "CAST(coalesce(min_active, 60) AS BIGINT)"
+
+
+@query("min_active_value", sql(f"SELECT unit, {d('ts')} AS day, count(*) AS n, " + ", ".join(
+    f"sum({_CODE} << CAST(6 * (hour(ts) % 8) AS BIGINT)) FILTER (WHERE hour(ts) // 8 = {k})::BIGINT AS h{8 * k:02d}" for k in range(3)) + " FROM ma GROUP BY 1, 2", "i", sh=SHIFTED, sp=DAYS("unit"), ma=_MINACT))
 def min_active_value(spark, folder):
     i = V.intervals(spark, folder)
     low = iv.min_active_value(shift_feed(i), ["unit"], "start", "end", "avail", interval_spine(i, "unit", "1 hour"))
+    code = F.expr("shiftleft(CAST(coalesce(min_active, 60) AS BIGINT), CAST(6 * (hour(ts) % 8) AS INT))")
     return low.groupBy("unit", F.to_date("ts").alias("day")).agg(
-        F.sum(F.coalesce("min_active", F.lit(99.0))).alias("total"), F.min("min_active").alias("lowest"), F.count("min_active").alias("n_active"))
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.floor(F.hour("ts") / 8) == k, code)).alias(f"h{8 * k:02d}") for k in range(3)])
 
 
 _NOM = "SELECT unit, max(avail) AS nominal FROM i GROUP BY 1"
