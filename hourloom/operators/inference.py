@@ -64,22 +64,82 @@ def dm_test(
     )
 
 
+LOCAL_VALUES = 1_000_000  # so many values (8 bytes each) are sent to every task; more are met by a join
+
+
 def block_bootstrap(
-    values: DataFrame, by: list[str], event: str, value: str, draws: int = 10_000, seed: int = 20260914
+    values: DataFrame, by: list[str], event: str, value: str, draws: int = 10_000, seed: int = 20260914, local_values: int = LOCAL_VALUES
 ) -> DataFrame:
     """Event-block bootstrap of a mean: estimate, 95 % interval and the share of draws below zero.
 
-    Each slot of each draw picks an event by a reproducible hash; the draws' means are partial aggregates.
+    Each slot of each draw picks an event by a reproducible hash of seed, draw and slot. The hash does not know the group, so a draw is hashed once, for the
+    largest group, and serves all of them. Up to `local_values` values travel to the tasks, each of which makes whole draws; beyond that
+    (slot, draw) rows are joined with the values and averaged. Both ways give the same draws.
     """
+    if not by:  # one group
+        one = block_bootstrap(values.withColumn("__all", F.lit(0)), ["__all"], event, value, draws, seed, local_values)
+        return one.drop("__all")
     # one row per event, but costly to derive: written once, as numbering reads its input twice
     placed = group_positions(cut_lineage(values.select(*by, event, value)), by, [event], "__i")
     size = placed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_events"), F.avg(value).alias("estimate")
     )
+    total = size.agg(F.sum("n_events").alias("n")).first().n or 0
+    way = _drawn_here if total <= local_values else _drawn_by_join
+    means = way(placed, size, by, value, draws, seed)
+    # one row per draw: a fixed number, so the built-in exact percentile is bounded
+    spread = means.groupBy(*by).agg(
+        F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"),
+        F.avg((F.col("m") < 0).cast("double")).alias("p_below_zero"),
+    )
+    return size.join(spread, by)
+
+
+def _drawn_here(placed: DataFrame, size: DataFrame, by: list[str], value: str, draws: int, seed: int) -> DataFrame:
+    """Means (by, draw, m) made draw by draw in the tasks, from values of a checked size."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name in by)
+    schema = f"{fields}, draw bigint, m double"
+    groups: dict = {}
+    for r in placed.select(*by, "__i", value).collect():
+        groups.setdefault(tuple(r[: len(by)]), []).append((r["__i"], r[value]))
+    arrays = {k: [v for _, v in sorted(rows)] for k, rows in groups.items()}
+    most = max(map(len, arrays.values()), default=0)
+
+    def run(frames):
+        from hashlib import md5
+
+        import numpy as np
+        import pandas as pd
+
+        pools = {k: np.array([np.nan if v is None else v for v in rows], dtype=float) for k, rows in arrays.items()}
+        slots = [b"|%d" % s for s in range(most)]
+        for frame in frames:
+            out = []
+            for draw in frame["draw"].tolist():
+                head = md5(b"%d|%d" % (seed, draw))
+                u = np.empty(most)
+                for s, tail in enumerate(slots):
+                    h = head.copy()
+                    h.update(tail)
+                    u[s] = int(h.hexdigest()[:13], 16)
+                u /= 2.0**52
+                for key, pool in pools.items():
+                    picked = pool[np.floor(u[: len(pool)] * len(pool)).astype(np.int64)]
+                    known = picked[~np.isnan(picked)]
+                    out.append((*key, draw, float(known.mean()) if len(known) else None))
+            yield pd.DataFrame(out, columns=[*by, "draw", "m"])
+
+    spark = placed.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.range(0, draws, 1, max(4 * tasks, 1)).select(F.col("id").alias("draw")).mapInPandas(run, schema)
+
+
+def _drawn_by_join(placed: DataFrame, size: DataFrame, by: list[str], value: str, draws: int, seed: int) -> DataFrame:
+    """Means (by, draw, m) from (slot, draw) rows joined with the values."""
     slots = placed.select(*by, F.col("__i").alias("__slot")).join(size.select(*by, "n_events"), by)
     # the slots are few bytes but many draws: spread (slot, block of draws) over all tasks before expanding
     per_block = 50
-    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = slots.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // per_block))))
     slots = slots.repartition(tasks, *by, "__slot", "__b").withColumn(
         "draw", F.explode(F.sequence(F.col("__b") * per_block, F.least((F.col("__b") + 1) * per_block, F.lit(draws)) - 1))
@@ -87,13 +147,7 @@ def block_bootstrap(
     u = num.uniform(F.lit(seed), F.col("draw"), F.col("__slot"))
     picks = slots.select(*by, "draw", F.floor(u * F.col("n_events")).alias("__i"))
     pool = placed.select(*by, "__i", value)
-    means = picks.join(pool, [*by, "__i"]).groupBy(*by, "draw").agg(F.avg(value).alias("m"))
-    # one row per draw: a fixed number, so the built-in exact percentile is bounded
-    spread = means.groupBy(*by).agg(
-        F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"),
-        F.avg((F.col("m") < 0).cast("double")).alias("p_below_zero"),
-    )
-    return size.join(spread, by)
+    return picks.join(pool, [*by, "__i"]).groupBy(*by, "draw").agg(F.avg(value).alias("m"))
 
 
 def event_differences(df: DataFrame, by: list[str], event: str, y: str, a: str, b: str) -> DataFrame:

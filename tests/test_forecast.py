@@ -153,3 +153,16 @@ def test_day_diagnostics_and_rollup(spark):
     got = mt.model_diagnostics_rollup(days, spark.createDataFrame([(1,), (2,), (9,)], "refit_day int"), ["refit_day"],
                                            ["n_degenerate_hours", "n_failed_hours", "n_runaway_hours", "n_ffill", "n_bfill", "n_ridge"], "max_abs_coef").first()
     assert got.asDict() == {"n_models": 2, "n_degenerate_hours": 2, "n_failed_hours": 1, "n_runaway_hours": 6, "n_ffill": 15, "n_bfill": 3, "n_ridge": 1, "max_abs_coef": 43.0}
+
+
+def test_bootstrap_draws_are_the_same_either_way(spark):
+    """Values in the tasks or met by a join; groups of different sizes, a tie, missing values, no grouping at all."""
+    r = random.Random(4)
+    rows = [(g, f"e{i}", None if i == 3 else r.choice([-1.0, 0.5, r.random()])) for g, n in (("a", 7), ("b", 40), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, e string, x double")
+    for by in (["g"], []):
+        one = df if by else df.withColumn("e", F.concat("g", "e"))
+        here, joined = (sorted(inf.block_bootstrap(one, by, "e", "x", draws=120, local_values=n).select(
+            *by, "n_events", *[F.round(c, 9).alias(c) for c in ("estimate", "ci_low", "ci_high", "p_below_zero")]).collect(), key=str) for n in (1000, 0))
+        assert here == joined and len(here) == (3 if by else 1)
+    assert inf.block_bootstrap(df.limit(0), ["g"], "e", "x", draws=10).collect() == []
