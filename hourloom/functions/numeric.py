@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,21 +51,20 @@ def pinball_mean(y: Column, quantiles: Column, taus: list[float] = QUANTILE_GRID
     return F.lit(2.0) * total / F.lit(len(taus))
 
 
-# Rational Chebyshev coefficients of the complementary error
-# function (relative error below 1.2e-7), highest order last.
-ERFC_COEFFICIENTS = [
-    -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-    0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
-]
-
-
 def erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0 (there is no built-in one)."""
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * x)
-    poly = F.lit(0.0)
-    for c in reversed(ERFC_COEFFICIENTS):
-        poly = poly * t + F.lit(c)
-    return t * F.exp(-x * x + poly)
+    """Complementary error function for x >= 0, to double precision (there is no built-in one).
+
+    Below 3 one less the series of erf, whose terms are all positive: each is 2 x^2 / (2 k + 1) times the one before. From 3 on the continued
+    fraction, evaluated from its tail.
+    """
+    bell = F.exp(-x * x) / F.lit(math.sqrt(math.pi))
+    term = lambda acc, k: F.struct(
+        (acc["term"] * F.lit(2.0) * x * x / (F.lit(2.0) * k + 1)).alias("term"),
+        (acc["sum"] + acc["term"] * F.lit(2.0) * x * x / (F.lit(2.0) * k + 1)).alias("sum"))
+    steps = F.sequence(F.lit(1), F.lit(80))
+    series = F.aggregate(steps, F.struct(x.cast("double").alias("term"), x.cast("double").alias("sum")), term, lambda acc: acc["sum"])
+    tail = F.aggregate(F.reverse(steps), x.cast("double"), lambda acc, k: x + k / F.lit(2.0) / acc)
+    return F.when(x < 3, F.lit(1.0) - F.lit(2.0) * bell * series).otherwise(bell / tail)
 
 
 def robust_scale(x: Column, median: Column, mad: Column) -> Column:

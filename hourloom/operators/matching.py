@@ -48,9 +48,13 @@ def overlap_pairs(
 
 def interval_overlap_match(
     candidates: DataFrame, threads: DataFrame, key: str, candidate: str, thread: str, excluded_keys: list,
-    duplicate_of: str | None = None, bucket_days: int = 32,
+    duplicate_of: str | None = None, bucket_days: int = 32, kind: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Matched pairs, and per candidate how many there are or why there is none."""
+    """Matched pairs, and per candidate how many there are or why there is none.
+
+    Without any thread of its key a candidate says `unit_not_pulled`, or `no_umm_thread` if its `kind` is transmission. A thread without bounds is a
+    thread of its key, too.
+    """
     open_rows = candidates.where(~F.col(key).isin(*excluded_keys)) if excluded_keys else candidates
     if duplicate_of:
         open_rows = open_rows.where(F.col(duplicate_of).isNull())
@@ -58,8 +62,9 @@ def interval_overlap_match(
     tally = pairs.groupBy(candidate).agg(F.count(F.lit(1)).alias("n_matched"), F.min(thread).alias("first_match"))
     known = threads.select(key).distinct().withColumn("__known", F.lit(True))
     out = candidates.join(tally, candidate, "left").join(known, key, "left")
+    absent = F.lit("unit_not_pulled") if kind is None else F.when(F.col(kind) == "transmission", "no_umm_thread").otherwise("unit_not_pulled")
     reason = F.when(F.col("n_matched") > 0, F.lit(None).cast("string")).when(
-        F.col("__known").isNull(), "unit_not_pulled").otherwise("overlap_below_50pct")
+        F.col("__known").isNull(), absent).otherwise("overlap_below_50pct")
     if excluded_keys:
         reason = F.when(F.col(key).isin(*excluded_keys), "excluded_unit").otherwise(reason)
     if duplicate_of:
@@ -139,16 +144,18 @@ def unit_name_match(
 ) -> DataFrame:
     """Per outage the first message (by `order`) with the same unit id, or whose unit name contains the outage's.
 
-    Substring search by blocking: a name must contain every piece of three letters of the needle, so needles are
+    Of all messages with one unit id or one name only the first can be an answer, so messages are first reduced to those: outages and needles meet ids and
+    distinct names, never messages. Substring search by blocking: a name must contain every piece of three letters of the needle, so needles are
     looked up by their rarest piece only and then verified. Names shorter than a piece are looked up by all pieces
-    that contain them. Without a match the first message with remarks stands in.
+    that contain them. Without a match the first message with remarks stands in, or the first of all if none has remarks.
     """
     clean = lambda c: strip(F.lower(F.coalesce(F.col(c), F.lit(""))))
     o = outages.select(outage, F.col(unit).alias("__unit"), clean(name).alias("__needle"))
-    m = messages.select(message, F.col(order).alias("__ord"), F.col(unit).alias("__munit"), clean(name).alias("__hay"))
-    by_id = o.where(F.col("__unit").isNotNull()).join(m, F.col("__unit") == F.col("__munit")).select(outage, message, "__ord")
+    m = messages.select(F.struct(F.col(order).alias("o"), F.col(message).alias("m")).alias("__msg"), F.col(unit).alias("__unit"), clean(name).alias("__hay"))
+    first_of_unit = m.where(F.col("__unit").isNotNull()).groupBy("__unit").agg(F.min("__msg").alias("__by_id"))
+    names = m.groupBy("__hay").agg(F.min("__msg").alias("__msg"))
 
-    hay = m.select(message, "__ord", "__hay", F.explode(_grams(F.col("__hay"))).alias("__g"))
+    hay = names.select("__msg", "__hay", F.explode(_grams(F.col("__hay"))).alias("__g"))
     freq = hay.groupBy("__g").agg(F.count(F.lit(1)).alias("__df"))
     needles = o.where(F.col("__needle") != "").select("__needle").distinct()
     long = needles.where(F.length("__needle") >= GRAM).select("__needle", F.explode(_grams(F.col("__needle"))).alias("__g"))
@@ -159,14 +166,13 @@ def unit_name_match(
     pieces = freq.select("__g", F.explode(_sub_pieces(F.col("__g"))).alias("__needle"))
     short = needles.where(F.length("__needle") < GRAM).join(pieces, "__needle").select("__needle", "__g")
     lookup = rarest.unionByName(short)
-    found = hay.join(lookup, "__g").where(F.contains("__hay", "__needle")).select("__needle", message, "__ord").distinct()
-    by_name = o.join(found, "__needle").select(outage, message, "__ord")
-
-    best = by_id.unionByName(by_name).groupBy(outage).agg(F.min_by(message, F.struct("__ord", message)).alias(message))
-    spare = messages.where(F.coalesce(F.col(remarks), F.lit("")) != "").agg(F.min_by(message, order).alias("m"))
-    out = outages.join(best, outage, "left")
-    return out.select(
-        outage, F.coalesce(message, spare.select("m").scalar()).alias(message), F.col(message).isNotNull().alias("matched")
+    found = hay.join(lookup, "__g").where(F.contains("__hay", "__needle")).groupBy("__needle").agg(F.min("__msg").alias("__by_name"))
+
+    spoken = F.when(F.coalesce(F.col(remarks), F.lit("")) != "", F.col(order))
+    spare = messages.agg(F.min_by(message, F.struct(spoken.isNull(), order, message)).alias("m"))
+    best = o.join(first_of_unit, "__unit", "left").join(found, "__needle", "left").select(outage, F.least("__by_id", "__by_name").getField("m").alias("__best"))
+    return best.select(
+        outage, F.coalesce("__best", spare.select("m").scalar()).alias(message), F.col("__best").isNotNull().alias("matched")
     )
 
 

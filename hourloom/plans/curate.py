@@ -43,7 +43,7 @@ def match_threads(candidates: DataFrame, periods: DataFrame, excluded_units: lis
     """
     versions = dc.version_record(periods, ["message", "version", "unit", "published", "remarks"], "start", "end", "mw")
     threads = ma.latest_version(versions, ["message", "unit"], "version")
-    pairs, report = ma.interval_overlap_match(candidates, threads, "unit", "event_id", "message", excluded_units, "duplicate_of")
+    pairs, report = ma.interval_overlap_match(candidates, threads, "unit", "event_id", "message", excluded_units, "duplicate_of", kind="kind" if "kind" in candidates.columns else None)
     best = ma.best_thread_argmin(pairs, periods, "event_id", "message", "version", "published")
     rows = report.join(best.select("event_id", "message"), "event_id", "left")
     rows = dc.lead_time_hours(rows, versions, "message", "start", "published")

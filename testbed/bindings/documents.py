@@ -76,12 +76,16 @@ def first_nonnull_version(spark, folder):
     return dc.first_nonnull_version(m, ["message"], "role", "published", "version")
 
 
-@query("interval_overlap_match", sql("""SELECT cd.row_id, cd.unit, count(pr.message) AS n_matched, min(pr.message) AS first_match, CASE WHEN cd.unit IN (0, 3) THEN 'excluded_unit' WHEN count(pr.message) > 0 THEN NULL
-    WHEN NOT EXISTS (SELECT 1 FROM lv WHERE lv.unit = cd.unit) THEN 'unit_not_pulled' ELSE 'overlap_below_50pct' END AS reason
-    FROM cd LEFT JOIN pr ON pr.row_id = cd.row_id AND cd.unit NOT IN (0, 3) GROUP BY 1, 2""", "i", "m", **CH))
+# of candidates of one unit that start together, all but the first are its duplicates; feed O plays transmission
+@query("interval_overlap_match", sql("""SELECT cd.row_id, cd.unit, count(pr.message) AS n_matched, min(pr.message) AS first_match, CASE WHEN dup IS NOT NULL THEN 'duplicate_of_' || dup WHEN cd.unit IN (0, 3) THEN 'excluded_unit' WHEN count(pr.message) > 0 THEN NULL
+    WHEN NOT EXISTS (SELECT 1 FROM lv WHERE lv.unit = cd.unit) THEN CASE feed WHEN 'O' THEN 'no_umm_thread' ELSE 'unit_not_pulled' END ELSE 'overlap_below_50pct' END AS reason
+    FROM (SELECT *, nullif(min(row_id) OVER (PARTITION BY unit, start), row_id) AS dup FROM cd) cd LEFT JOIN pr ON pr.row_id = cd.row_id AND cd.unit NOT IN (0, 3) AND dup IS NULL GROUP BY cd.row_id, cd.unit, dup, feed""", "i", "m", **CH))
 def interval_overlap_match(spark, folder):
     threads = ma.latest_version(versions(spark, folder), ["message"], "version")
-    _, report = ma.interval_overlap_match(candidates(spark, folder), threads, "unit", "row_id", "message", [0, 3])
+    c = candidates(spark, folder)
+    first = c.groupBy("unit", "start").agg(F.min("row_id").alias("first"))
+    c = c.join(first, ["unit", "start"]).withColumn("duplicate_of", F.nullif("first", "row_id")).withColumn("kind", F.when(F.col("feed") == "O", "transmission").otherwise("generation"))
+    _, report = ma.interval_overlap_match(c, threads, "unit", "row_id", "message", [0, 3], "duplicate_of", kind="kind")
     return report.select("row_id", "unit", "n_matched", "first_match", "reason")
 
 
@@ -106,13 +110,13 @@ def lead_time_hours(spark, folder):
     {b('coalesce(x.first < cd.start, false)')} AS had_pre_start_version, {r('wm.m')} AS window_mean, {b('coalesce(wm.m >= 0.8 * cd.reduction, false)')} AS window_ok
     FROM bt JOIN cd ON cd.row_id = bt.row_id JOIN (SELECT message, arg_max("end", published) FILTER (WHERE TRUE) AS stop, min(published) AS first FROM vr GROUP BY 1) x ON x.message = bt.message
     LEFT JOIN (SELECT cd.row_id, avg(sw.total) AS m FROM bt JOIN cd ON cd.row_id = bt.row_id JOIN sw ON sw.unit = cd.unit AND sw.ts >= cd.start AND sw.ts < cd."end" GROUP BY 1) wm ON wm.row_id = cd.row_id""", "i", "m", **CH,
-    sw="""SELECT sp.unit, sp.ts, sum(coalesce(i.l_quantity, 0)) AS total FROM (SELECT k.unit, x.ts FROM (SELECT DISTINCT unit FROM i) k, (SELECT unnest(generate_series(min(start), max("end"), INTERVAL 1 DAY)) AS ts FROM i) x) sp
+    sw="""SELECT sp.unit, sp.ts, sum(coalesce(i.l_quantity, 0)) AS total FROM (SELECT k.unit, x.ts FROM (SELECT DISTINCT unit FROM i) k, (SELECT unnest(generate_series(min(start), max("end"), INTERVAL 1 HOUR)) AS ts FROM i) x) sp
         LEFT JOIN i ON i.unit = sp.unit AND i.start <= sp.ts AND sp.ts < i."end" GROUP BY 1, 2"""))
 def end_mismatch_check(spark, folder):
     e = candidates(spark, folder).join(best(spark, folder).select("row_id", "message"), "row_id")
     i = iv.derive_reduction(V.intervals(spark, folder), "nominal", "avail", "start", "end")
-    total = iv.sweep_line_sum(i, ["unit"], "start", "end", "reduction", interval_spine(i, "unit", "1 day"))
-    means = ma.window_mean(e, total, ["unit"], "row_id", "ts", "total", "1 day")
+    total = iv.sweep_line_sum(i, ["unit"], "start", "end", "reduction", interval_spine(i, "unit", "1 hour"))
+    means = ma.window_mean(e, total, ["unit"], "row_id", "ts", "total", "1 hour")
     return ma.end_mismatch_check(e, versions(spark, folder), means, "row_id", "message", "reduction")
 
 

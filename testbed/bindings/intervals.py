@@ -172,16 +172,16 @@ def agg_sum_columns(spark, folder):
     return rel.sum_by_side(drv, F.pmod("unit", F.lit(2)).cast("int"), "ts", "unavailable")
 
 
-@query("available_capacity", sql(f"""SELECT {t('sw.ts')} AS ts, inst.year, inst.installed, total, inst.installed - total AS available FROM (
+@query("available_capacity", sql(f"""SELECT {t('sw.ts')} AS ts, inst.year, {r('inst.installed', 2)} AS installed, total, {r('inst.installed - total', 2)} AS available FROM (
       SELECT ts, sum(coalesce(x, 0)) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING) AS total, k FROM (SELECT ts, sum(x) AS x, max(k) AS k FROM (
         SELECT start AS ts, l_quantity AS x, 0 AS k FROM i UNION ALL SELECT "end", -l_quantity, 0 FROM i UNION ALL SELECT DISTINCT ts, 0, 1 FROM sp) GROUP BY 1)) sw
     LEFT JOIN inst ON inst.year = year({L('sw.ts')}) WHERE sw.k = 1""", "i", sp=DAYS("kind"),
-    inst="SELECT year(o_orderdate) AS year, floor(sum(o_totalprice)) AS installed FROM orders GROUP BY 1"), digits={"installed": 0, "available": 0})
+    inst="SELECT year(o_orderdate) AS year, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / 100.0 AS installed FROM orders GROUP BY 1"), digits={"installed": 2, "available": 2})
 def available_capacity(spark, folder):
     i = iv.derive_reduction(V.intervals(spark, folder), "nominal", "avail", "start", "end")
     one = interval_spine(i, "kind", "1 hour").select("ts").distinct()
     total = iv.sweep_line_sum(i, [], "start", "end", "reduction", one)
-    inst = V.registry(spark, folder).groupBy("year").agg(F.floor(F.sum("mw")).cast("double").alias("installed"))
+    inst = V.registry(spark, folder).groupBy("year").agg((F.sum(F.round(F.col("mw") * 100).cast("bigint")) / 100).alias("installed"))
     return iv.available_capacity(inst, "year", total, "ts", "total", TZ)
 
 

@@ -135,13 +135,13 @@ def summary_period(spark, folder):
 
 _SEASON = "CASE WHEN m IN (12, 1, 2) THEN 'winter' WHEN m IN (3, 4, 5) THEN 'spring' WHEN m IN (6, 7, 8) THEN 'summer' WHEN m IS NOT NULL THEN 'autumn' END"
 _GS = f"""SELECT *, CAST(year({L('ts')}) AS VARCHAR) AS yr, {_SEASON.replace('m ', f"month({L('ts')}) ")} AS sn,
-    CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.start <= rd.ts AND rd.ts <= e."end" AND e.kind = 'generation') THEN 'inside' ELSE 'outside' END AS ins FROM rd"""
+    CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.start <= rd.ts AND rd.ts <= e."end") THEN 'inside' ELSE 'outside' END AS ins FROM rd"""
 
 
 @query("summary_grouping_sets", sql(f"""SELECT 'overall' AS cut, 'all' AS label, {SUMMARY} FROM gs UNION ALL SELECT 'year', yr, {SUMMARY} FROM gs GROUP BY yr
     UNION ALL SELECT 'season', sn, {SUMMARY} FROM gs GROUP BY sn UNION ALL SELECT 'inside', ins, {SUMMARY} FROM gs GROUP BY ins""", "slots", "e", **_WF, rd=_RD, gs=_GS))
 def summary_grouping_sets(spark, folder):
-    e = V.curated(spark, folder).where("kind = 'generation'")
+    e = V.curated(spark, folder)
     f = iv.point_in_any_interval(forecasts(spark, folder), e, [], "ts", "start", "end", "inside_event")
     return mt.summary_grouping_sets(f, "ts", TZ, "inside_event")
 
@@ -261,9 +261,17 @@ _DM = dict(
 )
 
 
-@query("dm_test_hac", sql(f"""SELECT ds.comparison, n, {r('m')} AS mean_loss_diff, {r('m / sqrt((g0 + g) / n)')} AS dm_stat, lag FROM ds JOIN dg ON dg.comparison = ds.comparison""", "cw", **_DM))
+# the two-sided p-value as twice the normal density's integral, by Simpson's rule over a table of 4,001 points
+_TAIL = dict(
+    st="SELECT ds.comparison, n, m, m / sqrt((g0 + g) / n) AS z, lag FROM ds JOIN dg ON dg.comparison = ds.comparison",
+    tail="""SELECT comparison, sum((CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(abs(z) + k * 0.003, 2) / 2)) * 0.003 / 3 * 2 / sqrt(2 * pi()) AS p
+        FROM st, (SELECT unnest(range(0, 4001)) AS k) GROUP BY 1""",
+)
+
+
+@query("dm_test_hac", sql(f"""SELECT st.comparison, n, {r('m')} AS mean_loss_diff, {r('z')} AS dm_stat, {r('p')} AS p_value, lag FROM st JOIN tail ON tail.comparison = st.comparison""", "cw", **_DM, **_TAIL))
 def dm_test_hac(spark, folder):
-    return inf.dm_test(loss_rows(spark, folder), ["comparison"], ["event_id", "day", "hour"], "diff", block=512).drop("p_value")
+    return inf.dm_test(loss_rows(spark, folder), ["comparison"], ["event_id", "day", "hour"], "diff", block=512)
 
 
 @query("usage_cost_rollup", f"""SELECT lang, count(*) AS n_calls, count(*) FILTER (WHERE doc_id % 3 = 0) AS cache_hits, sum(n_chars) AS prompt_tokens, sum(length(source)) AS completion_tokens,

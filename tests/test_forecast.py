@@ -61,7 +61,7 @@ def test_erfc_accuracy(spark):
     xs = [0.0, 0.1, 0.5, 1.0, 2.0, 3.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     for r in df.select("x", num.erfc(F.col("x")).alias("e")).collect():
-        assert abs(r.e - math.erfc(r.x)) < 2e-7
+        assert abs(r.e - math.erfc(r.x)) < 1e-14
 
 
 def test_mae_ignores_non_finite(spark):
