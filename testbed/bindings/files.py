@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hourloom.sources import readers as rd
 from hourloom.sources import sinks as sk
+from hourloom.streaming import revisions as sr
 from testbed import views as V
 from testbed.registry import query, r, t
 from testbed.views import sql
@@ -91,3 +92,18 @@ def replace_snapshot(spark, folder):
     sk.replace_snapshot(e, path + "-parts", ["kind"])
     sk.replace_snapshot(e.where("kind = 'transmission' and reduction > 50").withColumn("reduction", F.col("reduction") + 1), path + "-parts", ["kind"])
     return spark.read.parquet(path + "-parts").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("reduction").alias("total"))
+
+
+@query("latest_revision_stream", sql(f"""SELECT mrid, revision, docstatus, {t('period')} AS period, unit, feed, qty FROM (
+    SELECT *, max(revision) OVER (PARTITION BY mrid) AS top FROM v) WHERE revision = top AND docstatus IS DISTINCT FROM 'Cancelled'""", "v"))
+def latest_revision_stream(spark, folder):
+    """The revisions land in four batches, of which each has older and newer ones; the stream drops what is outdated on arrival."""
+    v = V.revisions(spark, folder).withColumn("revision", F.col("revision").cast("bigint"))
+    path = sk.scratch_folder(spark)
+    for part in range(4):
+        v.where((F.col("revision") * 3 + F.col("mrid")) % 4 == part).coalesce(2).write.mode("append").parquet(f"{path}/in")
+    feed = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    q = sr.newest_revisions(feed, "mrid", "revision").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option(
+        "path", f"{path}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sr.current_revisions(spark.read.parquet(f"{path}/out"), "mrid", "revision", "docstatus")

@@ -1,5 +1,6 @@
 """Profiles, lags, walk-forward rows and scores."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hourloom.operators import features as ft
@@ -11,6 +12,9 @@ from hourloom.operators import relations as rel
 from hourloom.operators import running
 from hourloom.operators import timeline as tl
 from hourloom.functions import numeric as num
+from hourloom.session import cut_lineage
+from hourloom.sources import sinks as sk
+from hourloom.streaming import quantiles as sq
 from testbed import views as V
 from testbed.registry import b, d, query, r, t
 from testbed.views import TZ, sql
@@ -91,6 +95,28 @@ def rolling_residual_quantiles(spark, folder):
     return out.select("series", "day", "hour", *[F.try_element_at("q", F.lit(i)).alias(f"q{i}") for i in range(1, 20)])
 
 
+@query("rolling_quantiles_stream", sql(f"""SELECT series, {d('day')} AS day, hour, {', '.join(f"{r(f'q[{i}]')} AS q{i}" for i in range(1, 20))} FROM wf""", "slots", **_WF))
+def rolling_quantiles_stream(spark, folder):
+    """The same rows as a stream of five batches, of which each has neighbouring days out of order; a far day at the end makes all days final."""
+    p = ft.lag_day_join(profile(spark, folder), S, "value", [1, 2]).withColumn("point", (F.col("lag1") + F.col("lag2")) / 2)
+    rows = cut_lineage(p.select("series", F.col("hour").cast("int").alias("hour"), "day", F.col("value").alias("y"), "point"))
+    path = sk.scratch_folder(spark)
+    number = F.dense_rank().over(Window.orderBy("day")) - 1  # days of one series' table
+    days = rows.select("day").distinct().withColumn("batch", F.floor((number - F.when(number % 7 == 6, 2).otherwise(0)) / 7)).orderBy("day").collect()
+    batches = sorted({x.batch for x in days})
+    end = spark.createDataFrame([("end", -1, max(x.day for x in days).replace(year=2100), None, None)], rows.schema)
+    for b_ in batches:
+        rows.where(F.col("day").isin([x.day for x in days if x.batch == b_])).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    for _ in range(2):  # the watermark of a batch counts in the next one
+        end.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    out = sq.rolling_residual_quantiles(feed, ["series", "hour"], "day", "y", "point", "8 days", LAST, BURN)
+    q = out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out").where("hour >= 0").select(
+        "series", "day", "hour", *[F.try_element_at("q", F.lit(i)).alias(f"q{i}") for i in range(1, 20)])
+
+
 @query("refit_carry_forward", sql(f"SELECT DISTINCT series, {d('day')} AS day, {d('refit_day')} AS refit_day FROM wf", "slots", **_WF))
 def refit_carry_forward(spark, folder):
     return fc.refit_carry_forward(profile(spark, folder).select("series", "day").distinct(), S, "day", 3)
