@@ -63,14 +63,22 @@ def write(pages: DataFrame, folder: str, date: str, least_bytes: int = LEAST_BYT
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    """header, payload (in full, also for revisits), record (the exact bytes: header, body, two line ends). A payload that does not have the digest it
-    is stored under stops the job."""
+    """header, payload (in full, also for revisits), record (the exact bytes: header, body, two line ends), and payload_bytes and payload_digest, measured
+    where the payload is read. A payload that does not have the digest it is stored under stops the job.
+
+    Who asks for sizes and digests only joins headers with those; bodies are shuffled only for `payload` and `record`.
+    """
     payloads = spark.read.schema("digest string, payload binary").parquet(f"{folder}/payloads")
     headers = spark.read.schema("page_id long, digest string, header binary").parquet(f"{folder}/headers")
-    checked = payloads.select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "digest")).cast("binary")).alias("payload"))
+    found = F.sha2("payload", 256)
+    damaged = F.raise_error(F.concat(F.lit("damaged payload "), "digest"))
+    checked = payloads.select(
+        "digest", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.when(found == F.col("digest"), found).otherwise(damaged.cast("string")).alias("payload_digest"),
+        F.when(found == F.col("digest"), F.col("payload")).otherwise(damaged.cast("binary")).alias("payload"))
     whole = headers.select("digest", "header").join(checked, "digest")
     body = F.when(field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return whole.select("header", "payload", F.concat("header", body, F.lit((END * 2).encode())).alias("record"))
+    return whole.select("header", "payload", F.concat("header", body, F.lit((END * 2).encode())).alias("record"), "payload_bytes", "payload_digest")
 
 
 def field(name: str) -> Column:
@@ -84,11 +92,10 @@ def page_of(record_id: Column) -> Column:
 
 
 def summaries(read: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of records that were read; sizes and digests come from the payloads."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of records that were read; sizes and digests are those of the payloads read."""
     return read.select(
         page_of(field("WARC-Record-ID")).alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_digest"),
+        "payload_bytes", "payload_digest",
         field("WARC-Type").alias("record_type"),
         page_of(field("WARC-Refers-To")).alias("refers_to"),
     )
