@@ -61,6 +61,18 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for helper columns that no column of `df` has, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem in taken:
+            stem += "_"
+        taken.add(stem)
+        out.append(stem)
+    return out
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a missing id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import WordHashes, forget, mix, runs_of, stored, texts_of
+from hourloom.llm.common import WordHashes, forget, fresh, mix, runs_of, stored, texts_of
 from hourloom.llm.graph import components
 
 SEEDS = (0x51ED270B1A5B3C97, 0x2F8D1C3B5A697887, 0x6C0793E1D2B4A5F3)
@@ -334,5 +334,6 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = link_components(docs, n, percent)
     linked = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
     stay = linked.unionByName(found.where("root is null").select("doc_id", "text_hash"))
-    stay = stay.select(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "text_hash").alias("_key"))
-    return docs.withColumn("_key", key).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    (name,) = fresh(docs, "document_key")
+    stay = stay.select(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "text_hash").alias(name))
+    return docs.withColumn(name, key).join(stay, name, "left_semi").dropDuplicates([name]).drop(name)

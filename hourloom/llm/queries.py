@@ -60,7 +60,7 @@ def op9_order_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_lpf_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix.summaries(table(spark, folder, "documents"), length=400, keep="none")
+    return suffix.summaries(table(spark, folder, "documents"), length=400, keep="none", with_text=True)
 
 
 def shingles_sql(source: str, key: str) -> str:

@@ -7,7 +7,7 @@ once in the corpus are dropped before anything is shipped.
 1.  Texts that are equal as a whole form a class, by key and count alone; only one of each class takes part below.
 2.  Anchors of all texts, one row for about 180 bytes; those that occur at two places or more are kept.
 3.  Neighbouring windows with the same repeated anchor form a segment. Equal segments of a batch are merged before they are shipped.
-4.  Anchors with more than HOT segments are taken window by window: equal windows meet by the 64-bit hash of their bytes, as counts and
+4.  Anchors with more than HOT segments are taken window by window: equal windows meet by the 128-bit hash of their bytes, as counts and
     minima of positions added up before the shuffle, so a hot anchor with many surroundings spreads over all tasks.
 5.  The segments of any other anchor are put in suffix order, as deep as a window: ranks of 8 bytes are doubled to the full length, and
     suffixes that are equal that far follow each other by position. In this order the previous smaller position of a suffix is its left
@@ -32,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import forget, mix, stored, texts_of
+from hourloom.llm.common import forget, fresh, mix, stored, texts_of
 
 K = 32  # bytes of an anchor
 SLICE = 1 << 20  # bytes handled at once; longer texts are cut into overlapping slices
@@ -43,6 +43,8 @@ POSITION = np.uint64((1 << 24) - 1)
 ORDERED = 2_000_000  # bytes put into suffix order at once
 OFFSETS = 32  # of an anchor with many segments, so many window offsets are ordered at once
 HOT = 5_000  # segments of an anchor that one task takes
+SPREAD = 20_000  # anchors that occur more often are looked up in every task instead of being dealt by their hash ...
+MOST_SPREAD = 50_000  # ... so many at most: no more anchors can each have their share of all occurrences
 NO_ID = -(1 << 63)
 
 
@@ -256,23 +258,42 @@ def _windows(length: int):
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 many = part.column("windows").to_numpy()
-                found = [xxhash.xxh3_64_intdigest(data[i : i + length]) for data, n in zip(part.column("data").to_pylist(), many.tolist(), strict=True) for i in range(n)]
+                found = [xxhash.xxh3_128_digest(data[i : i + length]) for data, n in zip(part.column("data").to_pylist(), many.tolist(), strict=True) for i in range(n)]
                 shift = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 ids, names, firsts = (np.repeat(part.column(c).to_numpy(), many) for c in ("first_id", "text_hash", "first"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(ids), pa.array(names), pa.array(firsts + shift)], ["name", "first_id", "text_hash", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ids), pa.array(names), pa.array(firsts + shift)], ["name", "first_id", "text_hash", "start"])
 
     return run
 
 
+STRETCH = 4096  # positions of a text whose windows are joined in one group
+
+
 def _of_hot(segments_: DataFrame, length: int, keep: str) -> DataFrame:
-    """text_hash, start, end of the windows that have an earlier (or any) copy among the segments of hot anchors."""
-    rows = stored(segments_.mapInArrow(_windows(length), "name long, first_id long, text_hash long, start long"), "windows")
+    """text_hash, start, end of the windows that have an earlier (or any) copy among the segments of hot anchors. Windows that overlap or touch are
+    joined inside stretches of STRETCH positions, so a text leaves few rows however many windows go."""
+    rows = stored(segments_.mapInArrow(_windows(length), "name binary, first_id long, text_hash long, start long"), "windows")
     place = F.struct("first_id", "text_hash", "start")
     several = rows.groupBy("name").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most")
     copies = rows.join(several, "name")
     if keep == "first":
         copies = copies.where(place != F.col("least"))
-    return copies.select("text_hash", "start", (F.col("start") + length).alias("end"))
+    own = Window.partitionBy("text_hash", "stretch").orderBy("start")
+    near = copies.select("text_hash", "start", F.floor(F.col("start") / STRETCH).alias("stretch")).distinct()
+    begins = (F.col("start") - F.coalesce(F.lag("start").over(own), F.lit(-(1 << 62))) > length).cast("int")
+    runs = near.withColumn("begins", begins).withColumn("run", F.sum("begins").over(own))
+    return runs.groupBy("text_hash", "stretch", "run").agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).select("text_hash", "start", "end")
+
+
+def _repeated(anchors: DataFrame) -> DataFrame:
+    """The rows of anchors that occur at two places or more. Rows of an anchor that is met everywhere stay where they are: such anchors, MOST_SPREAD at most,
+    are known to every task. Only the rows of the others are dealt by anchor."""
+    place = F.xxhash64("text_hash", "at")
+    counts = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("anchor", "n"), "repeated")
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    often = counts.where(F.col("n") > max(SPREAD, total // MOST_SPREAD)).select("anchor")
+    rest = anchors.join(F.broadcast(often), "anchor", "left_anti").join(counts.select("anchor"), "anchor", "left_semi")
+    return anchors.join(F.broadcast(often), "anchor", "left_semi").unionByName(rest)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -285,9 +306,7 @@ def repeated_spans(docs: DataFrame, length: int, keep: str) -> DataFrame:
     classes = texts.groupBy("text_hash").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first_id"))
     long_texts = texts.where(F.octet_length("text") >= length)
     anchors = stored(long_texts.select("text_hash", "text").mapInArrow(_anchors(length), "anchor long, text_hash long, at long"), "anchors")
-    place = F.xxhash64("text_hash", "at")
-    several = anchors.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("anchor")
-    marked = anchors.join(several, "anchor", "left_semi").groupBy("text_hash").agg(F.collect_set("at").alias("ats"))
+    marked = _repeated(anchors).groupBy("text_hash").agg(F.collect_set("at").alias("ats"))
     marked = stored(marked.join(classes, "text_hash"), "marked")
     forget(anchors)
     one = long_texts.join(marked, "text_hash").where("doc_id = first_id").select("text_hash", "first_id", "ats", "text")
@@ -329,30 +348,35 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _with_spans(docs: DataFrame, length: int, keep: str) -> DataFrame:
-    found = repeated_spans(docs, length, keep).withColumnRenamed("first_id", "_first").withColumnRenamed("spans", "_spans").withColumnRenamed("n_rows", "_rows")
+def _with_spans(docs: DataFrame, length: int, keep: str) -> tuple[DataFrame, list[str]]:
+    """`docs` with three more columns, and their names: how many rows have the text, whether this one is a later copy, the spans."""
+    h, first, rows, later, spans = fresh(docs, "text_hash", "first_id", "n_rows", "later", "spans")
+    found = repeated_spans(docs, length, keep).select(F.col("text_hash").alias(h), F.col("first_id").alias(first), F.col("n_rows").alias(rows), F.col("spans").alias(spans))
     own: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    joined = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(found.withColumnRenamed("text_hash", "_hash"), "_hash", "left")
-    return joined.withColumn("_later", F.coalesce(own > F.col("_first"), F.lit(False))).drop("_hash", "_first")
+    joined = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit("")))).join(found, h, "left")
+    return joined.withColumn(later, F.coalesce(own > F.col(first), F.lit(False))).drop(h, first), [rows, later, spans]
 
 
-def summaries(docs: DataFrame, length: int = 400, keep: str = "none") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+def summaries(docs: DataFrame, length: int = 400, keep: str = "none", with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and `text`, what is left of it, if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, n, later, spans in zip(texts_of(batch), *(batch.column(c).to_pylist() for c in ("_rows", "_later", "_spans")), strict=True):
+            for text, n, later, spans in zip(texts_of(batch), *(batch.column(c).to_pylist() for c in helpers), strict=True):
                 data = text.encode()
                 gone = _removed(len(data), length, keep, n, later, spans)
                 rest = _cut(data, gone)
-                rows.append((len(data), len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    joined = _with_spans(docs.select("doc_id", "text"), length, keep)
+                rows.append((len(data), len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else ""))
+            columns = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+            yield out if with_text else out.select(out.schema.names[:-1])
+
+    joined, helpers = _with_spans(docs.select("doc_id", "text"), length, keep)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else ""))
 
 
 def remove(docs: DataFrame, length: int = 400, keep: str = "first", least_words: int = 0, least_bytes: int = 0) -> DataFrame:
@@ -362,7 +386,7 @@ def remove(docs: DataFrame, length: int = 400, keep: str = "first", least_words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, n, later, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "_rows", "_later", "_spans")), strict=True):
+            for text, n, later, spans in zip(*(batch.column(c).to_pylist() for c in ("text", *helpers)), strict=True):
                 data = (text or "").encode()
                 gone = _removed(len(data), length, keep, n, later, spans) if text else []
                 gone = [(a, b) for a, b in gone if b - a >= least_bytes or len(data[a:b].split()) >= least_words]
@@ -371,4 +395,5 @@ def remove(docs: DataFrame, length: int = 400, keep: str = "first", least_words:
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     names = docs.columns
-    return _with_spans(docs, length, keep).mapInArrow(run, docs.schema)
+    joined, helpers = _with_spans(docs, length, keep)
+    return joined.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hourloom.llm import contamination, graph, jaccard, suffix
 from tests.llm.data import components, odd, odd_rows, prose, removed, row
@@ -83,7 +84,36 @@ def test_hot_anchors_equal_brute_force(spark, monkeypatch, keep):
     cut = {x["doc_id"]: x["text"] for x in suffix.remove(odd(spark, rows), 50, keep).collect()}
     data, masks = removed(texts, 50, keep)
     assert all(cut[i].encode() == bytes(np.frombuffer(b, np.uint8)[~m]) for i, (b, m) in enumerate(zip(data, masks, strict=True)))
-    assert taken and taken[0].count() >= 39 and ordered.value == 0
+    assert taken and taken[0].select("text_hash").distinct().count() >= 39 and taken[0].count() <= 3 * len(texts) and ordered.value == 0
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_anchors_met_everywhere_stay_in_place(spark, monkeypatch, keep):
+    """All ways of looking up repeated anchors at once: looked up in the task, dealt by anchor, hot and not."""
+    monkeypatch.setattr(suffix, "SPREAD", 8)
+    passage = prose(11, 60)
+    texts = [prose(20 + i, 15) + passage + prose(90 + i, 15) for i in range(30)] + [prose(5, 9) + prose(12, 30), prose(12, 30) + prose(6, 9)]
+    rows = [row(i, t) for i, t in enumerate(texts)]
+    cut = {x["doc_id"]: x["text"] for x in suffix.remove(odd(spark, rows), 50, keep).collect()}
+    data, masks = removed(texts, 50, keep)
+    assert all(cut[i].encode() == bytes(np.frombuffer(b, np.uint8)[~m]) for i, (b, m) in enumerate(zip(data, masks, strict=True)))
+
+
+CLASHING = ["_key", "_lang", "_rows", "_hash", "_first", "_spans", "_later", "text_hash", "first_id", "n_rows", "later", "spans", "document_key", "class", "token", "root", "lang_pred"]
+
+
+def test_columns_may_have_any_name(spark):
+    """Helper columns get out of the way of the table's own ones, which come through with their values."""
+    import corpus_pipeline as cp
+
+    text = prose(31, 120)
+    docs = spark.createDataFrame([(1, text, "en"), (2, text + " more", "en"), (3, prose(32, 90), "en")], "doc_id long, text string, lang string")
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.concat(F.lit(c), "doc_id"))
+    for name, stage in cp.STAGES[:3]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in CLASHING), name
 
 
 def test_pipeline_cuts_passages_of_over_50_words(spark):
