@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import bpe, contamination, jaccard, language, suffix
-from hourloom.llm.common import fold, stored
+from hourloom.llm.common import fold, fresh, stored
 from hourloom.llm.queries import table, vocabulary
 
 SPAN_BYTES, SPAN_WORDS = 400, 51  # what goes has so many bytes or words at least
@@ -22,7 +22,8 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.learn(docs.where(fold("doc_id", 4) != 2))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return language.with_language(docs, model, "_lang").where(F.col("_lang") != language.UNKNOWN).drop("_lang")
+    (name,) = fresh(docs, "language")
+    return language.with_language(docs, model, name).where(F.col(name) != language.UNKNOWN).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
