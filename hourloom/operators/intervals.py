@@ -305,6 +305,21 @@ def _fold(ids: list, starts: list, ends: list) -> list:
     return out
 
 
+def _largest(islands: DataFrame, by: list[str], row_id: str, size: str, most: int) -> DataFrame:
+    """Of every island its `most` largest rows (a row without size comes last), islands that have no more as they are.
+
+    Larger islands are ranked by range partitions with offsets, so one that holds a third of all rows is sorted by many tasks.
+    """
+    keys = [*by, "__island"]
+    counts = islands.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    large = cut_lineage(counts.where(F.col("__n") > most).select(*keys))
+    if large.isEmpty():
+        return islands
+    ordered = islands.join(large, keys, "left_semi").withColumn("__none", F.col(size).isNull()).withColumn("__less", -F.col(size))
+    ranked = inference.group_positions(ordered, keys, ["__none", "__less", row_id], "__rank")
+    return islands.join(large, keys, "left_anti").unionByName(ranked.where(F.col("__rank") < most).select(*islands.columns))
+
+
 def greedy_interval_dedup(
     df: DataFrame, by: list[str], row_id: str, start: str, end: str, size: str, bucket_days: int = 32, fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
@@ -327,9 +342,8 @@ def greedy_interval_dedup(
     schema = f"{keys}{row_id} {kind}, {start} timestamp, {end} timestamp, {size} {df.schema[size].dataType.simpleString()}, duplicate_of {kind}"
     decided = None
     while True:
-        island = Window.partitionBy(*by, "__island").orderBy(F.col(size).desc(), F.col(row_id))
-        ranked = _islands(rest, by, start, end).withColumn("__rank", F.row_number().over(island))
-        now = ranked.where(F.col("__rank") <= fold_rows).drop("__rank").groupBy(*by, "__island").applyInPandas(decide, schema)
+        islands = cut_lineage(_islands(rest, by, start, end))
+        now = _largest(islands, by, row_id, size, fold_rows).groupBy(*by, "__island").applyInPandas(decide, schema)
         now = cut_lineage(now)
         decided = now if decided is None else decided.unionByName(now)
         left = rest.join(now.select(*by, row_id), [*by, row_id], "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.functions import calendar as cal
-from hourloom.operators import running
+from hourloom.operators import inference, running
 
 
 def cross_join_expand(df: DataFrame, name: str, values: int | list) -> DataFrame:
@@ -94,20 +94,10 @@ def lookup_enum(df: DataFrame, code: str, table: DataFrame, key: str, text: str,
     return df.join(first, df[code] == first[key], "left").select(*df.columns, out)
 
 
-def positional_ids(df: DataFrame, prefix: str, order: list[str], out: str, time: str, bucket: str = "month") -> DataFrame:
-    """`<prefix>001`, `<prefix>002`, ... in `order` within each prefix.
-
-    Ranks are taken inside (prefix, time bucket) and shifted by the counts of earlier buckets.
-    """
-    rows = df.withColumn("__b", F.date_trunc(bucket, F.col(time)))
-    sizes = rows.groupBy(prefix, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(prefix).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(prefix, "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
-    inside = F.row_number().over(Window.partitionBy(prefix, "__b").orderBy(*order))
-    ranked = rows.withColumn("__rn", inside).join(sizes, [prefix, "__b"])
-    return ranked.select(
-        *df.columns, F.format_string("%s%03d", F.col(prefix), F.col("__off") + F.col("__rn")).alias(out)
-    )
+def positional_ids(df: DataFrame, prefix: str, order: list[str], out: str) -> DataFrame:
+    """`<prefix>001`, `<prefix>002`, ... in `order`, which must be total, within each prefix: numbered over range partitions with offsets."""
+    placed = inference.group_positions(df, [prefix], order, "__at")
+    return placed.select(*df.columns, F.format_string("%s%03d", F.col(prefix), F.col("__at") + 1).alias(out))
 
 
 def sample_head(df: DataFrame, by: list[str], value: str, n: int, out: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.functions import calendar as cal
-from hourloom.operators import running
+from hourloom.operators import inference, running
 
 
 # ------------------------------------------------------------------ spines
@@ -194,14 +194,22 @@ def resolution_switch(series: DataFrame, by: list[str], ts: str, fine: int = 4,
     return counts.join(examples, by, "left")
 
 
-def infer_freq(series: DataFrame, by: list[str], ts: str, bucket: str = "day") -> DataFrame:
-    """Spacing between neighbouring points: the spacing itself if there is only one, else how many there are."""
-    points = series.select(*by, F.col(ts), F.unix_micros(ts).alias("__u"))
-    stepped = running.previous_value(points, by, ts, "__u", "__p", bucket)
-    steps = stepped.where("__p is not null").groupBy(*by, (F.col("__u") - F.col("__p")).alias("step_us"))
-    steps = steps.agg(F.count(F.lit(1)).alias("__c"))
-    return steps.groupBy(*by).agg(
-        (F.sum("__c") + 1).alias("n_points"),
+def spacing_steps(series: DataFrame, by: list[str], ts: str) -> DataFrame:
+    """The list of spacings between neighbouring points: (by, step_us, n, first_at), one row per distinct spacing, with the point before its first use.
+
+    Points are numbered over range partitions and meet their neighbour by number, so a long series is not sorted in one task.
+    """
+    known = series.select(*by, F.unix_micros(ts).alias("__u")).where(F.col("__u").isNotNull())
+    points = inference.group_positions(known, by, ["__u"], "__i")
+    before = points.select(*by, (F.col("__i") + 1).alias("__i"), F.col("__u").alias("__p"))
+    return points.join(before, [*by, "__i"]).groupBy(*by, (F.col("__u") - F.col("__p")).alias("step_us")).agg(
+        F.count(F.lit(1)).alias("n"), F.timestamp_micros(F.min("__p")).alias("first_at"))
+
+
+def infer_freq(series: DataFrame, by: list[str], ts: str) -> DataFrame:
+    """Spacing between neighbouring points: the spacing itself if there is only one, else how many there are (`spacing_steps` lists them)."""
+    return spacing_steps(series, by, ts).groupBy(*by).agg(
+        (F.sum("n") + 1).alias("n_points"),
         F.count(F.lit(1)).alias("n_steps"),
         F.min("step_us").alias("min_step_us"),
         F.max("step_us").alias("max_step_us"),

@@ -31,7 +31,7 @@ def label_candidates(candidates: DataFrame, prefix: str, tz: str) -> DataFrame:
     rows = candidates.withColumn("__p", F.lit(prefix)).withColumn("season", cal.season(month)).withColumn(
         "flood", cal.spring_flood(month)
     )
-    ids = rel.positional_ids(rows, "__p", ["start", "row_id"], "event_id", "start").drop("__p")
+    ids = rel.positional_ids(rows, "__p", ["start", "row_id"], "event_id").drop("__p")
     return iv.greedy_interval_dedup(cut_lineage(ids), ["unit"], "event_id", "start", "end", "reduction")
 
 

@@ -261,7 +261,7 @@ def lookup_year_map(spark, folder):
 @query("positional_ids", sql("""SELECT row_id, kind, kind || lpad(CAST(rn AS VARCHAR), CAST(greatest(3, length(CAST(rn AS VARCHAR))) AS INTEGER), '0') AS event_id FROM (
     SELECT row_id, kind, row_number() OVER (PARTITION BY kind ORDER BY start, row_id) AS rn FROM i)""", "i"))
 def positional_ids(spark, folder):
-    return rel.positional_ids(V.intervals(spark, folder), "kind", ["start", "row_id"], "event_id", time="start").select("row_id", "kind", "event_id")
+    return rel.positional_ids(V.intervals(spark, folder), "kind", ["start", "row_id"], "event_id").select("row_id", "kind", "event_id")
 
 
 @query("sample_head", sql("SELECT kind, string_agg(CAST(unit AS VARCHAR), ';' ORDER BY unit) AS head FROM (SELECT kind, unit, row_number() OVER (PARTITION BY kind ORDER BY unit) AS k FROM (SELECT DISTINCT kind, unit FROM i)) WHERE k <= 20 GROUP BY 1", "i"))

@@ -187,6 +187,13 @@ def infer_freq(spark, folder):
     return tl.infer_freq(V.raw_series(spark, folder).select("series", "ts").unionByName(grid), S, "ts")
 
 
+@query("spacing_steps", sql(f"""SELECT series, step AS step_us, count(*) AS n, {t('min(before)')} AS first_at FROM (SELECT series, lag(ts) OVER w AS before, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS step
+    FROM (SELECT series, ts FROM s UNION ALL SELECT 'grid-' || series, ts FROM spine) WINDOW w AS (PARTITION BY series ORDER BY ts)) WHERE step IS NOT NULL GROUP BY 1, 2""", "s", "spine"))
+def spacing_steps(spark, folder):
+    grid = V.spine(spark, folder).select(F.concat(F.lit("grid-"), "series").alias("series"), "ts")
+    return tl.spacing_steps(V.raw_series(spark, folder).select("series", "ts").unionByName(grid), S, "ts")
+
+
 @query("range_sanity", sql(f"""SELECT series, count(*) FILTER (WHERE value < 0) AS n_negative, count(*) FILTER (WHERE NOT value BETWEEN 5 AND 200) AS n_out_of_range,
     count(*) FILTER (WHERE value IS NULL) AS n_null, {r('min(value)')} AS min_value, {r('max(value)')} AS max_value,
     {t('(SELECT ts FROM h k WHERE k.series = h.series AND value IS NOT NULL ORDER BY value, ts LIMIT 1)')} AS min_at,

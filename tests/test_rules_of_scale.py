@@ -126,3 +126,22 @@ def test_one_key_spreads_over_its_buckets(spark):
     line = spark.range(2000).select(F.lit("u").alias("k"), F.timestamp_seconds(F.col("id") * 86_400).alias("ts"), F.col("id").cast("double").alias("x"))
     got = running.running_max_before(line, ["k"], "ts", "x", "before")
     assert got.where("before = x - 1").count() == 1999 and got.where("before is null").count() == 1
+
+
+def test_one_island_is_ranked_by_many_tasks(spark):
+    """One key whose rows all hang together: the ranking is dealt by size over range partitions, and the largest rows are the right ones."""
+    rows = [("u", i, minutes(10 * i), minutes(10 * i + 15), None if i % 97 == 0 else float((i * 7919) % 500)) for i in range(2000)] + [("v", 9000, minutes(0), minutes(1), 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        islands = intervals._islands(df, ["unit"], "start", "end")
+        top = intervals._largest(islands, ["unit"], "id", "size", 700)
+        got = top.where("unit = 'u'").withColumn("task", F.spark_partition_id()).collect()
+        placed = running.global_positions(islands.withColumn("less", -F.col("size")), ["unit", "less", "id"], "at")
+        tasks = placed.where("unit = 'u'").select(F.spark_partition_id().alias("task")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    best = sorted((r for r in rows if r[0] == "u"), key=lambda r: (r[4] is None, -(r[4] or 0), r[1]))[:700]
+    assert {r["id"] for r in got} == {r[1] for r in best} and tasks > 1
+    assert [r["id"] for r in top.where("unit = 'v'").collect()] == [9000]
