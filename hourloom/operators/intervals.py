@@ -305,19 +305,23 @@ def _fold(ids: list, starts: list, ends: list) -> list:
     return out
 
 
+def _sized(islands: DataFrame, by: list[str]) -> DataFrame:
+    """Islands with the number of their rows."""
+    counts = islands.groupBy(*by, "__island").agg(F.count(F.lit(1)).alias("__n"))
+    return cut_lineage(islands.join(counts, [*by, "__island"]))
+
+
 def _largest(islands: DataFrame, by: list[str], row_id: str, size: str, most: int) -> DataFrame:
     """Of every island its `most` largest rows (a row without size comes last), islands that have no more as they are.
 
     Larger islands are ranked by range partitions with offsets, so one that holds a third of all rows is sorted by many tasks.
     """
-    keys = [*by, "__island"]
-    counts = islands.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    large = cut_lineage(counts.where(F.col("__n") > most).select(*keys))
+    large = islands.where(F.col("__n") > most)
     if large.isEmpty():
         return islands
-    ordered = islands.join(large, keys, "left_semi").withColumn("__none", F.col(size).isNull()).withColumn("__less", -F.col(size))
-    ranked = inference.group_positions(ordered, keys, ["__none", "__less", row_id], "__rank")
-    return islands.join(large, keys, "left_anti").unionByName(ranked.where(F.col("__rank") < most).select(*islands.columns))
+    ordered = large.withColumn("__none", F.col(size).isNull()).withColumn("__less", -F.col(size))
+    ranked = inference.group_positions(ordered, [*by, "__island"], ["__none", "__less", row_id], "__rank")
+    return islands.where(F.col("__n") <= most).unionByName(ranked.where(F.col("__rank") < most).select(*islands.columns))
 
 
 def greedy_interval_dedup(
@@ -342,9 +346,10 @@ def greedy_interval_dedup(
     schema = f"{keys}{row_id} {kind}, {start} timestamp, {end} timestamp, {size} {df.schema[size].dataType.simpleString()}, duplicate_of {kind}"
     decided = None
     while True:
-        islands = cut_lineage(_islands(rest, by, start, end))
-        now = _largest(islands, by, row_id, size, fold_rows).groupBy(*by, "__island").applyInPandas(decide, schema)
-        now = cut_lineage(now)
+        islands = _sized(_islands(rest, by, start, end), by)
+        alone = islands.where("__n = 1").select(*base.columns, F.lit(None).cast(kind).alias("duplicate_of"))
+        now = _largest(islands.where("__n > 1"), by, row_id, size, fold_rows).groupBy(*by, "__island").applyInPandas(decide, schema)
+        now = cut_lineage(alone.unionByName(now))
         decided = now if decided is None else decided.unionByName(now)
         left = rest.join(now.select(*by, row_id), [*by, row_id], "left_anti")
         left = cut_lineage(left)

@@ -135,7 +135,7 @@ def test_one_island_is_ranked_by_many_tasks(spark):
     was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        islands = intervals._islands(df, ["unit"], "start", "end")
+        islands = intervals._sized(intervals._islands(df, ["unit"], "start", "end"), ["unit"])
         top = intervals._largest(islands, ["unit"], "id", "size", 700)
         got = top.where("unit = 'u'").withColumn("task", F.spark_partition_id()).collect()
         placed = running.global_positions(islands.withColumn("less", -F.col("size")), ["unit", "less", "id"], "at")
