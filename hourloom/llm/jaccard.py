@@ -227,14 +227,14 @@ def _agree(percent: int):
 
 def agreeing(first: DataFrame, sets: DataFrame, percent: int, level: np.ndarray) -> DataFrame:
     """leader, class: groups of classes with a partner under every order."""
-    more = stored(sets.select("class", "tokens").mapInArrow(_more_prefixes(percent, level), "class long, ord int, token long"), "prefixes")
-    kept = _shared(more)
+    # read once, so they go straight into the shuffle
+    kept = _shared(sets.select("class", "tokens").mapInArrow(_more_prefixes(percent, level), "class long, ord int, token long"))
     # at most a prefix each; half of a token's bits are enough for a filter
     own = [F.collect_set(F.when(F.col("ord") == i, F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias(f"t{i}") for i in (1, 2)]
     filters = stored(kept.groupBy("class").agg(*own).where("size(t1) > 0 and size(t2) > 0").join(sets.select("class", "size"), "class"), "filters")
     members = first.join(filters.select("class", "size"), "class")
     found = stored(_tasks(members, filters).mapInArrow(_agree(percent), "leader long, class long").distinct(), "members")
-    forget(more)
+    forget(filters)
     return found
 
 
@@ -314,11 +314,15 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90, sketch_bits:
     prefixes = scanned.where("kind = 1").select("class", F.lit(0).alias("ord"), "token")
     sizes = rows.where("class is not null").groupBy("class").agg(F.max("n_shingles").alias("size"))
     first = leaders(prefixes, sizes, percent)
+    forget(scanned, "kind=1")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.min("text_hash").alias("any_hash"))
     wanted = first.select("class").distinct().join(classes, "class").select("class", F.col("doc_id").alias("own"), F.coalesce("text_hash", "any_hash").alias("own_hash"))
     texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash"))).select("class", "text")
     sets = stored(texts.mapInArrow(_sets(n), "class long, size long, tokens binary"), "sets")
-    roots = components(linked_classes(agreeing(first, sets, percent, level), sets, percent))
+    agreed = agreeing(first, sets, percent, level)
+    roots = components(linked_classes(agreed, sets, percent))
+    for done in (first, agreed, sets):
+        forget(done)
     named = classes.select("class", "doc_id").join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "doc_id")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = named.select("class", "root").join(least, "root")
