@@ -32,11 +32,12 @@ def gates(spark, folder, events):
 
 
 def forecast_inputs(spark, folder):
-    """Features with both drivers as known at the origin, and the models of the days on which the target has all its hours."""
+    """Features with both drivers as known at the origin, and the models of the days on which the target has at least the mean number of hours."""
     known = cut_lineage(M.features(spark, folder, override=M.persistence(spark, folder, ["error", "signup"])))
     terms, heads = M.hashed_models(known)
     target = ft.day_hour_profile(V.hourly(spark, folder).where(F.col("series") == TARGET), ["series"], "ts", "value", TZ)
-    whole = target.groupBy("day").agg(F.count("value").alias("n")).where("n = 24").select("day")
+    hours = target.groupBy("day").agg(F.count("value").alias("n"))
+    whole = hours.where(F.col("n") >= hours.agg(F.avg("n").alias("n")).select("n").scalar()).select("day")
     return known, cut_lineage(terms), heads.join(whole, "day", "left_semi"), target
 
 
@@ -70,7 +71,7 @@ P = dict(
     eh=f"""SELECT ed.*, hour, timezone('UTC', timezone('{TZ}', day + CAST(hour AS INTEGER) * INTERVAL 1 HOUR)) AS h0 FROM ed, (SELECT unnest(range(0, 24)) AS hour)""",
     gt=f"""SELECT g.driver, g.day, x.value FROM (SELECT driver, day, timezone('UTC', timezone('{TZ}', day - INTERVAL 12 HOUR)) AS gate FROM (SELECT DISTINCT driver, day FROM ed)) g
         ASOF LEFT JOIN (SELECT * FROM h WHERE value IS NOT NULL) x ON x.series = g.driver AND x.ts <= g.gate""",
-    md=f"SELECT day FROM slots WHERE series = '{TARGET}' GROUP BY day HAVING count(value) = 24",
+    md=f"SELECT day FROM (SELECT day, count(value) AS n FROM slots WHERE series = '{TARGET}' GROUP BY day) QUALIFY n >= avg(n) OVER ()",
     days=M.DAYS, fm=M.FM, gk=M.GATE,
     kn="""SELECT fm.day, feature, CASE WHEN feature LIKE 'error_d_h%' THEN coalesce(a.value, fm.value) WHEN feature LIKE 'signup_d_h%' THEN coalesce(b.value, fm.value) ELSE fm.value END AS value
         FROM fm LEFT JOIN gk a ON a.day = fm.day AND a.series = 'error' LEFT JOIN gk b ON b.day = fm.day AND b.series = 'signup'""",
