@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 # Words a Python worker remembers, twice at most. It bounds memory and changes no result.
 CACHED_WORDS = 300_000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Remembered(dict):
@@ -46,11 +47,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts the lineage and survives lost executors."""
-    folder = scratch(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """Write a table to the shared folder and read it back: it cuts the lineage and survives lost executors. Its shuffle files, which nothing
+    reads once the table is written, are deleted with the end of the write."""
+    spark = df.sparkSession
+    folder, before = scratch(spark, name), spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def forget(df: DataFrame, part: str = "") -> None:

@@ -4,17 +4,19 @@ If two sets have similarity t or more, then under any one order of all tokens th
 `size - ceil(t * size) + 1` of each. Three orders are used. Each puts tokens that many documents have last (their counts come
 from a sketch of fixed size, so two tokens may share a count; any order is valid), and within that sorts by a different hash.
 
-1.  One pass over the texts gives the sketch.
-2.  A second pass gives a fingerprint of each document's set, by which documents with equal sets form a class, and the prefix tokens of
-    each class under the first order. A token that several classes have is replaced by the smallest of
-    them, its leader: all classes that share the token share the leader. The sets of classes with a leader and a neighbour of fitting size there are kept, and give their prefix tokens
-    under the other orders. Of the classes below a leader, those stay that have a partner there of fitting size that shares a prefix token under
-    each of the other orders too.
+1.  One pass over the texts gives a fingerprint of each document's set, by which documents with equal sets form a class, and packets of
+    tokens by hash range, each token once for a group of documents. Where the packets of a range meet, the tokens that one document alone has
+    are known, and their number goes back to the group. A class with a whole prefix of such tokens is similar to none: under an order that
+    has them first it shares no prefix token. Only the sets of the other classes are kept.
+2.  A sketch of these sets tells the frequent tokens. A token that several classes have in their prefix under the first order is replaced by
+    the smallest of them, its leader: all classes that share the token share the leader. Of the classes below a leader with a neighbour of
+    fitting size there, those stay that have a partner of fitting size that shares a prefix token under each of the other orders too.
 3.  The classes of a leader are verified together by exact intersection counts. Large groups are cut into chunks; each task
     compares two chunks and returns one link for each member to the smallest one it reaches, never the pairs.
 4.  Components of these links, by `graph.components`.
 
-Only fingerprints, prefixes and the sets of candidates are shuffled. Tokens are 64-bit hashes of word n-grams.
+Only fingerprints, packets, and the texts, prefixes and sets of candidates are shuffled. Tokens are 64-bit hashes of word n-grams; a packet has 41 bits or more of
+each, of every second token by hash. Tokens that agree there count as one that both documents have, which costs work and no link.
 
 Rows: every row gives one row. A text that is null or has no word has an empty set and is linked with nothing; one with fewer than
 n words has its whole sequence as its only token. Rows that repeat are linked by their equal sets. A component without any doc_id
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,11 @@ SEEDS = (0x51ED270B1A5B3C97, 0x2F8D1C3B5A697887, 0x6C0793E1D2B4A5F3)
 CHUNK = 512  # classes of a leader that are compared in one task with as many others
 CHUNK_TOKENS = 400_000
 COLUMNS = 4096
+GROUP_TOKENS = 1_000_000  # tokens of a group of documents, at which it is closed
+GROUP_CLASSES = 60_000
+RANGES = 512  # hash ranges at least
+RANGE_BYTES = 32 << 20  # text for each hash range, at most
+SHARED = 0xFFFF  # instead of a document: several of the group have the token
 
 
 def token_set(hashes: WordHashes, text: str, n: int) -> np.ndarray:
@@ -49,21 +57,14 @@ def class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sketch(n: int, bits: int):
-    """Counts of all n-grams by the leading bits of their hash, in blocks of little-endian numbers."""
+def _sketch(bits: int):
+    """Counts of the tokens of all sets by the leading bits of their hash, in blocks of little-endian numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketch, held, waiting = WordHashes(), np.zeros(1 << bits, np.uint32), [], 0
-        shift = np.uint64(64 - bits)
+        sketch, shift = np.zeros(1 << bits, np.uint32), np.uint64(64 - bits)
         for batch in batches:
-            for text in texts_of(batch):
-                held.append(runs_of(hashes.of(text.encode().lower().split()), n))
-                waiting += len(held[-1])
-                if waiting > 1 << bits:
-                    sketch += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-                    held, waiting = [], 0
-        if held:
-            sketch += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64)
+            sketch += np.bincount((tokens >> shift).astype(np.int64), minlength=1 << bits).astype(np.uint32)
         if sketch.any():
             blocks = [x.astype("<u4").tobytes() for x in np.split(sketch, 64)]
             yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(blocks, pa.binary())], ["block", "counts"])
@@ -92,49 +93,117 @@ def levels(sketch_rows: DataFrame, bits: int) -> np.ndarray:
     return np.where(over > 6 * np.sqrt(mean) + 8, np.log2(np.maximum(over, 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
 
 
+def prefix_length(size, percent: int):
+    return size - -(-percent * size // 100) + 1
+
+
 def first_tokens(tokens: np.ndarray, percent: int, level: np.ndarray, seed: int) -> np.ndarray:
     """The prefix of a set under one order: tokens that few documents have first, then by hash."""
-    most = len(tokens) - -(-percent * len(tokens) // 100) + 1
+    most = prefix_length(len(tokens), percent)
     weight = level[tokens >> np.uint64(64 - (len(level).bit_length() - 1))]
     return tokens[np.lexsort((mix(tokens ^ np.uint64(seed)), weight))[:most]].view(np.int64)
 
 
-def _classes(n: int, percent: int, level: np.ndarray):
-    """kind 0: doc_id, text_hash, n_shingles, class of each document; kind 1: class, token of the prefixes under the first order."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("token", pa.int64()), ("kind", pa.int32())])
+SCAN = "doc_id long, text_hash long, n_shingles long, class long, part long, range long, tokens binary, owners binary, kind int"
+
+
+def _packets(part: int, names: list[int], sets: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(range, tokens, owners) of a group of classes: of every second token by hash the 32 bits after those of its range, in order, and the position of the one
+    class that has it, or SHARED. Range -1 has the classes and their sizes."""
+    yield -1, np.array(names, "<i8").tobytes(), np.array([len(x) for x in sets], "<i8").tobytes()
+    half = [x[x & np.uint64(1) == 0] for x in sets]
+    tokens, owner = np.concatenate(half), np.repeat(np.arange(len(half), dtype="<u2"), [len(x) for x in half])
+    order = np.argsort(tokens)
+    tokens, owner = tokens[order], owner[order]
+    first = np.r_[True, tokens[1:] != tokens[:-1]][: len(tokens)]
+    owner = np.where(np.r_[first[1:], True][: len(tokens)], owner, SHARED).astype("<u2")[first]
+    tokens = tokens[first]
+    cuts = np.searchsorted(tokens >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    short = ((tokens >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+    for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        yield int(i), short[cuts[i] : cuts[i + 1]].tobytes(), owner[cuts[i] : cuts[i + 1]].tobytes()
+
+
+def _scan(n: int, bits: int):
+    """kind 0: doc_id, text_hash, n_shingles, class of each document; kind 1: the packets (part, range, tokens, owners) of groups of classes."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "n_shingles", "class", "part", "range")] + [("tokens", pa.binary()), ("owners", pa.binary()), ("kind", pa.int32())])
+
+    def packets(part: int, held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        ranges, tokens, owners = zip(*_packets(part, list(held), list(held.values()), bits), strict=True)
+        none, many = pa.nulls(len(ranges), pa.int64()), len(ranges)
+        named = pa.array(np.full(many, part)), pa.array(ranges, pa.int64()), pa.array(tokens, pa.binary()), pa.array(owners, pa.binary())
+        return pa.RecordBatch.from_arrays([none, none, none, none, *named, pa.array(np.ones(many, np.int32))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, held, waiting, part = WordHashes(), {}, 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            sizes, classes, names, found = [], [], [], []
+            sizes, classes = [], []
             for text in texts_of(batch):
                 tokens = token_set(hashes, text, n)
                 sizes.append(len(tokens))
                 classes.append(class_of(tokens) if len(tokens) else None)
-                if not len(tokens) or classes[-1] in seen:
-                    continue
-                if len(seen) < 1_000_000:  # only saves rows that the next step would merge
-                    seen.add(classes[-1])
-                found.append(first_tokens(tokens, percent, level, SEEDS[0]))
-                names.append(np.full(len(found[-1]), classes[-1], np.int64))
-            rows, many = batch.num_rows, sum(map(len, found))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(np.zeros(rows, np.int32))], schema=schema)
-            if many:
-                none = pa.nulls(many, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.concatenate(names)), pa.array(np.concatenate(found)), pa.array(np.ones(many, np.int32))], schema=schema)
+                if len(tokens) and classes[-1] not in held:
+                    held[classes[-1]] = tokens
+                    waiting += len(tokens)
+                if waiting >= GROUP_TOKENS or len(held) >= GROUP_CLASSES:
+                    yield packets(part, held)
+                    held, waiting, part = {}, 0, part + 1
+            rows = batch.num_rows
+            none, no_bytes = pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, none, no_bytes, no_bytes, pa.array(np.zeros(rows, np.int32))], schema=schema)
+        if held:
+            yield packets(part, held)
 
     return run
 
 
-def _more_prefixes(percent: int, level: np.ndarray):
-    """class, ord, token under the other orders, from sets."""
+def _alone(packets: pa.Table) -> pa.Table:
+    """Of one hash range: the owners of tokens that one class of one group alone has."""
+    parts = packets.column("part").to_numpy()
+    tokens = [np.frombuffer(x, "<u4") for x in packets.column("tokens").to_pylist()]
+    at = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+    tokens, owner = np.concatenate(tokens), np.frombuffer(b"".join(packets.column("owners").to_pylist()), "<u2")
+    order = np.argsort(tokens)
+    differs = tokens[order][1:] != tokens[order][:-1]
+    once = order[np.r_[True, differs] & np.r_[differs, True]]
+    once = np.sort(once[owner[once] != SHARED])
+    cuts = np.searchsorted(at[once], np.arange(len(parts) + 1))
+    owners = [owner[once[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.table([pa.array(parts), pa.nulls(len(parts), pa.binary()), pa.array(owners, pa.binary())], names=["part", "tokens", "owners"])
+
+
+def _open_classes(percent: int):
+    """Of one group: the classes without a whole prefix of tokens that they alone have."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        alone, names, sizes = 0, None, None
+        for tokens, owners in zip(rows.column("tokens").to_pylist(), rows.column("owners").to_pylist(), strict=True):
+            if tokens is None:
+                alone = alone + np.bincount(np.frombuffer(owners, "<u2"), minlength=GROUP_CLASSES)
+            else:
+                names, sizes = np.frombuffer(tokens, "<i8"), np.frombuffer(owners, "<i8")
+        few = np.zeros(len(names), np.int64) + (alone if np.isscalar(alone) else alone[: len(names)]) < prefix_length(sizes, percent)
+        return pa.table([pa.array(names[few])], names=["class"])
+
+    return run
+
+
+def open_classes(packets: DataFrame, percent: int) -> DataFrame:
+    """class: those that could be similar to another class, and those with equal sets in several groups."""
+    names = packets.where("range < 0").select("part", "tokens", "owners")
+    alone = packets.where("range >= 0").select("part", "range", "tokens", "owners").groupBy("range").applyInArrow(_alone, "part long, tokens binary, owners binary")
+    return stored(alone.unionByName(names).groupBy("part").applyInArrow(_open_classes(percent), "class long").distinct(), "open")
+
+
+def _prefixes(percent: int, level: np.ndarray, *orders: int):
+    """class, ord, token under these orders, from sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("class").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 tokens = np.frombuffer(data, np.uint64)
-                for i, seed in enumerate(SEEDS[1:], 1):
-                    found = first_tokens(tokens, percent, level, seed)
+                for i in orders:
+                    found = first_tokens(tokens, percent, level, SEEDS[i])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name, np.int64)), pa.array(np.full(len(found), i, np.int32)), pa.array(found)], ["class", "ord", "token"])
 
     return run
@@ -228,7 +297,7 @@ def _agree(percent: int):
 def agreeing(first: DataFrame, sets: DataFrame, percent: int, level: np.ndarray) -> DataFrame:
     """leader, class: groups of classes with a partner under every order."""
     # read once, so they go straight into the shuffle
-    kept = _shared(sets.select("class", "tokens").mapInArrow(_more_prefixes(percent, level), "class long, ord int, token long"))
+    kept = _shared(sets.select("class", "tokens").mapInArrow(_prefixes(percent, level, 1, 2), "class long, ord int, token long"))
     # at most a prefix each; half of a token's bits are enough for a filter
     own = [F.collect_set(F.when(F.col("ord") == i, F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias(f"t{i}") for i in (1, 2)]
     filters = stored(kept.groupBy("class").agg(*own).where("size(t1) > 0 and size(t2) > 0").join(sets.select("class", "size"), "class"), "filters")
@@ -306,19 +375,22 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90, sketch_bits:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least `percent` similarity), text_hash,
     root (one value for each component, null for an empty set)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    sketch = stored(keyed.select("text").mapInArrow(_sketch(n, sketch_bits), "block int, counts binary"), "sketch")
-    level = levels(sketch, sketch_bits)
-    forget(sketch)
-    scanned = stored(keyed.mapInArrow(_classes(n, percent, level), "doc_id long, text_hash long, n_shingles long, class long, token long, kind int"), "scan", "kind")
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(RANGES, size // RANGE_BYTES).bit_length() - 1
+    scanned = stored(keyed.mapInArrow(_scan(n, bits), SCAN), "scan", "kind")
     rows = scanned.where("kind = 0").select("doc_id", "text_hash", "n_shingles", "class")
-    prefixes = scanned.where("kind = 1").select("class", F.lit(0).alias("ord"), "token")
-    sizes = rows.where("class is not null").groupBy("class").agg(F.max("n_shingles").alias("size"))
-    first = leaders(prefixes, sizes, percent)
+    left = open_classes(scanned.where("kind = 1"), percent)
     forget(scanned, "kind=1")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.min("text_hash").alias("any_hash"))
-    wanted = first.select("class").distinct().join(classes, "class").select("class", F.col("doc_id").alias("own"), F.coalesce("text_hash", "any_hash").alias("own_hash"))
+    wanted = left.join(classes, "class").select("class", F.col("doc_id").alias("own"), F.coalesce("text_hash", "any_hash").alias("own_hash"))
     texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash"))).select("class", "text")
-    sets = stored(texts.mapInArrow(_sets(n), "class long, size long, tokens binary"), "sets")
+    sets = stored(texts.mapInArrow(_sets(n), "class long, size long, tokens binary").dropDuplicates(["class"]), "sets")
+    forget(left)
+    sketch = stored(sets.select("tokens").mapInArrow(_sketch(sketch_bits), "block int, counts binary"), "sketch")
+    level = levels(sketch, sketch_bits)
+    forget(sketch)
+    prefixes = sets.select("class", "tokens").mapInArrow(_prefixes(percent, level, 0), "class long, ord int, token long")
+    first = leaders(prefixes, sets.select("class", "size"), percent)
     agreed = agreeing(first, sets, percent, level)
     roots = components(linked_classes(agreed, sets, percent))
     for done in (first, agreed, sets):

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,28 @@ def test_links_equal_all_pairs(spark, monkeypatch, n, percent):
     assert got == components([(r[0], r[1]) for r in rows], n, percent)
 
 
+def test_tokens_of_one_class_alone_are_counted_over_groups():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(12)]
+    sets = [np.unique(np.r_[x[:200], sets[i // 2][200:]]) for i, x in enumerate(sets)]
+    packets = []
+    for part in range(3):
+        own = range(part, 12, 3)
+        packets += [(part, *p) for p in jaccard._packets(part, list(own), [sets[i] for i in own], 4)]
+    got = {}
+    for at in range(16):
+        rows = [p for p in packets if p[1] == at]
+        met = jaccard._alone(pa.table({"part": [p[0] for p in rows], "tokens": [p[2] for p in rows], "owners": [p[3] for p in rows]}))
+        for part, owners in zip(met["part"].to_pylist(), met["owners"].to_pylist(), strict=True):
+            for o in np.frombuffer(owners, "<u2"):
+                got[part + 3 * int(o)] = got.get(part + 3 * int(o), 0) + 1
+    seen, many = np.unique(np.concatenate(sets), return_counts=True)
+    alone = set(seen[many == 1].tolist())
+    assert got == {i: sum(t in alone and t % 2 == 0 for t in x.tolist()) for i, x in enumerate(sets)}
+    names = pa.table({"part": [p[0] for p in packets if p[1] < 0], "tokens": [p[2] for p in packets if p[1] < 0], "owners": [p[3] for p in packets if p[1] < 0]})
+    assert sorted(x for i in range(3) for x in jaccard._open_classes(90)(names.slice(i, 1))["class"].to_pylist()) == list(range(12))  # none alone: all stay
+
+
 def test_one_of_each(spark):
     kept = jaccard.one_of_each(odd(spark))
     ids = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")[1:2] for r in kept.collect())
