@@ -46,6 +46,8 @@ def test_tokens_of_one_class_alone_are_counted_over_groups():
     got = {}
     for at in range(16):
         rows = [p for p in packets if p[1] == at]
+        if not rows:
+            continue
         met = jaccard._alone(pa.table({"part": [p[0] for p in rows], "tokens": [p[2] for p in rows], "owners": [p[3] for p in rows]}))
         for part, owners in zip(met["part"].to_pylist(), met["owners"].to_pylist(), strict=True):
             for o in np.frombuffer(owners, "<u2"):
