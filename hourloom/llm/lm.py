@@ -1,16 +1,16 @@
 """Log probabilities of texts: add-one word frequencies, and a causal self-attention model over subword ids.
 
-The words of a text (A-Z in lower case, cut at ASCII white space) and one end are its tokens. Counts of the training words are gathered over the whole corpus: documents are
-dealt into chunks of bounded size, every chunk sends each of its words once, and gets back the counts of its own words.
+The words of a text (A-Z in lower case, cut at ASCII white space) and one end are its tokens. Every text is cut and encoded once: a task stores chunks of bounded size, the ids and the numbers
+of the words of each document beside one row for each distinct word of the chunk. Words are counted over the whole corpus from these rows, and a chunk gets back the counts of its own words.
 
 The model sees the words as ids of a public byte-level vocabulary (a blank before each word, the end last), and predicts the class of the next id: each of the most
-frequent ids is a class, the others share classes of about equal weight. The probability of an id is that of its class times its add-one share of the class, from the counts of all training
-documents. The model is one layer of masked attention with learned positions, trained in numpy by Adam over all windows of all training rows: in each of ROUNDS rounds every task
-starts from the common weights and learns from its share of the rows, and the tasks' weights are averaged by their numbers of windows, in groups before the driver. A text is scored in overlapping windows of WINDOW ids: each window scores its
+frequent ids is a class, the others share classes of about equal weight. Classes of neighbouring frequency are a family; the probability of an id is that of the family, times that of the class in
+the family, times the id's add-one share of the class, from the counts of all training documents. The model is one layer of masked attention with learned positions. It starts at the frequencies of
+the classes and is trained in numpy by Adam over all windows of all training rows, each once: in each of ROUNDS rounds every task starts from the common weights and learns from its share of the
+round's rows, and the tasks' weights are averaged by their numbers of windows, in groups before the driver. A text is scored in overlapping windows of WINDOW ids: each window scores its
 last STRIDE ids once, and the ids before them are context; windows of many texts go through masked attention together.
 
-Only the averaged weights come to the driver. Tables of under EPOCHS * FEW windows are passed over up to EPOCHS times. `fit_docs` and `fit_windows` bound the training (smallest hashes
-first) for a caller that asks for it; all counts cover every training document anyway. How rows lie in partitions has a part in the weights, but a task that runs again repeats its own.
+Only the averaged weights and the vocabulary's counts come to the driver. How rows lie in files has a part in the weights, but a task that runs again repeats its own.
 
 Rows: every row gives one row. A null text is empty and consists of the end alone. Repeated rows are repeated and count each time; whole texts are scored whatever their length. Words are counted by
 64-bit hashes. Other columns are ignored; an empty table gives an empty table. Without a training text N and V are 0 and classes are shared evenly.
@@ -19,24 +19,31 @@ Rows: every row gives one row. A null text is empty and consists of the end alon
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import Remembered, WordHashes, stored, texts_of
+from hourloom.llm.common import Remembered, stored
 from hourloom.llm.packed import library_ids
 
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
+WORD, ID = -1, -2  # kinds of rows beside documents
 WINDOW, STRIDE, WIDTH = 32, 24, 32
-SINGLE, SHARED = 192, 64  # classes of one id, classes of several
-INPUTS = 4_096  # frequent ids that have an input vector of their own; others have that of their class
-ROUNDS, EPOCHS, FEW, BATCH = 8, 3, 60_000, 256
+FAMILIES, MEMBERS = 32, 32  # an id's class is predicted in two steps, its family and its place there
+CLASSES, SHARED = FAMILIES * MEMBERS, 64  # all classes, those of several ids
+SINGLE = CLASSES - SHARED
+INPUTS = 2_048  # frequent ids that have an input vector of their own; others have that of their class
+SCALE = np.float32(WIDTH**-0.5)
+ROUNDS, BATCH, RATE = 8, 64, 0.02
 MIXED = 64 * BATCH  # windows of neighbouring rows that are put in a random order
 GROUPS = 32  # partial averages that come to the driver
+HELD_OUT = ROUNDS
 END = b""
 LAST = STRIDE - WINDOW  # a window's scored ids, counted from its end
 
@@ -47,6 +54,7 @@ class Ids:
     def __init__(self, path: str):
         self.library = library_ids(path)
         self.end = self.library.vocabulary
+        self.type = "<u2" if self.end < 65_536 else "<u4"
         self.of = Remembered(self._word)
 
     def _word(self, word: bytes) -> bytes:
@@ -55,7 +63,7 @@ class Ids:
         return self.library.encode_word(" " + word.decode())
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.of.__getitem__, words)), "<u4").astype(np.int64)
+        return np.frombuffer(b"".join(map(self.of.__getitem__, words)), "<u4")
 
 
 @functools.cache
@@ -79,13 +87,14 @@ class Classes:
         self.of = np.empty(len(counts), np.int64)
         self.of[order[:SINGLE]] = np.arange(min(SINGLE, len(order)))
         self.of[order[SINGLE:]] = SINGLE + shared
-        total = np.bincount(self.of, counts + 1, minlength=SINGLE + SHARED)
-        self.share = np.log10((counts + 1) / total[self.of])
+        self.mass = np.bincount(self.of, counts + 1, minlength=CLASSES)
+        self.share = np.log10((counts + 1) / self.mass[self.of])
         self.row = np.where(rank < INPUTS, rank, INPUTS + self.of) + 1  # row 0 stands before the text
 
 
 def windows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one text: input rows (windows, WINDOW; -1 before the text), and the ids each window scores (-1 beyond the text)."""
+    ids = ids.astype(np.int64)
     n = -(-len(ids) // STRIDE)
     place = np.arange(n)[:, None] * STRIDE + np.arange(LAST, STRIDE)[None, :]
     inputs = np.where(place > 0, rows[ids[np.clip(place - 1, 0, len(ids) - 1)]], np.where(place == 0, 0, -1))
@@ -103,83 +112,115 @@ def cut(ids: np.ndarray, classes: Classes) -> Iterator[tuple[np.ndarray, np.ndar
         yield inputs[lead // STRIDE :], np.where(wanted >= 0, classes.of[np.maximum(wanted, 0)], -1)
 
 
-MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(-LAST, WINDOW)[:, None], 0, -1e9).astype(np.float32)
-OPEN = (MASK == 0).astype(np.float32)
+OPEN = (np.arange(WINDOW)[None, :] <= np.arange(-LAST, WINDOW)[:, None]).astype(np.float32)
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
+def keep_heap() -> None:
+    """A freed block of this size makes glibc keep memory of smaller arrays in the process instead of asking the system for it at every product."""
+    np.empty(30_000_000, np.uint8)
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place; exponents of 60 and more count as 60."""
+    np.exp(np.minimum(x, 60, out=x), out=x)
     x /= x.sum(axis=-1, keepdims=True)
     return x
 
 
 class Attention:
-    def __init__(self, seed: int = 11):
-        self.windows_seen = 0  # windows it learned from, each pass counted
-        rng = np.random.default_rng(seed)
-        shape = {"e": (1 + INPUTS + SINGLE + SHARED, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "u": (WIDTH, SINGLE + SHARED), "b": (SINGLE + SHARED,)}
-        self.w = {n: (rng.normal(size=s) * (0.1 if n in "ep" else 0.25) * (n != "b")).astype(np.float32) for n, s in shape.items()}
-
-    def forward(self, inputs: np.ndarray) -> tuple[np.ndarray, ...]:
-        w = self.w
-        x = w["e"][np.maximum(inputs, 0)] + w["p"]
-        q, k, v = x[:, -STRIDE:] @ w["q"], x @ w["k"], x @ w["v"]
-        scores = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + MASK
-        scores += np.where(inputs < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-        a = softmax(scores)
-        mixed = a @ v
-        h = x[:, -STRIDE:] + mixed @ w["o"]
-        return x, q, k, v, a, mixed, h, softmax(h @ w["u"] + w["b"])
+    """Weights: `e` input vectors, `p` positions, `a` products of a position with those before it, `v` what they bring, `g` and `c` families of classes, `m` and `d` classes of a family."""
 
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """log10 probability of each target class, 0 where it is -1. As `forward`, but sums are divided by after the products."""
+    def __init__(self, classes: Classes | None = None, seed: int = 11):
+        self.windows_seen = 0  # windows it learned from
+        rng = np.random.default_rng(seed)
+        shape = {"e": (1 + INPUTS + CLASSES, WIDTH), "p": (WINDOW, WIDTH), "a": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "g": (WIDTH, FAMILIES), "c": (FAMILIES,), "m": (FAMILIES, WIDTH, MEMBERS), "d": (FAMILIES, MEMBERS)}
+        self.w = {n: (rng.normal(size=s) * 0.1 * (n not in "cd")).astype(np.float32) for n, s in shape.items()}
+        if classes is not None:  # it starts at the frequencies of the classes
+            mass = classes.mass.reshape(FAMILIES, MEMBERS) + 1e-3
+            self.w["c"][:] = np.log(mass.sum(axis=1) / mass.sum())
+            self.w["d"][:] = np.log(mass / mass.sum(axis=1, keepdims=True))
+
+    def context(self, inputs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Input vectors, their scaled products, attention, its mean, and the vector that predicts, of the last STRIDE places of each window."""
         w = self.w
         x = w["e"][np.maximum(inputs, 0)]
         x += w["p"]
         late = np.ascontiguousarray(x[:, -STRIDE:])
-        mass = (late @ (w["q"] * np.float32(WIDTH**-0.5))) @ (x @ w["k"]).transpose(0, 2, 1)
+        t = (late.reshape(-1, WIDTH) @ (w["a"] * SCALE)).reshape(late.shape)
+        mass = t @ x.transpose(0, 2, 1)
         np.exp(np.minimum(mass, 60, out=mass), out=mass)
         mass *= OPEN
-        mass *= (inputs >= 0)[:, None, :]
-        mixed = mass @ (x @ (w["v"] @ w["o"]))
-        mixed /= mass.sum(axis=2, keepdims=True)
-        mixed += late
-        logits = mixed.reshape(-1, WIDTH) @ w["u"]
-        logits += w["b"]
+        if inputs.min() < 0:
+            mass *= (inputs >= 0)[:, None, :]
+        mass /= mass.sum(axis=2, keepdims=True)
+        mean = mass @ x
+        h = (mean.reshape(-1, WIDTH) @ w["v"]).reshape(late.shape)
+        h += late
+        return x, t, mass, mean, h
+
+    def families(self, h: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows of h that have a target in the order of their families, the targets, bounds of the families, and softmax over families and over classes of the own family."""
+        w = self.w
         flat = targets.ravel()
-        wanted = logits[np.arange(len(flat)), np.maximum(flat, 0)]
-        total = np.exp(np.minimum(logits, 60, out=logits), out=logits).sum(axis=1)
-        return np.where(flat >= 0, (wanted - np.log(total)) * np.log10(np.e), 0).reshape(targets.shape)
+        order = np.flatnonzero(flat >= 0)
+        order = order[np.argsort((flat[order] // MEMBERS).astype(np.int16), kind="stable")]
+        h, flat = h.reshape(-1, WIDTH)[order], flat[order]
+        bounds = np.searchsorted(flat // MEMBERS, np.arange(FAMILIES + 1))
+        outer = h @ w["g"]
+        outer += w["c"]
+        inner = np.empty((len(h), MEMBERS), h.dtype)
+        for f in np.flatnonzero(np.diff(bounds)):
+            own = slice(bounds[f], bounds[f + 1])
+            np.matmul(h[own], w["m"][f], out=inner[own])
+            inner[own] += w["d"][f]
+        return h, order, flat, bounds, spread(outer), spread(inner)
+
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """log10 probability of each target class, 0 where it is -1."""
+        h, order, flat, _, outer, inner = self.families(self.context(inputs)[-1], targets)
+        at, out = np.arange(len(flat)), np.zeros(targets.size)
+        out[order] = np.log10(outer[at, flat // MEMBERS].astype(np.float64) * inner[at, flat % MEMBERS])
+        return out.reshape(targets.shape)
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy of the classes; targets -1 do not count."""
         w = self.w
-        x, q, k, v, a, mixed, h, p = self.forward(inputs)
-        real = targets >= 0
-        d = p
-        b, s = np.nonzero(real)
-        d[b, s, targets[b, s]] -= 1
-        d *= real[..., None] / np.float32(max(real.sum(), 1))
-        g = {"b": d.sum(axis=(0, 1)), "u": np.einsum("bsd,bsc->dc", h, d, optimize=True)}
-        dh = d @ w["u"].T
-        g["o"] = np.einsum("bsd,bse->de", mixed, dh, optimize=True)
-        dm = dh @ w["o"].T
-        da = dm @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (a * da).sum(axis=-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        late = x[:, -STRIDE:]
-        g["q"] = np.einsum("bsd,bse->de", late, dq, optimize=True)
-        g["k"], g["v"] = (np.einsum("bsd,bse->de", x, y, optimize=True) for y in (dk, dv))
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, -STRIDE:] += dh + dq @ w["q"].T
-        dx *= (inputs >= 0)[..., None]
+        x, t, a, mean, full = self.context(inputs)
+        h, order, flat, bounds, outer, inner = self.families(full, targets)
+        at, share = np.arange(len(flat)), 1 / max(len(flat), 1)
+        outer[at, flat // MEMBERS] -= 1
+        inner[at, flat % MEMBERS] -= 1
+        outer *= share
+        inner *= share
+        g = {"g": h.T @ outer, "c": outer.sum(axis=0), "m": np.zeros_like(w["m"]), "d": np.zeros_like(w["d"])}
+        back = outer @ w["g"].T
+        for f in np.flatnonzero(np.diff(bounds)):
+            own = slice(bounds[f], bounds[f + 1])
+            g["m"][f] = h[own].T @ inner[own]
+            g["d"][f] = inner[own].sum(axis=0)
+            back[own] += inner[own] @ w["m"][f].T
+        dh = np.zeros_like(full)
+        dh.reshape(-1, WIDTH)[order] = back
+        g["v"] = mean.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
+        dm = (dh.reshape(-1, WIDTH) @ w["v"].T).reshape(dh.shape)
+        ds = dm @ x.transpose(0, 2, 1)
+        dx = a.transpose(0, 2, 1) @ dm
+        ds -= np.einsum("bsd,bsd->bs", dm, mean)[..., None]  # the mean of ds under a
+        ds *= a
+        dx += ds.transpose(0, 2, 1) @ t
+        dt = (ds @ x).reshape(-1, WIDTH)
+        g["a"] = x[:, -STRIDE:].reshape(-1, WIDTH).T @ dt * SCALE
+        dh += (dt @ (w["a"].T * SCALE)).reshape(dh.shape)
+        dx[:, -STRIDE:] += dh
+        if inputs.min() < 0:
+            dx *= (inputs >= 0)[..., None]
         g["p"] = dx.sum(axis=0)
         g["e"] = np.zeros_like(w["e"])
-        flat = np.maximum(inputs, 0).ravel()
-        for c in range(WIDTH):
-            g["e"][:, c] = np.bincount(flat, dx[..., c].ravel(), minlength=len(w["e"]))
+        rows = np.maximum(inputs, 0).ravel()
+        by_row = np.argsort(rows.astype(np.int16), kind="stable")
+        rows = rows[by_row]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        g["e"][rows[first]] = np.add.reduceat(dx.reshape(-1, WIDTH)[by_row], first, axis=0)
         return g
 
     def flat(self) -> np.ndarray:
@@ -191,26 +232,37 @@ class Attention:
             self.w[n] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
             at += x.size
 
-    def train(self, parts: Iterator[np.ndarray], rate: float, seed: int) -> int:
-        """One pass of Adam over rows of inputs and target classes side by side. Returns their number."""
+    def train(self, parts: Iterator[tuple[np.ndarray, np.ndarray]], rate: float, seed: int) -> int:
+        """One pass of Adam over windows, inputs and target classes. Returns their number."""
         rng = np.random.default_rng(seed)
         m, v = ({n: np.zeros_like(x) for n, x in self.w.items()} for _ in range(2))
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = seen = t = 0
 
         def learn() -> None:
             nonlocal t
-            data = rng.permutation(np.concatenate(held)).astype(np.int64)
-            for at in range(0, len(data), BATCH):
+            inputs, targets = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = rng.permutation(len(inputs))
+            for at in range(0, len(order), BATCH):
                 t += 1
-                for n, g in self.gradients(data[at : at + BATCH, :WINDOW], data[at : at + BATCH, WINDOW:]).items():
-                    m[n] = 0.9 * m[n] + 0.1 * g
-                    v[n] = 0.99 * v[n] + 0.01 * g * g
-                    self.w[n] = self.w[n] - (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+                some = order[at : at + BATCH]
+                step = np.float32(rate * math.sqrt(1 - 0.99**t) / (1 - 0.9**t))
+                for n, g in self.gradients(inputs[some], targets[some]).items():
+                    m[n] *= np.float32(0.9)
+                    m[n] += np.float32(0.1) * g
+                    g *= g
+                    g *= np.float32(0.01)
+                    v[n] *= np.float32(0.99)
+                    v[n] += g
+                    np.sqrt(v[n], out=g)
+                    g += np.float32(1e-7)
+                    np.divide(m[n], g, out=g)
+                    g *= step
+                    self.w[n] -= g
 
         for part in parts:
             held.append(part)
-            waiting, seen = waiting + len(part), seen + len(part)
+            waiting, seen = waiting + len(part[0]), seen + len(part[0])
             if waiting >= MIXED:
                 learn()
                 held, waiting = [], 0
@@ -218,25 +270,26 @@ class Attention:
             learn()
         return seen
 
-    def scores(self, texts: list[np.ndarray], classes: Classes) -> np.ndarray:
+    def scores(self, texts: Iterable[np.ndarray], classes: Classes) -> list[float]:
         """log10 probability of each id sequence."""
-        out = np.array([classes.share[ids].sum() for ids in texts])
+        out: list[float] = []
         held, owners, many = [], [], 0
 
         def flush() -> None:
-            inputs = np.concatenate([x[0] for x in held])
-            targets = np.concatenate([x[1] for x in held])
+            inputs, targets = (np.concatenate(x) for x in zip(*held, strict=True))
             owner = np.repeat(owners, [len(x[0]) for x in held])
             for at in range(0, len(inputs), BATCH):
                 some = slice(at, at + BATCH)
-                np.add.at(out, owner[some], self.log_probabilities(inputs[some], targets[some]).sum(axis=1, dtype=np.float64))
+                for i, value in zip(owner[some].tolist(), self.log_probabilities(inputs[some], targets[some]).sum(axis=1).tolist(), strict=True):
+                    out[i] += value
 
         for i, ids in enumerate(texts):
+            out.append(float(classes.share[ids].sum()))
             for both in cut(ids, classes):
                 held.append(both)
                 owners.append(i)
-                many += len(held[-1][0])
-                if many >= 4 * BATCH:
+                many += len(both[0])
+                if many >= 16 * BATCH:
                     flush()
                     held, owners, many = [], [], 0
         if held:
@@ -244,32 +297,65 @@ class Attention:
         return out
 
 
+class Places(dict):
+    """Number of each distinct word, by its first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+def joined(flat: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen pieces of a flat array, whose pieces have these sizes, one after the other."""
+    many = sizes[chosen]
+    shift = (np.cumsum(sizes) - sizes)[chosen] - (np.cumsum(many) - many)
+    return flat[np.repeat(shift, many) + np.arange(many.sum())]
+
+
 def _gather(path: str):
-    """kind 0: chunk, word hash, times in training texts, for every word of the chunk; kind 1: id, times in training texts."""
-    schema = pa.schema([("chunk", pa.int32()), ("name", pa.int64()), ("n", pa.int64()), ("kind", pa.int32())])
+    """Of every chunk, a run of rows of about CHUNK_BYTES: rows of its words (turn WORD: place in the chunk, hash, times in training texts) and of its documents (ids, places of the
+    words); and once a task the ids' times in training texts (turn ID)."""
+    schema = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("name", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("words", pa.binary()), ("turn", pa.int32())])
+
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, hashes = ids_of(path), WordHashes()
+        coder, first = ids_of(path), TaskContext.get().partitionId() << 32
         seen = np.zeros(coder.end + 1, np.int64)
+
+        def chunk(number: int, docs: list[tuple[int | None, int]], places: Places, used: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            sizes, every = np.array([len(x) for x in used]), np.concatenate(used)
+            learned = np.repeat([turn != HELD_OUT for _, turn in docs], sizes)
+            counts = np.bincount(every[learned], minlength=len(places))
+            spelled = [coder.of[word] for word in places]
+            lengths = np.array([len(x) for x in spelled]) // 4
+            flat = np.frombuffer(b"".join(spelled), "<u4")
+            np.add.at(seen, flat, np.repeat(counts, lengths))
+            names = np.fromiter(map(xxhash.xxh3_64_intdigest, places), np.uint64, len(places)).view(np.int64)
+            size = len(places)
+            yield rows(size, chunk=np.full(size, number), place=np.arange(size, dtype=np.int32), name=names, n=counts, turn=np.full(size, WORD, np.int32))
+            ids = joined(flat.astype(coder.type), lengths, every)
+            ends = np.concatenate([[0], np.cumsum(lengths[every])])[np.cumsum(sizes)]
+            data = [x.tobytes() for x in np.split(ids, ends[:-1])]
+            yield rows(len(docs), chunk=np.full(len(docs), number), doc_id=[x for x, _ in docs], ids=data, words=[x.tobytes() for x in used], turn=[x for _, x in docs])
+
+        docs: list[tuple[int | None, int]] = []
+        used: list[np.ndarray] = []
+        places, size, number = Places(), 0, first
         for batch in batches:
-            for chunk in np.unique(batch.column("chunk").to_numpy()):
-                part = batch.filter(pa.array(batch.column("chunk").to_numpy() == chunk))
-                known: dict[int, bytes] = {}
-                names: list[np.ndarray] = []
-                weights: list[np.ndarray] = []
-                for text, held in zip(texts_of(part), part.column("held_out").to_pylist(), strict=True):
-                    words = tokens(text)
-                    names.append(hashes.of(words))
-                    weights.append(np.full(len(words), not held))
-                    known.update(zip(names[-1].tolist(), words, strict=True))
-                found, place = np.unique(np.concatenate(names), return_inverse=True)
-                counts = np.bincount(place, np.concatenate(weights)).astype(np.int64)
-                spelled = [coder.of[known[name]] for name in found.tolist()]
-                seen += np.bincount(np.frombuffer(b"".join(spelled), "<u4"), np.repeat(counts, [len(x) // 4 for x in spelled]), minlength=len(seen)).astype(np.int64)
-                size = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk, np.int32)), pa.array(found.view(np.int64)), pa.array(counts), pa.array(np.zeros(size, np.int32))], schema=schema)
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), -1, np.int32)), pa.array(used), pa.array(seen[used]), pa.array(np.ones(len(used), np.int32))], schema=schema)
+            for doc_id, text, turn in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("turn").to_pylist(), strict=True):
+                words = tokens(text.as_py() or "")
+                docs.append((doc_id, turn))
+                used.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
+                size += sum(map(len, words)) + len(words)
+                if size >= CHUNK_BYTES:
+                    yield from chunk(number, docs, places, used)
+                    docs, used, places, size, number = [], [], Places(), 0, number + 1
+        if docs:
+            yield from chunk(number, docs, places, used)
+        known = np.flatnonzero(seen)
+        yield rows(len(known), name=known, n=seen[known], turn=np.full(len(known), ID, np.int32))
 
     return run
 
@@ -282,28 +368,19 @@ def _average(rows: Iterator[tuple[int, bytes]]) -> tuple[int, np.ndarray]:
     return many, (total / max(many, 1)).astype("<f4")
 
 
-def _fit(docs: DataFrame, classes: Classes, path: str, n_ids: float, fit_docs: int | None = None, fit_windows: int | None = None) -> Attention:
-    """`n_ids`: ids of all training rows, which say how many passes there are."""
-    columns = ["part", "n", "weights"]
+def _fit(docs: DataFrame, classes: Classes, kind: str) -> Attention:
+    """`docs`: `ids`, arrays of the type `kind`, and `turn`, the round that learns from them."""
+    schema = "part long, n long, weights binary"
 
     def row(part: int, n: int, weights: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([weights.tobytes()], pa.binary())], columns)
-
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ids_of(path)
-        for batch in batches:
-            for name, text in zip(batch.column("name").to_pylist(), texts_of(batch), strict=True):
-                at = 0
-                for both in cut(coder.encode(tokens(text)), classes):
-                    data = [x.tobytes() for x in np.concatenate(both, axis=1).astype("<i2")]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(data), pa.int64()), pa.array(range(at, at + len(data)), pa.int64()), pa.array(data, pa.binary())], ["name", "at", "data"])
-                    at += len(data)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["part", "n", "weights"])
 
     def learn(weights: np.ndarray, rate: float, turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_heap()
             own, model = TaskContext.get().partitionId(), Attention()
             model.load(weights)
-            parts = (np.frombuffer(b"".join(x.column("data").to_pylist()), "<i2").reshape(-1, WINDOW + STRIDE) for x in batches if x.num_rows)
+            parts = (both for b in batches for x in b.column("ids") for both in cut(np.frombuffer(x.as_buffer(), kind), classes))
             n = model.train(parts, rate, 1_000_003 * turn + own)
             if n:
                 yield row(own % GROUPS, n, model.flat())
@@ -315,21 +392,10 @@ def _fit(docs: DataFrame, classes: Classes, path: str, n_ids: float, fit_docs: i
         if n:
             yield row(0, n, weights)
 
-    name = F.xxhash64("doc_id", "text")
-    trained = docs.where("not held_out").withColumn("name", name)
-    if fit_docs is not None:
-        some = trained.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-        trained = trained.join(F.broadcast(some), "doc_id")  # at most fit_docs ids
-    trained = trained.select("name", "text", F.pmod("name", F.lit(ROUNDS)).alias("turn"))
-    passes = min(EPOCHS, max(1, -(-EPOCHS * FEW * STRIDE // max(int(n_ids), 1))))
-    model = Attention()
-    for turn in range(passes * ROUNDS):
-        rows = trained.where(F.col("turn") == turn % ROUNDS).mapInArrow(cuts, "name long, at long, data binary")
-        if fit_windows is not None:
-            rows = rows.orderBy(F.xxhash64("name", "at"), "name", "at", "data").limit(max(1, fit_windows // ROUNDS))
-        rate = 0.01 * (1 - 0.9 * turn / (passes * ROUNDS))
-        schema = "part long, n long, weights binary"
-        learned = rows.mapInArrow(learn(model.flat(), rate, turn), schema)
+    model = Attention(classes)
+    for turn in range(ROUNDS):
+        rate = RATE * (1 - 0.9 * turn / ROUNDS)
+        learned = docs.where(F.col("turn") == turn).select("ids").mapInArrow(learn(model.flat(), rate, turn), schema)
         n, weights = _average((r["n"], r["weights"]) for r in learned.repartition(GROUPS, "part").mapInArrow(average, schema).collect())
         if n:
             model.load(weights)
@@ -337,43 +403,37 @@ def _fit(docs: DataFrame, classes: Classes, path: str, n_ids: float, fit_docs: i
     return model
 
 
-def score(docs: DataFrame, path: str, held_out, fit_docs: int | None = None, fit_windows: int | None = None) -> DataFrame:
+def score(docs: DataFrame, path: str, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. `held_out` is the column that keeps a row out of training."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    gathered = stored(dealt.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_gather(path), "chunk int, name long, n long, kind int"), "words", "kind")
-    words = gathered.where("kind = 0")
+    turn = F.when(held_out, HELD_OUT).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", turn.alias("turn"))
+    gathered = stored(rows.mapInArrow(_gather(path), "chunk long, place int, name long, n long, doc_id long, ids binary, words binary, turn int"), "encoded", "turn")
+    words, encoded = gathered.where(F.col("turn") == WORD), gathered.where("turn >= 0").select("chunk", "doc_id", "turn", "ids", "words")
     counts = stored(words.groupBy("name").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    used = gathered.where("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).collect()  # one row for an id of the vocabulary
-    seen = np.zeros(ids_of(path).end + 1)
+    used = gathered.where(F.col("turn") == ID).groupBy("name").agg(F.sum("n").alias("n")).collect()  # one row for an id of the vocabulary
+    end, kind = ids_of(path).end, ids_of(path).type
+    seen = np.zeros(end + 1)
     for r in used:
         seen[r["name"]] = r["n"]
     classes = Classes(seen)
-    model = _fit(rows, classes, path, seen.sum(), fit_docs, fit_windows)
-    answers = words.select("chunk", "name").distinct().join(counts, "name")
+    model = _fit(encoded, classes, kind)
+    answers = words.join(counts, "name", "left").select(F.col("chunk").alias("whole"), "place", F.coalesce("c", F.lit(0)).alias("c"))
     rest = np.log10(total + distinct + 1)
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        coder, hashes = ids_of(path), WordHashes()
-        names = known.column("name").to_numpy().view(np.uint64)
-        order = np.argsort(names)
-        names, c = names[order], known.column("c").to_numpy()[order]
-        out = []
-        for start in range(0, texts.num_rows, 500):
-            part = texts.slice(start, 500)
-            lists = [tokens(x or "") for x in part.column("text").to_pylist()]
-            for words_ in lists:
-                own = hashes.of(words_)
-                at = np.minimum(np.searchsorted(names, own), max(len(names) - 1, 0))
-                n = np.where(names[at] == own, c[at], 0) if len(names) else np.zeros(len(own), np.int64)
-                out.append([len(own), int((n > 0).sum()), float((np.log10(n + 1) - rest).sum())])
-            for row, value in zip(out[start:], model.scores([coder.encode(x) for x in lists], classes), strict=True):
-                row.append(float(value))
+        keep_heap()
+        c = np.zeros(known.num_rows, np.int64)
+        c[known.column("place").to_numpy()] = known.column("c").to_numpy()
+        logs = np.log10(c + 1) - rest
+        lists = [np.frombuffer(x.as_buffer(), "<u4") for x in texts.column("words")]
+        scores = model.scores((np.frombuffer(x.as_buffer(), kind) for x in texts.column("ids")), classes)
         n = texts.num_rows
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array([r[0] for r in out], pa.int64()), "n_known": pa.array([r[1] for r in out], pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array([r[2] for r in out], pa.float64()), "score": pa.array([r[3] for r in out], pa.float64())})
+        return pa.table({
+            "doc_id": texts.column("doc_id"), "held_out": pa.array(texts.column("turn").to_numpy() == HELD_OUT), "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
+            "n_known": pa.array([int((c[x] > 0).sum()) for x in lists], pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()),
+            "base_score": pa.array([float(logs[x].sum()) for x in lists], pa.float64()), "score": pa.array(scores, pa.float64()),
+        })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    return encoded.groupBy("chunk").cogroup(answers.groupBy("whole")).applyInArrow(run, schema)

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -112,48 +113,76 @@ def test_archive_gives_back_every_page(spark):
     assert warc.summaries(warc.records(spark, none)).count() == 0
 
 
+def by_hand(model, inputs, targets):
+    """log10 probabilities of the target classes of one window, place by place."""
+    w = {n: x.astype(np.float64) for n, x in model.w.items()}
+    x = w["e"][np.maximum(inputs, 0)] + w["p"]
+    out = []
+    for s, target in enumerate(targets):
+        at = lm.WINDOW - lm.STRIDE + s
+        if target < 0:
+            out.append(0.0)
+            continue
+        seen = [j for j in range(at + 1) if inputs[j] >= 0]
+        mass = np.exp([x[at] @ w["a"] @ x[j] * float(lm.SCALE) for j in seen])
+        h = x[at] + sum(m * x[j] for m, j in zip(mass / mass.sum(), seen, strict=True)) @ w["v"]
+        outer, f = np.exp(h @ w["g"] + w["c"]), target // lm.MEMBERS
+        inner = np.exp(h @ w["m"][f] + w["d"][f])
+        out.append(math.log10(outer[f] / outer.sum() * inner[target % lm.MEMBERS] / inner.sum()))
+    return np.array(out)
+
+
 def test_attention_gradients_and_scoring():
     rng = np.random.default_rng(2)
     model = lm.Attention()
-    model.w = {n: x.astype(np.float64) for n, x in model.w.items()}
+    model.w = {n: rng.normal(size=x.shape) * 0.3 for n, x in model.w.items()}
     inputs = rng.integers(-1, 40, (3, lm.WINDOW))
     inputs[:, 0] = 3
-    targets = rng.integers(-1, lm.SINGLE + lm.SHARED, (3, lm.STRIDE))
+    inputs[:, -lm.STRIDE :] = np.maximum(inputs[:, -lm.STRIDE :], 0)
+    targets = rng.integers(-1, lm.CLASSES, (3, lm.STRIDE))
+    for row_in, row_out, got in zip(inputs, targets, model.log_probabilities(inputs, targets), strict=True):
+        assert np.allclose(by_hand(model, row_in, row_out), got)
 
     def loss():
-        p = model.forward(inputs)[-1]
-        b, s = np.nonzero(targets >= 0)
-        return -np.log(p[b, s, targets[b, s]]).mean()
+        return -model.log_probabilities(inputs, targets).sum() / (targets >= 0).sum() * math.log(10)
 
     g = model.gradients(inputs, targets)
-    for name, at in (("u", (2, 5)), ("q", (1, 1)), ("k", (0, 3)), ("v", (4, 2)), ("o", (3, 3)), ("p", (lm.WINDOW - 2, 1)), ("e", (int(inputs[0, 5]) if inputs[0, 5] >= 0 else 3, 2)), ("b", (7,))):
+    own = int(targets[targets >= 0][0])
+    family, member = own // lm.MEMBERS, own % lm.MEMBERS
+    for name, at in (("g", (2, 5)), ("c", (7,)), ("m", (family, 4, member)), ("d", (family, member)), ("a", (1, 1)), ("a", (0, 3)), ("v", (4, 2)), ("p", (lm.WINDOW - 2, 1)), ("p", (3, 0)), ("e", (3, 2)), ("e", (int(inputs[0, -1]), 5))):
         old = model.w[name][at]
-        model.w[name][at] = old + 1e-4
+        model.w[name][at] = old + 1e-5
         up = loss()
-        model.w[name][at] = old - 1e-4
+        model.w[name][at] = old - 1e-5
         down = loss()
         model.w[name][at] = old
-        assert math.isclose((up - down) / 2e-4, g[name][at], rel_tol=2e-2, abs_tol=1e-5), name
+        assert math.isclose((up - down) / 2e-5, g[name][at], rel_tol=1e-3, abs_tol=1e-7), name
     # every id is scored once, with the context of its window, and probabilities of all ids sum to one
-    counts = rng.integers(0, 50, 600).astype(float)
+    counts = rng.integers(0, 50, 3000).astype(float)
     classes = lm.Classes(counts)
-    assert np.allclose(np.bincount(classes.of, 10.0**classes.share, minlength=lm.SINGLE + lm.SHARED), 1)
-    model = lm.Attention()
-    texts = [rng.integers(0, 600, n) for n in (1, lm.STRIDE, lm.STRIDE + 1, 1000, lm.STRIDE * 4096 + 77)]
-    fast = model.scores(texts, classes)
-    for ids, value in list(zip(texts, fast, strict=True)):
+    assert np.allclose(np.bincount(classes.of, 10.0**classes.share, minlength=lm.CLASSES), 1)
+    model = lm.Attention(classes)
+    outer, inner = np.exp(model.w["c"]), np.exp(model.w["d"])
+    assert np.allclose(outer.sum(), 1) and np.allclose(inner.sum(axis=1), 1)
+    whole = np.repeat(inputs[:1], lm.CLASSES, axis=0)
+    every = np.full((lm.CLASSES, lm.STRIDE), -1)
+    every[:, 5] = np.arange(lm.CLASSES)
+    assert math.isclose((10.0 ** model.log_probabilities(whole, every)[:, 5]).sum(), 1, rel_tol=1e-4)
+    texts = [rng.integers(0, 3000, n).astype("<u2") for n in (1, lm.STRIDE, lm.STRIDE + 1, 200)]
+    for ids, value in zip(texts, model.scores(texts, classes), strict=True):
         inputs, targets, _ = lm.windows(ids, classes.row)
         assert (targets >= 0).sum() == len(ids)
-        slow = 0.0
-        for at in range(0, len(inputs), 512):
-            p, t = model.forward(inputs[at : at + 512])[-1], targets[at : at + 512]
-            b, s = np.nonzero(t >= 0)
-            slow += np.log10(p[b, s, classes.of[t[b, s]]].astype(float)).sum() + classes.share[t[b, s]].sum()
+        slow = sum(by_hand(model, i, np.where(t >= 0, classes.of[np.maximum(t, 0)], -1)).sum() for i, t in zip(inputs, targets, strict=True)) + classes.share[ids].sum()
         assert math.isclose(slow, value, rel_tol=1e-4)
+    # a long text piece by piece is the same windows
+    ids = rng.integers(0, 3000, lm.STRIDE * 4096 + 77)
+    inputs, targets, _ = lm.windows(ids, classes.row)
+    cut = [np.concatenate(x) for x in zip(*lm.cut(ids, classes), strict=True)]
+    assert (cut[0] == inputs).all() and (cut[1] == np.where(targets >= 0, classes.of[np.maximum(targets, 0)], -1)).all()
 
 
 def test_word_frequencies_over_odd_rows(spark):
-    got = lm.score(odd(spark), vocabulary(), fold("doc_id", 7) == 2, fit_docs=20, fit_windows=500).collect()
+    got = lm.score(odd(spark), vocabulary(), fold("doc_id", 7) == 2).collect()
     import zlib
 
     held = {r[0]: zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2 for r in odd_rows()}
@@ -168,16 +197,36 @@ def test_word_frequencies_over_odd_rows(spark):
     assert lm.score(odd(spark, []), vocabulary(), F.lit(False)).count() == 0
 
 
-def test_attention_learns_from_every_window(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FEW", 0)  # one pass
-    docs = odd(spark).select("doc_id", "text", F.lit(False).alias("held_out")).repartition(5)
+def test_chunks_give_back_every_text(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 3_000)  # many chunks; a longer text is one of its own
+    run = lm._gather(vocabulary())
+    turned = odd(spark).select("doc_id", "text", F.lit(0).alias("turn")).coalesce(1)
+    got = turned.mapInArrow(run, "chunk long, place int, name long, n long, doc_id long, ids binary, words binary, turn int").collect()
+    names = {(r["chunk"], r["place"]): r["name"] for r in got if r["turn"] == lm.WORD}
+    coder, docs = lm.ids_of(vocabulary()), [r for r in got if r["turn"] >= 0]
+    assert len({r["chunk"] for r in docs}) > 3
+    for r, (_, text, *_rest) in zip(docs, odd_rows(), strict=True):
+        words = lm.tokens(text or "")
+        assert (np.frombuffer(r["ids"], coder.type) == coder.encode(words)).all()
+        assert [names[r["chunk"], x] for x in np.frombuffer(r["words"], "<u4").tolist()] == [int(np.uint64(xxhash.xxh3_64_intdigest(w)).astype(np.int64)) for w in words]
+    ids = collections.Counter()
+    for _, text, *_rest in odd_rows():
+        ids.update(coder.encode(lm.tokens(text or "")).tolist())
+    assert {r["name"]: r["n"] for r in got if r["turn"] == lm.ID} == dict(ids)
+
+
+def test_attention_learns_from_every_window(spark):
     coder = lm.ids_of(vocabulary())
-    sizes = [len(coder.encode(lm.tokens(r[1] or ""))) for r in odd_rows()]
-    assert max(sizes) > 0.9 * sum(sizes) > 60_000
-    before = lm.Attention()
-    model = lm._fit(docs, lm.Classes(np.ones(coder.end + 1)), vocabulary(), sum(sizes))
-    assert model.windows_seen == sum(-(-n // lm.STRIDE) for n in sizes)
+    texts = [coder.encode(lm.tokens(r[1] or "")).astype(coder.type) for r in odd_rows()]
+    assert max(map(len, texts)) > 0.9 * sum(map(len, texts)) > 60_000
+    docs = spark.createDataFrame([(bytearray(x.tobytes()), i % lm.ROUNDS) for i, x in enumerate(texts)], "ids binary, turn int").repartition(5)
+    classes = lm.Classes(np.ones(coder.end + 1))
+    before = lm.Attention(classes)
+    model = lm._fit(docs, classes, coder.type)
+    assert model.windows_seen == sum(-(-len(x) // lm.STRIDE) for x in texts)
     assert all(np.isfinite(x).all() and (x != before.w[n]).any() for n, x in model.w.items())
+    held = texts[8]  # the long one was learned from
+    assert model.scores([held], classes)[0] > before.scores([held], classes)[0]
     # the mean goes by windows
     n, weights = lm._average((k, np.full(3, x, "<f4").tobytes()) for k, x in ((1, 4.0), (3, 8.0)))
     assert n == 4 and (weights == 7).all()
