@@ -62,8 +62,8 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
 
 def forget(df: DataFrame, part: str = "") -> None:
     """Delete the files of a table made by `stored`, once nothing reads it any more, or those of one `part` of it, as in "kind=1"."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/part-", 1)[0].split("/kind=")[0] for f in df.inputFiles()}:
+    spark, by = df.sparkSession, part.split("=")[0] or "kind"
+    for folder in {f.rsplit("/part-", 1)[0].split(f"/{by}=")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}" if part else folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

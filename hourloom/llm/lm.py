@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import Remembered, stored
+from hourloom.llm.common import Remembered, forget, stored
 from hourloom.llm.packed import library_ids
 
 CHUNK_BYTES = 4_000_000
@@ -408,7 +408,7 @@ def score(docs: DataFrame, path: str, held_out) -> DataFrame:
     turn = F.when(held_out, HELD_OUT).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", turn.alias("turn"))
     gathered = stored(rows.mapInArrow(_gather(path), "chunk long, place int, name long, n long, doc_id long, ids binary, words binary, turn int"), "encoded", "turn")
-    words, encoded = gathered.where(F.col("turn") == WORD), gathered.where("turn >= 0").select("chunk", "doc_id", "turn", "ids", "words")
+    words, encoded = gathered.where(F.col("turn") == WORD), gathered.where("turn >= 0").select("chunk", "doc_id", "turn", "words", "ids")
     counts = stored(words.groupBy("name").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     used = gathered.where(F.col("turn") == ID).groupBy("name").agg(F.sum("n").alias("n")).collect()  # one row for an id of the vocabulary
@@ -418,22 +418,28 @@ def score(docs: DataFrame, path: str, held_out) -> DataFrame:
         seen[r["name"]] = r["n"]
     classes = Classes(seen)
     model = _fit(encoded, classes, kind)
-    answers = words.join(counts, "name", "left").select(F.col("chunk").alias("whole"), "place", F.coalesce("c", F.lit(0)).alias("c"))
+    answers = stored(words.join(counts, "name", "left").select(F.col("chunk").alias("whole"), "place", F.coalesce("c", F.lit(0)).alias("c")), "answers")
+    forget(gathered, f"turn={WORD}")
     rest = np.log10(total + distinct + 1)
 
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
+        for batch in batches:
+            scores = model.scores((np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")), classes)
+            yield batch.drop_columns(["ids"]).append_column("score", pa.array(scores, pa.float64()))
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         c = np.zeros(known.num_rows, np.int64)
         c[known.column("place").to_numpy()] = known.column("c").to_numpy()
         logs = np.log10(c + 1) - rest
         lists = [np.frombuffer(x.as_buffer(), "<u4") for x in texts.column("words")]
-        scores = model.scores((np.frombuffer(x.as_buffer(), kind) for x in texts.column("ids")), classes)
         n = texts.num_rows
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": pa.array(texts.column("turn").to_numpy() == HELD_OUT), "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
             "n_known": pa.array([int((c[x] > 0).sum()) for x in lists], pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()),
-            "base_score": pa.array([float(logs[x].sum()) for x in lists], pa.float64()), "score": pa.array(scores, pa.float64()),
+            "base_score": pa.array([float(logs[x].sum()) for x in lists], pa.float64()), "score": texts.column("score"),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return encoded.groupBy("chunk").cogroup(answers.groupBy("whole")).applyInArrow(run, schema)
+    scored = encoded.mapInArrow(judge, "chunk long, doc_id long, turn int, words binary, score double")
+    return scored.groupBy("chunk").cogroup(answers.groupBy("whole")).applyInArrow(run, schema)
